@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import warc
+from tideline.llm import token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,10 @@ ORACLES["op6_warc"] = """
            CASE WHEN n < 1000 OR page_id IS NOT DISTINCT FROM owner THEN NULL ELSE owner END AS refers_to
     FROM g
 """
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op8_token_counts"] = op8_token_counts
