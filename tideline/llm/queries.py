@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, simhash, token_counts, token_files, toxicity, warc
+from tideline.llm import chat, decontaminate, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,30 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.chat_report(talks, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES["op7_chat"] = op7_chat
+ORACLES["op7_chat"] = r"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ), e AS (
+        SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS trained,
+               length(regexp_replace(replace(role || '|' || text, '␛', '␛␛'),
+                   '(<\|turn\|>|<\|text\|>|<\|end\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\1␛', 'g')) - 1 + 23 AS chars
+        FROM t
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           CAST(sum(length(trained)) AS BIGINT) AS loss_chars,
+           sha256(string_agg(trained, '' ORDER BY turn)) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+"""
