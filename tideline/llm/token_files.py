@@ -13,6 +13,8 @@ are ignored; an empty table gives empty files.
 from __future__ import annotations
 
 import json
+import os
+import string
 import uuid
 from collections.abc import Collection, Iterable, Iterator
 
@@ -26,7 +28,7 @@ from tideline.llm.shared import shared_dir, small_batches
 
 #: A worker forgets the chunks it has met when it would hold more.
 KEPT_CHUNKS = 1_200_000
-WHITE, TAIL = b" \t\n\v\f\r", b".,;:!?"
+WHITE, TAIL = b" \t\n\v\f\r", string.punctuation.encode()
 
 
 class ChunkEncoder(dict):
@@ -37,6 +39,7 @@ class ChunkEncoder(dict):
     """
 
     def __init__(self, tokenizer_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Spark task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -49,19 +52,21 @@ class ChunkEncoder(dict):
         if not (drops and plain and suffix) or any(set(t["content"].encode()) & set(WHITE) for t in added):
             raise ValueError("this tokenizer keeps white space: chunks between it can't be encoded apart")
         lowers = "Lowercase" in json.dumps(settings.get("normalizer"))
-        self.marks = [t["content"].encode() for t in added] if lowers else None
+        self.added = [t["content"].encode() for t in added]
+        self.lowers = lowers
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(suffix)
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def chunks(self, text: bytes) -> list[bytes]:
         """The runs; their ASCII letters in lower case where the tokenizer lowers them anyway, so that fewer are met."""
-        if self.marks is not None and not any(m in text or m in text.lower() for m in self.marks):
-            text = text.lower()
-        return text.split()
+        if not self.lowers:
+            return text.split()
+        lower = text.lower()
+        return (text if any(m.lower() in lower for m in self.added) else lower).split()
 
     def learn(self, missing: Collection[bytes]) -> None:
         if len(self) + len(missing) > KEPT_CHUNKS:
@@ -69,17 +74,18 @@ class ChunkEncoder(dict):
         letters, odd, parts = {}, {}, []
         for chunk in missing:
             core = chunk.rstrip(TAIL)
-            if not core[-1:].isalpha():  # punctuation is apart from a letter before it
+            # punctuation is apart from a letter before it, unless it is part of an added token
+            if not core[-1:].isalpha() or any(m in chunk for m in self.added):
                 core = chunk
             tail = chunk[len(core) :]
             parts.append((chunk, core, tail))
             text = core.decode()
-            (letters if text.isalpha() and max(text) < "\u0100" else odd)[core] = text
+            (letters if text.isalpha() and (text.isascii() or max(text) < "\u0100") else odd)[core] = text
             if tail:
                 odd[tail] = tail.decode()
-        known = {core: self.ids(text).tobytes() for core, text in odd.items()}
+        known = dict(zip(odd, (ids.tobytes() for ids in self.ids(list(odd.values())))))
         if letters:
-            ids = self.ids(" ".join(letters.values()))
+            ids = self.ids([" ".join(letters.values())])[0]
             stops = np.flatnonzero(self.ends[ids]) + 1
             raw, at = ids.tobytes(), 0
             for core, stop in zip(letters, stops.tolist(), strict=True):
@@ -171,7 +177,7 @@ def write_token_files(
             seq, ended = seq + 1, []
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
-        for batch in small_batches(batches, 128):
+        for batch in small_batches(batches, 256):
             part = batch.column("part")[0].as_py()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 held += ids
