@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import chat, decontaminate, simhash, token_counts, token_files, toxicity, warc
+from tideline.llm import chat, decontaminate, embeddings, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,28 @@ ORACLES["op7_chat"] = r"""
            CAST(sum(chars) AS BIGINT) AS formatted_chars
     FROM e GROUP BY conv_id
 """
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op5_embeddings"] = op5_embeddings
+ORACLES["op5_embeddings"] = """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), l AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+    ), r AS (
+        SELECT vec_id AS a, vec_id AS b FROM embeddings
+        UNION
+        SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+    ), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+    SELECT c.a AS vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.a = c.component_id AS kept
+    FROM c LEFT JOIN n ON n.a = c.a
+"""
