@@ -183,13 +183,12 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             )
 
     chosen = keys.mapInArrow(probing, "fp long, k0 long, k1 long, k2 long, t0 int, t1 int, t2 int")
-    probes = None
-    for i in range(len(WIDTHS)):
-        by_t = [F.array(*[F.lit(m).cast("long") for m in ms]) for ms in masks[i]]
-        reach = F.when(F.col(f"t{i}") == 0, by_t[0]).when(F.col(f"t{i}") == 1, by_t[1]).when(F.col(f"t{i}") == 2, by_t[2])
-        own = chosen.where(F.col(f"t{i}") >= 0).select("fp", F.col(f"k{i}").alias("k"), F.explode(reach).alias("flip"))
-        own = own.select(F.lit(i).alias("part"), F.col("k").bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a"))
-        probes = own if probes is None else probes.union(own)
+    tries = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"k{i}").alias("k"), F.col(f"t{i}").alias("t")) for i in range(len(WIDTHS))])
+    tried = chosen.select("fp", F.explode(tries).alias("try")).select("fp", "try.*").where("t >= 0")
+    reach = F.array(*[F.array(*[F.array(*[F.lit(m).cast("long") for m in by_t]) for by_t in by_part]) for by_part in masks])
+    probes = tried.select("fp", "part", "k", F.explode(F.get(F.get(reach, F.col("part")), F.col("t"))).alias("flip")).select(
+        "part", F.col("k").bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a")
+    )
     held = keys.select(part_key, F.col("fp").alias("b"))
     return probes.join(held, ["part", "key"]).where(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
