@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, embeddings, simhash, token_counts, token_files, toxicity, warc
+from tideline.llm import chat, decontaminate, embeddings, mixing, quality, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +121,23 @@ ORACLES["op5_embeddings"] = """
     SELECT c.a AS vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.a = c.component_id AS kept
     FROM c LEFT JOIN n ON n.a = c.a
 """
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(
+        _table(spark, sf_dir, "documents"),
+        _table(spark, sf_dir, "labels"),
+        host=F.col("source"),
+        path=F.concat_ws("/", "source", "lang"),
+    )
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
+    return mixing.document_rates(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), domain, {"clean": 0.9, "low": 0.07, "toxic": 0.03}
+    )
+
+
+QUERIES["op4_quality"] = op4_quality
+QUERIES["op10_mixing"] = op10_mixing
