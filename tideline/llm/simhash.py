@@ -213,3 +213,16 @@ def near_duplicates(
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 5
+) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: those with its smallest id, repeated ones once.
+
+    Of a group without any id that is not null, each distinct text stays once.
+    """
+    named = stored(near_duplicates(docs, id_col, text_col, width, distance).select("doc_id", "component_id"), "groups")
+    stays = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
+    kept = docs.join(stays, docs[id_col].cast("long").eqNullSafe(stays["_stays"]), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]) if stays.count() > stays.distinct().count() else kept
