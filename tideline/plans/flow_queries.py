@@ -56,7 +56,8 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in names})
+    """The columns rounded; adding 0 turns a negative zero into zero."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in names})
 
 
 @query(
