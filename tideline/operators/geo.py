@@ -95,7 +95,7 @@ def knn_cells(points: DataFrame, cells: DataFrame, k: int = 5, most_km: float =
     """Of each point's ``k`` nearest cells by degrees, the one with the least ``km + 10 hours``.
 
     The cut to ``k`` comes before the gates on distance and time. ``width`` (degrees) must be at least the distance
-    gate; cells are looked for in the neighbouring buckets of that width. Ties go to the earlier time.
+    gate; cells are looked for in the neighbouring buckets of that width. Distances within 1e-9 degrees tie, and the earlier time goes first.
     """
     near = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = points.withColumn("_n", F.explode(near)).withColumn("_i", F.floor(F.col("lat") / width) + F.col("_n.di")).withColumn(
@@ -108,10 +108,10 @@ def knn_cells(points: DataFrame, cells: DataFrame, k: int = 5, most_km: float =
     joined = spread.join(held, ["_i", "_j"])
     degrees = F.hypot(F.col("lat") - F.col("cell_lat"), F.col("lon") - F.col("cell_lon"))
     joined = joined.withColumn("_d", degrees).withColumn("hours", F.abs(epoch_seconds("ts") - epoch_seconds("cell_ts")) / 3600.0)
-    order = Window.partitionBy("point_id").orderBy("_d", "cell_ts", "cell_lat", "cell_lon")
+    order = Window.partitionBy("point_id").orderBy(F.round("_d", 9), "cell_ts", "cell_lat", "cell_lon", "value")
     first = joined.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     scored = first.withColumn("km", F.col("_d") * KM_PER_DEGREE).where((F.col("km") <= most_km) & (F.col("hours") <= most_hours))
-    best = F.min_by(F.struct("value", "km", "hours"), F.struct(F.col("km") + 10 * F.col("hours"), F.col("_r")))
+    best = F.min_by(F.struct("value", "km", "hours"), F.struct(F.round(F.col("km") + 10 * F.col("hours"), 6), F.col("_r")))
     return scored.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.value", "b.km", "b.hours")
 
 

@@ -88,9 +88,9 @@ def nearest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH a AS (SELECT s_suppkey AS point_id, (s_suppkey * 7 % 40) / 20.0::DOUBLE AS lat, (s_suppkey * 11 % 40) / 20.0::DOUBLE AS lon, TIMESTAMP '2024-01-10' AS ts FROM supplier),
     c AS (SELECT (p_partkey * 3 % 80) / 40.0::DOUBLE AS clat, (p_partkey * 13 % 80) / 40.0::DOUBLE AS clon, TIMESTAMP '2024-01-10' + to_minutes(CAST(p_partkey % 600 - 300 AS INT)) AS cts, p_retailprice AS value FROM part),
     j AS (SELECT point_id, value, sqrt((lat - clat) ** 2 + (lon - clon) ** 2) AS d, abs(epoch(ts) - epoch(cts)) / 3600.0 AS hours, cts, clat, clon FROM a, c),
-    r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), cts, clat, clon) AS r FROM j WHERE d < 0.6),
+    r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(d, 9), cts, clat, clon, value) AS r FROM j WHERE d < 0.6),
     k AS (SELECT *, d * 111.0 AS km FROM r WHERE r <= 5 AND d * 111.0 <= 50 AND hours <= 6)
-    SELECT point_id, round(arg_min(value, round(km + 10 * hours, 6) * 10 + r / 100.0), 4) AS value FROM k GROUP BY point_id
+    SELECT point_id, round(arg_min(value, (round(km + 10 * hours, 6), r)), 4) AS value FROM k GROUP BY point_id
     """,
 )
 def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
