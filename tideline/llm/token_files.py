@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tideline.llm.shared import shared_dir, small_batches
 
 #: A worker forgets the chunks it has met when it would hold more.
-KEPT_CHUNKS = 1_200_000
+KEPT_CHUNKS = 1_700_000
 WHITE, TAIL = b" \t\n\v\f\r", string.punctuation.encode()
 
 
@@ -53,6 +53,8 @@ class ChunkEncoder(dict):
             raise ValueError("this tokenizer keeps white space: chunks between it can't be encoded apart")
         lowers = "Lowercase" in json.dumps(settings.get("normalizer"))
         self.added = [t["content"].encode() for t in added]
+        #: What all added tokens begin with.
+        self.mark = os.path.commonprefix(self.added) if self.added else b"\0"
         self.lowers = lowers
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -71,34 +73,45 @@ class ChunkEncoder(dict):
     def learn(self, missing: Collection[bytes]) -> None:
         if len(self) + len(missing) > KEPT_CHUNKS:
             self.clear()
-        letters, odd, parts = {}, {}, []
+        letters, odd, split = {}, set(), []
+        mark = self.mark
         for chunk in missing:
             core = chunk.rstrip(TAIL)
             # punctuation is apart from a letter before it, unless it is part of an added token
-            if not core[-1:].isalpha() or any(m in chunk for m in self.added):
+            if len(core) == len(chunk) or not core[-1:].isalpha() or mark in chunk:
                 core = chunk
-            tail = chunk[len(core) :]
-            parts.append((chunk, core, tail))
-            text = core.decode()
-            (letters if text.isalpha() and (text.isascii() or max(text) < "\u0100") else odd)[core] = text
-            if tail:
-                odd[tail] = tail.decode()
-        known = dict(zip(odd, (ids.tobytes() for ids in self.ids(list(odd.values())))))
+            else:
+                tail = chunk[len(core) :]
+                odd.add(tail)
+                split.append((chunk, core, tail))
+            if core.isalpha():
+                letters[core] = None
+            elif (text := core.decode()).isalpha() and max(text) < "\u0100":
+                letters[core] = None
+            else:
+                odd.add(core)
+        known = dict(zip(odd, (ids.tobytes() for ids in self.ids([c.decode() for c in odd]))))
         if letters:
-            ids = self.ids([" ".join(letters.values())])[0]
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            ids = self.ids([b" ".join(letters).decode()])[0]
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw, at = ids.tobytes(), 0
-            for core, stop in zip(letters, stops.tolist(), strict=True):
-                known[core], at = raw[4 * at : 4 * stop], stop
-        for chunk, core, tail in parts:
-            self[chunk] = known[core] + known[tail] if tail else known[core]
+            for core, stop in zip(letters, stops, strict=True):
+                known[core] = raw[at:stop]
+                at = stop
+        self.update(known)
+        for chunk, core, tail in split:
+            self[chunk] = known[core] + known[tail]
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
-        met = set().union(*split)
-        if missing := [c for c in met if c not in self]:
-            self.learn(missing if len(self) + len(missing) <= KEPT_CHUNKS else met)
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        found = [list(map(self.get, chunks)) for chunks in split]
+        missing = {c for chunks, ids in zip(split, found) if None in ids for c, i in zip(chunks, ids) if i is None}
+        if not missing:
+            return [b"".join(ids) for ids in found]
+        self.learn(missing)
+        return [
+            b"".join([self[c] if i is None else i for c, i in zip(chunks, ids)] if None in ids else ids) for chunks, ids in zip(split, found)
+        ]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
