@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive words; words under its zeros are ignored
 hide the match. Seeds of all benchmark items are joined with the seeds at every position of every document; around
 each diagonal that is hit, document and item are compared word by word. An item of up to ``window`` words counts as
 contained where at least ``overlap`` of its words stand in their places; a longer one where that holds for some
-stretch of ``window`` words.
+stretch of ``window`` words. In either case a seed of five words must be equal on that diagonal: an item of five
+words counts only where all five are there.
 
 Cases: words are runs of letters, marks and digits in lower case; null and empty texts, and items with fewer words
 than the shortest seed spans, match nothing; ids may be null or repeated (a finding names the id; ``clean`` goes by
