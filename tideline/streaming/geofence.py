@@ -137,7 +137,7 @@ def _run(state: VesselState, rules: Rules, mmsi: int, fixes: pd.DataFrame) -> pd
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(found, columns=["mmsi", "kind", "place_id", "event", "ts", "lat", "lon", "sog"])
-    out["ts"] = pd.to_datetime(out["ts"].astype("float64"), unit="s")
+    out["ts"] = pd.to_datetime((out["ts"].astype("float64") * 1e6).round().astype("int64"), unit="us")
     out["sog"] = out["sog"].astype("float64")
     return out
 
