@@ -210,7 +210,8 @@ def near_duplicates(
     firsts = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = rooted.join(firsts, "component").select("fp", F.col("component_id").alias("linked_id"))
     named = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first").alias("component_id"))
-    return rows.join(named, "fp").select(
+    # written, so that the last join has plain exchanges and Spark can split the rows of a very common fingerprint
+    return rows.join(stored(named, "named"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
