@@ -53,12 +53,14 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42
+) -> DataFrame:
     """``doc_id, fp`` (signed 64-bit) for each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps = [fingerprint(t.as_py() or b"", width) for t in batch.column("text")]
+            fps = [fingerprint(t.as_py() or b"", width, seed) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -196,13 +198,13 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, seed: int = 42
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
     ``component_id`` is the smallest id reachable over fingerprints that differ in at most ``distance`` bits.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    rows = stored(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     joined = connected_components(links(classes, distance))
     # classes that no other is near keep their own first id
@@ -217,13 +219,24 @@ def near_duplicates(
 
 
 def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 5
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    distance: int = 5,
+    seeds: tuple[int, ...] = (42, 43, 44),
 ) -> DataFrame:
     """The rows of ``docs`` that stand for their group: those with its smallest id, repeated ones once.
 
-    Of a group without any id that is not null, each distinct text stays once.
+    Rows are in one group when any of the fingerprints (one for each seed) links them: a pair whose bits happen to
+    differ much under one seed is close under another. Rows without id are in no group; each of their texts stays once.
     """
-    named = stored(near_duplicates(docs, id_col, text_col, width, distance).select("doc_id", "component_id"), "groups")
-    stays = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
-    kept = docs.join(stays, docs[id_col].cast("long").eqNullSafe(stays["_stays"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]) if stays.count() > stays.distinct().count() else kept
+    runs = [near_duplicates(docs, id_col, text_col, width, distance, s).select("doc_id", "component_id") for s in seeds]
+    named = runs[0]
+    for run in runs[1:]:
+        named = named.union(run)
+    named = stored(named, "groups")
+    joined = connected_components(named, "doc_id", "component_id")
+    gone = joined.where("node != component").select(F.col("node").alias("_gone"))
+    kept = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    return kept.dropDuplicates([id_col, text_col]) if named.count() > len(seeds) * named.select("doc_id").distinct().count() else kept
