@@ -36,7 +36,12 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most ``rows``, so that long texts don't pile up as Python objects."""
+    """The same rows in slices of at most ``rows``, so that long texts don't pile up as Python objects.
+
+    After each batch Arrow gives back what it holds unused: workers are used again by later stages.
+    """
+    pool = pa.default_memory_pool()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pool.release_unused()
