@@ -27,7 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, at most five bits apart under one of three seeds) the smallest id stays."""
+    """Of each group of near copies (similarity of five-word shingles 0.8 or more) the smallest id stays."""
     return simhash.one_of_each(docs)
 
 
