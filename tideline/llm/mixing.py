@@ -1,10 +1,9 @@
 """Mixing sources to target weights, with soft membership.
 
-A classifier fitted to a labelled table gives each document's posteriors over the domains. Nonnegative rates (how
-often a document is to be used) are fitted by projected gradient to least squares between the expected tokens of
-each domain, sum of rate x tokens x posterior, and its target. Steps are taken in units scaled by the square roots
-of a document's tokens and of a domain's total, where the largest curvature is 1, so a step of 1 always descends.
-An iteration is one aggregation to as many sums as there are domains; the rates are written every few iterations.
+A classifier fitted to a labelled table gives each document's posteriors over the domains. Of all rates (how often
+a document is to be used) that are no less than a bound and give each domain its target, the sum of rate x tokens x
+posterior, those nearest to 1 are the projection of a linear function of the posteriors. Its one weight per domain is
+found by Newton's method: an iteration is one aggregation to the domains' totals and the products of their posteriors.
 
 Cases: a null text is an empty one, with no tokens and the rate its posteriors give; repeated rows are documents of
 their own; a domain without any mass can't reach its target, the rest still fits; an empty table gives no rows;
@@ -13,6 +12,8 @@ extra columns are kept by ``mixed`` and ignored by ``document_rates``.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +21,16 @@ from pyspark.sql import functions as F
 from tideline.llm import classifier
 from tideline.llm.shared import stored
 
-#: Iterations between two writes of the rates.
-REFRESH = 8
+#: Weight of the rates' distance from 1 beside the totals' distance from the targets.
+MU = 1e-10
+#: Totals count as at their targets within this share of them.
+REACHED = 1e-3
+#: Factors by which the total may grow so that rates of at least 1 meet the targets.
+GROWTH = (1.0, 1.05, 1.1, 1.2, 1.4, 1.8, 2.6, 4.2, 8.0, 16.0)
 
 
-def _moved(rate: Column, step: np.ndarray, least: float, p: str) -> Column:
-    change = F.lit(0.0)
-    for k, e in enumerate(step):
-        change = change + F.col(p)[k] * F.lit(float(e))
-    return F.greatest(rate - change, F.lit(least))
+def reached(totals: np.ndarray, targets: np.ndarray) -> bool:
+    return bool(np.all(np.abs(totals - targets) <= REACHED * np.maximum(targets, targets.sum() * 1e-6)))
 
 
 def fit_rates(
@@ -36,29 +38,55 @@ def fit_rates(
 ) -> tuple[DataFrame, list[np.ndarray]]:
     """The member table's keys with ``rate``, and the domains' totals at each iteration.
 
-    ``members`` is a stored table with columns ``row`` (unique), ``tokens`` and the array ``p``.
+    ``members`` is a stored table with columns ``row`` (unique), ``tokens`` and the array ``p``. Raises RuntimeError
+    where ``iterations`` end before the fit does. A fit that ended can be away from targets that no rates reach.
     """
     k = len(targets)
-
-    def totals(rows: DataFrame, rate: Column) -> np.ndarray:
-        found = rows.agg(*[F.sum(rate * F.col(tokens) * F.col(p)[i]) for i in range(k)]).first()
-        return np.array([x or 0.0 for x in found])
-
-    state = members.select("row", tokens, p, F.lit(1.0).alias("rate"))
-    rate, history = F.col("rate"), []
-    scale = np.maximum(totals(state, F.lit(1.0)), 1e-9)
-    for i in range(iterations):
-        now = totals(state, rate)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    size = max(float(targets.sum()), 1e-9)
+
+    def rated(x: np.ndarray) -> tuple[Column, Column]:
+        free = F.lit(1.0)
+        for i, v in enumerate(x):
+            free = free + F.col(p)[i] * F.lit(float(v))
+        return free, F.greatest(free, F.lit(float(least)))
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value of the dual, totals, and curvature over the rows whose rate can move."""
+        free, rate = rated(x)
+        value = F.col(tokens) * (rate * free - rate * rate / 2)
+        moving = F.when(free > F.lit(float(least)), F.col(tokens)).otherwise(0.0)
+        found = members.agg(
+            F.sum(value),
+            *[F.sum(F.col(tokens) * rate * F.col(p)[i]) for i in range(k)],
+            *[F.sum(moving * F.col(p)[i] * F.col(p)[j]) for i, j in pairs],
+        ).first()
+        found, curve = [v or 0.0 for v in found], np.zeros((k, k))
+        for (i, j), v in zip(pairs, found[1 + k :]):
+            curve[i, j] = curve[j, i] = v
+        return found[0] - targets @ x + MU * size * (x @ x) / 2, np.array(found[1 : 1 + k]), curve
+
+    x, history = np.zeros(k), []
+    value, now, curve = at(x)
+    for _ in range(iterations):
         history.append(now)
-        off = now - targets
-        if np.all(np.abs(off) <= close * np.maximum(targets, targets.sum() * 1e-9)):
+        slope = now - targets + MU * size * x
+        if np.all(np.abs(slope) <= close * np.maximum(targets, size * 1e-9)):
             break
-        if i > 2 and np.abs(history[-1] - history[-2]).max() <= 1e-9 * max(1.0, np.abs(now).max()):
+        step = np.linalg.solve(curve + MU * size * np.eye(k), slope)
+        length, gain = 1.0, slope @ step
+        # at the limit of what sums of doubles tell apart
+        if gain <= 1e-15 * max(1.0, abs(value)):
             break
-        rate = _moved(rate, off / scale, least, p)
-        if (i + 1) % REFRESH == 0:
-            state, rate = stored(state.select("row", tokens, p, rate.alias("rate")), "rates"), F.col("rate")
-    return state.select("row", rate.alias("rate")), history
+        while length > 1e-9:
+            found = at(x - length * step)
+            if found[0] <= value - 1e-4 * length * gain + 1e-14 * abs(value):
+                break
+            length /= 2
+        x, (value, now, curve) = x - length * step, found
+    else:
+        raise RuntimeError(f"rates not fitted after {iterations} iterations: totals {now.tolist()}, targets {targets.tolist()}")
+    return members.select("row", rated(x)[1].alias("rate")), history
 
 
 def memberships(docs: DataFrame, labels: DataFrame, label: Column, domains: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -69,14 +97,24 @@ def memberships(docs: DataFrame, labels: DataFrame, label: Column, domains: list
 
 
 def rates(members: DataFrame, weights: dict[str, float], least: float = 0.0) -> tuple[DataFrame, list[np.ndarray], np.ndarray]:
-    """Rates of stored ``memberships``; with ``least`` 1 the total grows until no domain must lose tokens."""
+    """Rates of stored ``memberships``; with ``least`` 1 the total grows until the domains have their shares.
+
+    Warns with the shares attained where no rates tried meet the targets.
+    """
     slim = members.select(F.col("_row").alias("row"), F.col("_tokens").cast("double").alias("tokens"), F.col("_p").alias("p"))
     share = np.array(list(weights.values())) / sum(weights.values())
     found = slim.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(len(share))]).first()
     now = np.array([x or 0.0 for x in found])
     total = now.sum() if least < 1 else (now / share)[share > 0].max()
-    fitted, history = fit_rates(slim, share * total, least)
-    return fitted, history, share * total
+    fits = []
+    for growth in GROWTH if least >= 1 else GROWTH[:1]:
+        targets = share * total * growth
+        fits.append((*fit_rates(slim, targets, least), targets))
+        if reached(fits[-1][1][-1], targets):
+            return fits[-1]
+    got = fits[0][1][-1]
+    warnings.warn(f"shares attained {dict(zip(weights, (got / max(got.sum(), 1e-9)).tolist()))}, wanted {dict(zip(weights, share.tolist()))}")
+    return fits[0]
 
 
 def document_rates(
