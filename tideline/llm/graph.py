@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import stored
+from tideline.llm.shared import dropped, stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node that ``links`` mentions with another.
 
     Each round hangs the larger neighbours of every node, then its smaller ones, on the smallest of them; the links
-    left are written to the shared folder, so a lost executor costs at most one round. The rounds end when no link
-    changes, after about as many as the logarithm of the longest path. Rows with a null end and links of a node with
-    itself are ignored; repeated links count once; without links there are no rows.
+    left are written to the shared folder, so a lost executor costs at most one round, and those of the round before
+    are deleted. The rounds end when no link changes, after about as many as the logarithm of the longest path. Rows
+    with a null end and links of a node with itself are ignored; repeated links count once; without links there are
+    no rows.
     """
     now = links.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")
@@ -33,8 +34,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .union(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = stored(small, "links")
+        old, now = now, stored(small, "links")
         before, mark = mark, _mark(now)
+        dropped(old)
         if mark == before:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -1,6 +1,7 @@
 """SimHash fingerprints and near-duplicate groups by the generalised pigeonhole principle.
 
-The 64 bits are grouped into three partitions, correlated bits together. A fingerprint probes partition i for
+The 64 bits are grouped into two to four partitions, as many as cost least for the number of fingerprints,
+correlated bits together. A fingerprint probes partition i for
 keys within t_i bits of its own, where the t_i + 1 sum to one more than the distance allowed: two fingerprints
 that differ in at most that many bits then meet in one partition at least. Each fingerprint takes the thresholds
 that cost it least, found by dynamic programming on the numbers of keys and of candidates to expect, the latter
@@ -14,7 +15,8 @@ length are read whole; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from tideline.llm.graph import connected_components
 from tideline.llm.shared import small_batches, stored
 
 BITS = 64
-WIDTHS = (22, 21, 21)
+#: Numbers of partitions to choose from.
+PARTITIONS = (2, 3, 4)
 #: Leading bits of a key by which fingerprints are counted; the largest threshold of a partition.
 COUNTED_BITS, LARGEST = 12, 2
 #: Shingles hashed at a time, so that the longest text needs no more memory.
@@ -35,7 +38,8 @@ AT_ONCE = 1 << 18
 BANDS, BAND_ROWS = 24, 5
 MIN_HASHES = np.random.default_rng(42).integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
-BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+BYTE_PLACES = 256 * np.arange(8, dtype=np.int64)
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -48,12 +52,21 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     starts, ends = starts[:n], ends[min(width, len(words)) - 1 :]
-    digest, set_bits = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
+    digest, set_bits = xxhash.xxh64_intdigest, np.zeros(BITS)
     for at in range(0, n, AT_ONCE):
         spans = zip(starts[at : at + AT_ONCE].tolist(), ends[at : at + AT_ONCE].tolist())
-        hashes = np.array([digest(joined[s:e], seed) for s, e in spans], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        for i in range(8):
-            set_bits[8 * i : 8 * i + 8] += np.bincount(hashes[:, i], minlength=256) @ BYTE_BITS
+        set_bits += bits_set(np.array([digest(joined[s:e], seed) for s, e in spans], dtype="<u8"))
+    return majority(set_bits, n)
+
+
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit ``hashes`` have each bit set."""
+    places = hashes.view(np.uint8).reshape(-1, 8) + BYTE_PLACES
+    return (np.bincount(places.ravel(), minlength=8 * 256).reshape(8, 256).astype(np.float64) @ BYTE_BITS).ravel()
+
+
+def majority(set_bits: np.ndarray, n: int) -> int:
+    """The signed 64-bit integer of the bits set in over half of ``n`` hashes."""
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
 
 
@@ -71,8 +84,25 @@ def fingerprints(
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_groups(fps: DataFrame) -> list[list[int]]:
-    """The bits in partitions of WIDTHS, correlated bits together, from the co-occurrence of bits in all of ``fps``."""
+def plan_widths(n: int, distance: int) -> list[int]:
+    """Widths of the partitions that need the fewest probes and chance meetings among ``n`` fingerprints."""
+    best = None
+    for m in PARTITIONS:
+        if distance >= (LARGEST + 1) * m:
+            continue
+        widths = [BITS // m + (i < BITS % m) for i in range(m)]
+        steps = [(distance + 1) // m + (i < (distance + 1) % m) for i in range(m)]
+        cost = 0.0
+        for width, step in zip(widths, steps):
+            probes = sum(math.comb(width, k) for k in range(step))
+            cost += probes * (1 + n / 2.0**width)
+        if best is None or cost < best[0]:
+            best = (cost, widths)
+    return best[1]
+
+
+def bit_groups(fps: DataFrame, widths: list[int]) -> list[list[int]]:
+    """The bits in partitions of ``widths``, correlated bits together, from the co-occurrence of bits in all of ``fps``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((BITS, BITS)), 0
@@ -97,7 +127,7 @@ def bit_groups(fps: DataFrame) -> list[list[int]]:
     tie = np.abs(both / n - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(tie, 0)
     groups, free = [], set(range(BITS))
-    for width in WIDTHS:
+    for width in widths:
         own = [max(sorted(free), key=lambda b: sum(sorted((tie[b, x] for x in free), reverse=True)[: width - 1]))]
         free.discard(own[0])
         while len(own) < width:
@@ -154,51 +184,56 @@ def allocate(costs: list[np.ndarray], distance: int) -> np.ndarray:
 
 
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """``a, b``: pairs of the distinct fingerprints ``fps`` that differ in at most ``distance`` bits (each maybe more than once)."""
-    if not 0 <= distance < (LARGEST + 1) * len(WIDTHS):
+    """``space, a, b``: pairs of the distinct fingerprints ``fps`` that differ in at most ``distance`` bits (each maybe more than once).
+
+    Where ``fps`` has a column ``space`` only fingerprints of one space are compared, and all spaces in one job.
+    """
+    if not 0 <= distance < (LARGEST + 1) * max(PARTITIONS):
         raise ValueError(f"distance {distance} is too large for thresholds up to {LARGEST}")
-    spark, groups = fps.sparkSession, bit_groups(fps)
+    fps = fps.select("space" if "space" in fps.columns else F.lit(0).alias("space"), "fp")
+    widths = plan_widths(fps.groupBy("space").count().agg(F.max("count")).first()[0] or 0, distance)
+    groups, parts = bit_groups(fps, widths), range(len(widths))
+    ddl = "space int, fp long, " + ", ".join(f"k{i} long" for i in parts)
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
+            values = batch.column(1).to_numpy(zero_copy_only=False)
             keys = [pa.array(keys_of(values, g)) for g in groups]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *keys], names=["fp", "k0", "k1", "k2"])
-
-    keys = stored(fps.select("fp").mapInArrow(keyed, "fp long, k0 long, k1 long, k2 long"), "keys")
-    part_key = F.posexplode(F.array("k0", "k1", "k2")).alias("part", "key")
-    # by partition and leading bits: at most 3 x 4096 sums
-    heads = F.when(F.col("part") == 0, F.shiftright("key", WIDTHS[0] - COUNTED_BITS)).otherwise(
-        F.shiftright("key", WIDTHS[1] - COUNTED_BITS)
-    )
-    counts = np.zeros((len(WIDTHS), 1 << COUNTED_BITS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=["space", "fp", *(f"k{i}" for i in parts)])
+
+    keys = stored(fps.select(F.col("space").cast("int"), "fp").mapInArrow(keyed, ddl), "keys")
+    part_key = F.posexplode(F.array(*[f"k{i}" for i in parts])).alias("part", "key")
+    # by partition and leading bits: at most 4 x 4096 sums
+    shift = F.array(*[F.lit(w - COUNTED_BITS) for w in widths])
+    heads = F.call_function("shiftright", "key", F.get(shift, F.col("part"))).cast("int")
+    counts = np.zeros((len(widths), 1 << COUNTED_BITS))
     for part, head, n in keys.select(part_key).groupBy("part", heads.alias("head")).count().collect():
         counts[part, head] = n
-    tables = [expected(c, w) for c, w in zip(counts, WIDTHS)]
-    masks = [flips(w, LARGEST) for w in WIDTHS]
+    tables = [expected(c, w) for c, w in zip(counts, widths)]
+    masks = [flips(w, LARGEST) for w in widths]
 
     def probing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             costs = []
-            for i, width in enumerate(WIDTHS):
-                head = batch.column(1 + i).to_numpy(zero_copy_only=False) >> (width - COUNTED_BITS)
+            for i, width in enumerate(widths):
+                head = batch.column(2 + i).to_numpy(zero_copy_only=False) >> (width - COUNTED_BITS)
                 costs.append(np.stack([tables[i][t][head] + len(masks[i][t]) for t in range(LARGEST + 1)]))
             chosen = allocate(costs, distance)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(t.astype(np.int32)) for t in chosen)], names=["fp", "k0", "k1", "k2", "t0", "t1", "t2"]
+                [*batch.columns, *(pa.array(t.astype(np.int32)) for t in chosen)], names=[*batch.schema.names, *(f"t{i}" for i in parts)]
             )
 
-    chosen = keys.mapInArrow(probing, "fp long, k0 long, k1 long, k2 long, t0 int, t1 int, t2 int")
-    tries = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"k{i}").alias("k"), F.col(f"t{i}").alias("t")) for i in range(len(WIDTHS))])
-    tried = chosen.select("fp", F.explode(tries).alias("try")).select("fp", "try.*").where("t >= 0")
+    chosen = keys.mapInArrow(probing, ddl + ", " + ", ".join(f"t{i} int" for i in parts))
+    tries = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"k{i}").alias("k"), F.col(f"t{i}").alias("t")) for i in parts])
+    tried = chosen.select("space", "fp", F.explode(tries).alias("try")).select("space", "fp", "try.*").where("t >= 0")
     reach = F.array(*[F.array(*[F.array(*[F.lit(m).cast("long") for m in by_t]) for by_t in by_part]) for by_part in masks])
-    probes = tried.select("fp", "part", "k", F.explode(F.get(F.get(reach, F.col("part")), F.col("t"))).alias("flip")).select(
-        "part", F.col("k").bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a")
+    probes = tried.select("space", "fp", "part", "k", F.explode(F.get(F.get(reach, F.col("part")), F.col("t"))).alias("flip")).select(
+        "space", "part", F.col("k").bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a")
     )
-    held = keys.select(part_key, F.col("fp").alias("b"))
-    return probes.join(held, ["part", "key"]).where(
+    held = keys.select("space", part_key, F.col("fp").alias("b"))
+    return probes.join(held, ["space", "part", "key"]).where(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    ).select("a", "b")
+    ).select("space", "a", "b")
 
 
 def near_duplicates(
@@ -210,7 +245,7 @@ def near_duplicates(
     """
     rows = stored(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    joined = connected_components(links(classes, distance))
+    joined = connected_components(links(classes, distance).select("a", "b"))
     # classes that no other is near keep their own first id
     rooted = classes.join(joined.withColumnRenamed("node", "fp"), "fp")
     firsts = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -222,15 +257,32 @@ def near_duplicates(
     )
 
 
-def shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text, cut as for ``fingerprint``."""
+def shingle_hashes(text: bytes, width: int = 5) -> np.ndarray:
+    """A 64-bit hash of each shingle of a text in order, cut as for ``fingerprint``, made of the hashes of its words."""
     words = text.lower().split()
     known = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - width + 1) if words else 0
     out = np.zeros(n, dtype=np.uint64)
     for k in range(min(width, len(words))):
         out = (out ^ (out >> np.uint64(31))) * SPREAD + known[k : k + n]
-    return np.unique((out ^ (out >> np.uint64(29))) * SPREAD)
+    return (out ^ (out >> np.uint64(29))) * SPREAD
+
+
+def seeded_fingerprints(hashes: np.ndarray, seeds: Collection[int]) -> list[int]:
+    """The SimHash of shingle hashes under each seed, which mixes the hashes anew."""
+    found = []
+    for seed in seeds:
+        set_bits = np.zeros(BITS)
+        for at in range(0, len(hashes), AT_ONCE):
+            x = (hashes[at : at + AT_ONCE] ^ np.uint64(seed * int(SPREAD) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            set_bits += bits_set((x ^ (x >> np.uint64(32))) * SPREAD)
+        found.append(majority(set_bits, len(hashes)))
+    return found
+
+
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
@@ -272,8 +324,8 @@ def similar_groups(
     """``doc_id, text_hash, component`` for each distinct row of ``rows`` (doc_id, text).
 
     Rows are in one group when a chain of texts joins them, each with at least ``similarity`` (Jaccard, shingles of
-    ``width`` words) to the next. Candidates share a band of min-hashes or have fingerprints at most ``distance`` bits
-    apart under one of ``seeds``; each is compared whole. At 0.8 a pair misses all bands with probability 7e-5. A
+    ``width`` words) to the next. Candidates have fingerprints at most ``distance`` bits apart under one of ``seeds``
+    or share a band of min-hashes; each is compared whole. At 0.8 a pair misses all bands with probability 7e-5. A
     bucket's texts are first compared with its smallest node, then with each other where that left more than one group.
     """
 
@@ -281,18 +333,17 @@ def similar_groups(
         for batch in small_batches(batches):
             nodes, keys, fps = [], [], []
             for t in batch.column("text"):
-                text = t.as_py() or b""
-                own = shingles(text, width)
+                hashes = shingle_hashes(t.as_py() or b"", width)
+                own = np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
-                keys.append(band_keys(own).tolist())
-                fps.append([fingerprint(text, width, s) for s in seeds])
-            longs = pa.list_(pa.int64())
+                keys.append(band_keys(own))
+                fps.append(seeded_fingerprints(hashes, seeds))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(fps, longs)],
                 names=["doc_id", "text_hash", "node", "keys", "fps"],
             )
 
-    hashed = F.xxhash64("text").alias("text_hash")
+    longs, hashed = pa.list_(pa.int64()), F.xxhash64("text").alias("text_hash")
     slim = rows.select("doc_id", hashed, F.col("text").cast("binary").alias("text"))
     marked = stored(slim.mapInArrow(mark, "doc_id long, text_hash long, node long, keys array<long>, fps array<long>"), "marked")
     # one text stands for all with the same shingles
@@ -302,12 +353,12 @@ def similar_groups(
     shared = held.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     held = stored(held.join(shared, "key").select("key", "node", "least"), "buckets")
     found = held.select(F.col("node").alias("a"), F.col("least").alias("b"))
-    for i in range(len(seeds)):
-        of = nodes.select("node", F.get("fps", F.lit(i)).alias("fp"))
-        classes = stored(of.groupBy("fp").agg(F.min("node").alias("least")), "classes")
-        found = found.union(of.join(classes, "fp").select("node", "least"))
-        x, y = classes.select(F.col("fp").alias("a"), F.col("least").alias("x")), classes.select(F.col("fp").alias("b"), F.col("least").alias("y"))
-        found = found.union(links(classes, distance).join(x, "a").join(y, "b").select("x", "y"))
+    # the fingerprints of all seeds in one table: nodes of one fingerprint hang on the least of them
+    prints = nodes.select("node", F.posexplode("fps").alias("space", "fp"))
+    classes = stored(prints.groupBy("space", "fp").agg(F.min("node").alias("least")), "classes")
+    found = found.union(prints.join(classes, ["space", "fp"]).select("node", "least"))
+    x, y = (classes.select("space", F.col("fp").alias(end), F.col("least").alias(f"{end}_node")) for end in ("a", "b"))
+    found = found.union(links(classes, distance).join(x, ["space", "a"]).join(y, ["space", "b"]).select("a_node", "b_node"))
     ordered = lambda pairs: pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = stored(ordered(found), "pairs")
 
@@ -337,15 +388,19 @@ def one_of_each(
     seeds: tuple[int, ...] = (42, 43, 44),
     similarity: float = 0.8,
 ) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of ``similar_groups``: those with its smallest id, repeated ones once.
+    """The rows of ``docs`` that stand for their group of ``similar_groups``: its smallest id, repeated rows once.
 
-    Rows without id are in no group; each of their texts stays once.
+    Each row goes by its own id and text. Rows without id are in the groups of their texts and come after those that
+    have one; of several texts with a group's smallest id, that with the smallest hash stays.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = stored(similar_groups(rows.where("doc_id IS NOT NULL"), width, distance, seeds, similarity), "groups")
-    firsts = named.groupBy("component").agg(F.min("doc_id").alias("first"))
-    gone = named.join(firsts, "component").where("doc_id != first").select(
+    named = stored(similar_groups(rows, width, distance, seeds, similarity), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("text_hash").alias("z"))
+    firsts = named.groupBy("component").agg(F.min(place).alias("first"))
+    gone = named.join(firsts, "component").where(~place.eqNullSafe(F.col("first"))).select(
         F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")
     )
-    kept = docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left_anti")
+    kept = docs.join(
+        gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left_anti"
+    )
     return kept.dropDuplicates([id_col, text_col]) if docs.count() > named.count() else kept
