@@ -414,6 +414,9 @@ def test_token_files(spark, docs_of, tmp_path):
         assert sorted(map(tuple, got), key=lambda r: r[1]) == slow_file(rows)
         index = token_files.chunk_index(spark, path).orderBy("start").collect()
         assert all(a.start + a.n_ids == b.start for a, b in zip(index, index[1:])) and max(r.n_ids for r in index) <= 700
+        wanted = spark.createDataFrame([(5001,), (5002,), (None,), (-7,)], "doc_id long")
+        some = token_files.fetch(spark, path, wanted).select("doc_id", "start", "n_tokens", F.crc32("ids")).collect()
+        assert sorted(map(tuple, some), key=lambda r: r[1]) == [r for r in slow_file(rows) if r[0] in (5001, 5002)]
 
 
 def test_token_files_empty(spark, docs_of):
@@ -423,7 +426,7 @@ def test_token_files_empty(spark, docs_of):
 def test_encoder_forgets(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_files, "KEPT_CHUNKS", 5)
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 500)
     encoder, tokenizer = token_files.ChunkEncoder(WORDS), Tokenizer.from_file(WORDS)
     for text in ("one two three four", "three four five six, seven one", "one two"):
         ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

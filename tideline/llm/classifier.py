@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.shared import small_batches, stored
-from tideline.llm.toxicity import STEM, WORD, telling_traits
+from tideline.llm.toxicity import WORD, Voters, telling_traits
 
 #: Kinds of bytes whose shares of a text are measured.
 KINDS = (
@@ -35,8 +35,6 @@ KINDS = (
 KIND_OF = np.zeros((256, len(KINDS)))
 for _i, _kind in enumerate(KINDS):
     KIND_OF[list(_kind), _i] = 1
-#: A worker forgets the words it has met when it holds so many.
-KEPT_WORDS = 500_000
 
 
 @dataclass
@@ -50,22 +48,13 @@ class Model:
     weights: np.ndarray | None = None
 
 
-class Measures(dict):
+class Measures(Voters):
     """Measures texts; as a dict, maps a word to the classes it speaks for."""
 
     def __init__(self, model: Model):
+        super().__init__(model.entries)
         self.model = model
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        own = [self.model.entries.get(word)]
-        if len(word) >= STEM:
-            own.append(self.model.entries.get(f"^{word[:STEM]}"))
-        found = tuple(c for c in own if c is not None)
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = found
-        return found
-
     def __call__(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words (runs without white space) and the measures."""
         raw = text.encode()

@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other table has; it goes at the end of the ``scratch`` it was made in."""
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that no other table has; unless to ``keep``, it goes at the end of the ``scratch`` it was made in."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
+    if _OPEN and not keep:
         _OPEN[-1].append(path)
     return path
 

@@ -22,20 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import small_batches
+from tideline.llm.shared import Kept, small_batches
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Longer words are passed over again each time, and a worker forgets its words when it holds so many.
-KEPT_LENGTH, KEPT_WORDS = 48, 1_000_000
+#: Longer words are passed over again each time; bytes of words, and number of pairs of pieces, that a worker keeps.
+KEPT_LENGTH, KEPT_BYTES, KEPT_PAIRS = 48, 128 << 20, 300_000
 
 
-class PrefixCounter(dict):
+class PrefixCounter(Kept):
     """Maps a word with one space before it to the change of the token count at each code point, as signed bytes."""
 
     def __init__(self, model_path: str):
         import sentencepiece
 
+        super().__init__(KEPT_BYTES)
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = model.get_piece_size()
         self.rank = {
@@ -69,6 +70,8 @@ class PrefixCounter(dict):
 
     def stays(self, last: str, token: str) -> bool:
         """Whether the two stay apart when encoded together (and, without ``last``, whether the token is one piece)."""
+        if len(self.apart) >= KEPT_PAIRS:
+            self.apart.clear()
         known = self.apart[last, token] = self.merged(last + token) == ([last, token] if last else [token])
         return known
 
@@ -100,13 +103,12 @@ class PrefixCounter(dict):
         count = self.counts(word)
         return bytes([(b - a) & 255 for a, b in zip(count, count[1:])])
 
-    def __missing__(self, word: str) -> bytes:
-        steps = self.word_steps(SPACE + word)
+    def make(self, word: str) -> bytes:
+        return self.word_steps(SPACE + word)
+
+    def keep(self, word: str, steps: bytes) -> None:
         if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = steps
-        return steps
+            super().keep(word, steps)
 
     def steps(self, text: str) -> np.ndarray:
         """The change of the token count at each code point of ``text``; their running sum is the prefix table."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import small_batches, stored
+from tideline.llm.shared import Kept, small_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -32,8 +32,8 @@ WORD_VOTERS, STEM_VOTERS = 8, 6
 STYLE = (re.compile(r"\b[A-ZÀ-Þ]{4,}\b"), re.compile(r"[!?]{2,}"), re.compile(r"[a-z][0-9@$]+[a-z]"))
 STYLES = len(STYLE)
 VOTERS = WORD_VOTERS + STEM_VOTERS + STYLES
-#: A worker forgets the words it has met when it holds so many.
-KEPT_WORDS = 500_000
+#: Bytes of words that a worker keeps with their voters.
+KEPT_BYTES = 24 << 20
 
 
 @dataclass
@@ -57,21 +57,18 @@ def style(text: str) -> tuple[int, int, int]:
     return tuple(len(p.findall(text)) for p in STYLE)
 
 
-class Voters(dict):
+class Voters(Kept):
     """Maps a word to the voters it makes fire; most words have none."""
 
     def __init__(self, entries: dict[str, int]):
+        super().__init__(KEPT_BYTES)
         self.entries = entries
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def make(self, word: str) -> tuple[int, ...]:
         own = [self.entries.get(word)]
         if len(word) >= STEM:
             own.append(self.entries.get(f"^{word[:STEM]}"))
-        fired = tuple(v for v in own if v is not None)
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = fired
-        return fired
+        return tuple(v for v in own if v is not None)
 
     def hits(self, text: str) -> np.ndarray:
         """How many distinct words made each voter fire."""

@@ -11,12 +11,10 @@ Other columns of the input, whatever their names, are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import shared_dir
+from tideline.llm.shared import new_path
 
 URN = "urn:tideline:page:"
 
@@ -116,7 +114,7 @@ def record_bytes(records: DataFrame) -> DataFrame:
 def archive_report(pages: DataFrame) -> DataFrame:
     """Archive ``pages`` in the shared folder, read it back and describe each record."""
     spark = pages.sparkSession
-    path = write_archive(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    path = write_archive(pages, new_path(spark, "warc", keep=True))
     return read_archive(spark, path).select(
         "page_id",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
