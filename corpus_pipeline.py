@@ -1,21 +1,20 @@
 """A corpus from raw documents to token files, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared folder and
-reads it again as the next stage's documents. All stages but the last return the columns of ``documents``.
+reads it again as the next stage's documents. All stages but the last return the columns of ``documents``. What a
+stage stored on its way, and its input once it is read, is deleted; the token files of the last stage stay.
 
 Cases (empty tables, nulls, repeated rows) are those of the operators that the stages call.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, mixing, simhash, token_files, toxicity
-from tideline.llm.shared import shared_dir
+from tideline.llm.shared import new_path, remove, scratch
 
 #: Shares of the tokens after mixing, by the quality that the labelled table teaches.
 TARGETS = {"good": 0.9, "poor": 0.1}
@@ -60,9 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = new_path(spark, f"pipeline-{name}", keep=True)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
