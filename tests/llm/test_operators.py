@@ -1,6 +1,8 @@
 """The operators beside brute-force versions and in the cases their docstrings define."""
 
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
@@ -157,6 +159,7 @@ def test_label_model_finds_the_poor_voter():
 
 
 def slow_contaminated(docs, items, window=50, overlap=0.8):
+    """From the definition alone: on every diagonal, the share of equal words in every stretch."""
     import re
 
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
@@ -165,17 +168,50 @@ def slow_contaminated(docs, items, window=50, overlap=0.8):
         w = words(text)
         for i, item in items:
             v = words(item)
-            if len(v) < 5:
-                continue
             for start in range(-len(v) + 1, len(w)):
                 same = [0 <= start + k < len(w) and w[start + k] == v[k] for k in range(len(v))]
                 size = min(window, len(v))
-                seeded = any(all(same[k + o] for o, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for k in range(len(v) - len(m) + 1))
-                if seeded and any(sum(same[k : k + size]) >= overlap * size for k in range(len(v) - size + 1)):
+                if any(sum(same[k : k + size]) >= overlap * size for k in range(len(v) - size + 1)):
                     found.add((d, i))
     return found
 
 
+@pytest.mark.parametrize("overlap", [0.8, 0.9, 0.7])
+def test_no_match_is_without_a_seed(overlap):
+    """Every way in which the words allowed may differ shows a seed: by counting for all lengths, by trial for the short ones."""
+    for n in range(1, 51):
+        masks, may_differ = decontaminate.masks_for(n, overlap), n - math.ceil(overlap * n - 1e-9)
+        assert masks == ("1" * n,) or decontaminate.least_to_hide(masks, n) > may_differ
+        for differ in itertools.combinations(range(n), may_differ) if n <= 14 else ():
+            places = [(m, k) for m in masks for k in range(n - len(m) + 1)]
+            assert any(all(bit == "0" or k + o not in differ for o, bit in enumerate(m)) for m, k in places)
+
+
+def test_decontamination_at_the_limit(spark, docs_of):
+    """Items of each length with as many words replaced as are allowed, and one more."""
+    rng = random.Random(12)
+    items, docs, want = [], [], set()
+    for n in range(1, 61):
+        item = [f"n{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        size = min(n, 50)
+        for extra in (0, 1):
+            text = list(item)
+            for at in rng.sample(range(size), min(size, size - math.ceil(0.8 * size - 1e-9) + extra)):
+                text[at] = f"other{rng.randrange(10**6)}"
+            if n > 50:
+                text[50:] = [f"tail{rng.randrange(10**6)}" for _ in text[50:]]
+            docs.append((2 * n + extra, "before it " + " ".join(text) + " and after"))
+            if not extra:
+                want.add((2 * n, n))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit("clash")).withColumn("seed", F.lit(1))
+    rows = docs_of(docs).withColumn("seed", F.lit("clash")).withColumn("text_hash", F.lit("clash")).withColumn("item_key", F.lit(0)).withColumn("at", F.lit(0))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, bench).collect()}
+    assert got == want == slow_contaminated(docs, items)
+    kept = decontaminate.clean(rows, bench)
+    assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_decontamination_beside_brute_force(spark, docs_of):
     rng = random.Random(2)
     words = [f"t{i}" for i in range(500)]

@@ -62,6 +62,35 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_decontaminate"] = op3_decontaminate
+# a run of equal words is left wherever a fifth of the words differ: of three words, of two in an item of five
+ORACLES["op3_decontaminate"] = r"""
+    WITH d AS (
+        SELECT doc_id, hash(text) AS text_hash, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w FROM documents
+    ), i AS (
+        SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS v FROM benchmark
+    ), sizes AS (
+        SELECT unnest([1, 2, 3]) AS size
+    ), ik AS (
+        SELECT item_id, v, size, unnest(list_transform(range(1, len(v) - size + 2), lambda p: {'p': p, 'k': array_to_string(v[p:p + size - 1], ' ')})) AS r
+        FROM i, sizes WHERE size = CASE WHEN len(v) = 1 THEN 1 WHEN len(v) = 2 OR len(v) = 5 THEN 2 ELSE 3 END
+    ), dk AS (
+        SELECT doc_id, text_hash, size, unnest(list_transform(range(1, len(w) - size + 2), lambda p: {'p': p, 'k': array_to_string(w[p:p + size - 1], ' ')})) AS r
+        FROM d, sizes WHERE size IN (SELECT size FROM ik)
+    ), lines AS (
+        SELECT DISTINCT dk.doc_id, dk.text_hash, ik.item_id, ik.v, dk.r.p - ik.r.p AS start FROM dk JOIN ik ON dk.size = ik.size AND dk.r.k = ik.r.k
+    ), same AS (
+        SELECT l.doc_id, l.text_hash, l.item_id, l.start, len(l.v) AS n, least(len(l.v), 50) AS width,
+               list_transform(range(1, len(l.v) + 1), lambda k: CASE WHEN l.start + k >= 1 AND d.w[l.start + k] = l.v[k] THEN 1 ELSE 0 END) AS s
+        FROM lines l JOIN d ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text_hash = l.text_hash
+    ), windows AS (
+        SELECT doc_id, text_hash, item_id, start, width, s, unnest(range(0, n - width + 1)) AS o FROM same
+    ), counted AS (
+        SELECT doc_id, text_hash, item_id, start + o AS at_word, width, list_sum(s[o + 1:o + width]) AS matched FROM windows
+    )
+    SELECT doc_id, item_id, CAST(at_word AS INTEGER) AS at_word, CAST(width AS INTEGER) AS words, CAST(matched AS INTEGER) AS matched, matched / width AS overlap FROM counted
+    WHERE matched >= 0.8 * width
+    QUALIFY row_number() OVER (PARTITION BY doc_id, text_hash, item_id ORDER BY matched DESC, at_word) = 1
+"""
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
