@@ -494,6 +494,8 @@ def test_rates_meet_targets(spark, docs_of):
 
 def test_mixed_rows_keep_every_document(spark, docs_of):
     docs, labels, label = mixing_case(spark, docs_of)
+    for name in ("rate", "row", "tokens", "p", "copy", "c0", "label", "x"):
+        docs = docs.withColumn(name, F.lit("clash"))
     out = mixing.mixed(docs, labels, label, {"good": 0.9, "poor": 0.1})
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
