@@ -91,26 +91,39 @@ def nearest_cell(points: DataFrame, grid: DataFrame, lat0: float, lon0: float, s
     return points.withColumn("i", snap("lat", lat0)).withColumn("j", snap("lon", lon0)).join(grid, ["i", "j"], "left")
 
 
-def knn_cells(points: DataFrame, cells: DataFrame, k: int = 5, most_km: float = 50.0, most_hours: float = 3.0, width: float = 0.5) -> DataFrame:
+def knn_cells(
+    points: DataFrame, cells: DataFrame, k: int = 5, most_km: float = 50.0, most_hours: float = 3.0, width: float = 0.5, levels: int = 5
+) -> DataFrame:
     """Of each point's ``k`` nearest cells by degrees, the one with the least ``km + 10 hours``.
 
     The cut to ``k`` comes before the gates on distance and time. ``width`` (degrees) must be at least the distance
-    gate; cells are looked for in the neighbouring buckets of that width. Distances within 1e-9 degrees tie, and the earlier time goes first.
+    gate. Where a point's own square of half a bucket's side holds ``k`` cells, the ``k`` nearest are within the
+    neighbouring buckets; each point takes the narrowest of ``levels`` buckets, halved from ``width``, for which that
+    holds, else the widest. Distances within 1e-9 degrees tie, and the earlier time goes first.
     """
+    side = F.lit(float(width)) / F.pow(F.lit(2.0), F.col("_l"))
+    square = lambda c, size: F.floor(F.col(c) / size)
+    ladder = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_l")
+    keyed = cells.select("lat", "lon", ladder).groupBy("_l", square("lat", side / 2).alias("_i"), square("lon", side / 2).alias("_j"))
+    full = keyed.count().where(F.col("count") >= k).drop("count")
+    tried = points.select("point_id", "lat", "lon", ladder).select("point_id", "_l", square("lat", side / 2).alias("_i"), square("lon", side / 2).alias("_j"))
+    own = tried.join(full, ["_l", "_i", "_j"], "left_semi").groupBy("point_id").agg(F.max("_l").alias("_l"))
     near = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = points.withColumn("_n", F.explode(near)).withColumn("_i", F.floor(F.col("lat") / width) + F.col("_n.di")).withColumn(
-        "_j", F.floor(F.col("lon") / width) + F.col("_n.dj")
-    )
-    held = cells.select(
-        F.floor(F.col("lat") / width).alias("_i"), F.floor(F.col("lon") / width).alias("_j"),
+    spread = points.join(own, "point_id", "left").withColumn("_l", F.coalesce("_l", F.lit(0))).withColumn("_n", F.explode(near))
+    spread = spread.withColumn("_i", square("lat", side) + F.col("_n.di")).withColumn("_j", square("lon", side) + F.col("_n.dj"))
+    held = cells.select("*", ladder).select(
+        "_l", square("lat", side).alias("_i"), square("lon", side).alias("_j"),
         F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), F.col("ts").alias("cell_ts"), "value",
     )
-    joined = spread.join(held, ["_i", "_j"])
+    joined = spread.join(held, ["_l", "_i", "_j"])
     degrees = F.hypot(F.col("lat") - F.col("cell_lat"), F.col("lon") - F.col("cell_lon"))
-    joined = joined.withColumn("_d", degrees).withColumn("hours", F.abs(epoch_seconds("ts") - epoch_seconds("cell_ts")) / 3600.0)
+    joined = joined.select(
+        "point_id", degrees.alias("_d"), F.abs(epoch_seconds("ts") - epoch_seconds("cell_ts")).alias("_s"), "cell_ts", "cell_lat", "cell_lon", "value"
+    )
     order = Window.partitionBy("point_id").orderBy(F.round("_d", 9), "cell_ts", "cell_lat", "cell_lon", "value")
     first = joined.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    scored = first.withColumn("km", F.col("_d") * KM_PER_DEGREE).where((F.col("km") <= most_km) & (F.col("hours") <= most_hours))
+    scored = first.select("*", (F.col("_d") * KM_PER_DEGREE).alias("km"), (F.col("_s") / 3600.0).alias("hours"))
+    scored = scored.where((F.col("km") <= most_km) & (F.col("hours") <= most_hours))
     best = F.min_by(F.struct("value", "km", "hours"), F.struct(F.round(F.col("km") + 10 * F.col("hours"), 6), F.col("_r")))
     return scored.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.value", "b.km", "b.hours")
 

@@ -89,8 +89,8 @@ def ks(base: DataFrame, now: DataFrame, x: str) -> DataFrame:
 
 
 def damped(before: Column, now: Column, step: float = 0.05) -> Column:
-    """The new probability unless it moved by less than ``step``, in which case the old one stays."""
-    return F.when(before.isNull() | (F.abs(now - before) >= step), now).otherwise(before)
+    """The new probability unless it moved by at most ``step``, in which case the old one stays."""
+    return F.when(before.isNull() | (F.abs(now - before) > step), now).otherwise(before)
 
 
 def metrics_frame(rows: DataFrame, features: list[str], d: str = "d", label: str = "target", folds: int = 3, gap: int = 5) -> DataFrame:

@@ -143,34 +143,33 @@ def ema_forecast(rows: DataFrame, keys: list[str], horizon: int = 14, d: str = "
     )
 
 
-def holt(rows: DataFrame, keys: list[str], d: str = "d", x: str = "x", alpha: float = 0.3, beta: float = 0.1, horizon: int = 6) -> DataFrame:
-    """Holt's level and trend, and forecasts with a 95 % band of ``1.96 sigma sqrt(h)``, floored at 0.
+def holt(rows: DataFrame, keys: list[str], d: str = "d", x: str = "x", alpha: float = 0.3, horizon: int = 6) -> DataFrame:
+    """Level and trend of each series, both smoothed by ``alpha``, and forecasts with a 95 % band of ``1.96 sigma sqrt(h)``.
 
-    Residuals are of one-step forecasts; sigma is their population deviation. Series with fewer than two values go.
+    The level starts at the first value and the trend at 0. Forecast and lower bound are floored at 0. Residuals are of
+    one-step forecasts, of every value but the first; sigma is their population deviation, 0 without any.
     """
-    first, second = F.get("xs", F.lit(0)), F.get("xs", F.lit(1))
-    start = F.struct(
-        first.alias("level"), (second - first).alias("trend"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("n")
-    )
+    first = F.get("xs", F.lit(0))
+    start = F.struct(first.alias("level"), F.lit(0.0).alias("trend"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("n"))
 
     def step(state: Column, v: Column) -> Column:
         ahead = state["level"] + state["trend"]
         level = alpha * v + (1 - alpha) * ahead
-        trend = beta * (level - state["level"]) + (1 - beta) * state["trend"]
+        trend = alpha * (level - state["level"]) + (1 - alpha) * state["trend"]
         off = v - ahead
         return F.struct(
             level.alias("level"), trend.alias("trend"), (state["s"] + off).alias("s"), (state["ss"] + off * off).alias("ss"), (state["n"] + 1.0).alias("n")
         )
 
     rest = F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0)))
-    fitted = ordered_values(rows, keys, d, x).where(F.size("xs") >= 2).withColumn("f", F.aggregate(rest, start, step))
-    mean = F.col("f.s") / F.col("f.n")
-    sigma = F.sqrt(F.greatest(F.col("f.ss") / F.col("f.n") - mean * mean, F.lit(0.0)))
+    fitted = ordered_values(rows, keys, d, x).where(F.size("xs") > 0).withColumn("f", F.aggregate(rest, start, step))
+    mean = F.try_divide("f.s", "f.n")
+    sigma = F.coalesce(F.sqrt(F.greatest(F.try_divide("f.ss", "f.n") - mean * mean, F.lit(0.0))), F.lit(0.0))
     steps = fitted.withColumn("sigma", sigma).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     point = F.col("f.level") + F.col("h") * F.col("f.trend")
     band = 1.96 * F.col("sigma") * F.sqrt(F.col("h").cast("double"))
     floor = lambda c: F.greatest(c, F.lit(0.0))
-    return steps.select(*keys, "h", floor(point).alias("forecast"), floor(point - band).alias("low"), floor(point + band).alias("high"))
+    return steps.select(*keys, "h", floor(point).alias("forecast"), floor(point - band).alias("low"), (point + band).alias("high"))
 
 
 def band_of(z: Column) -> Column:

@@ -141,13 +141,13 @@ def distance_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "track_interpolation",
     """
     WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS track_id, l_quantity AS lat0, l_discount AS lon0, l_tax AS lat1, l_quantity / 2 AS lon1,
-                      epoch(o_orderdate) AS a, epoch(l_shipdate) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity < 5)
+                      epoch(o_orderdate) AS a, epoch(l_shipdate) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
     SELECT track_id, CAST(k AS INT) AS k, round(lat0 + k / 4.0 * (lat1 - lat0), 6) AS lat, round(lon0 + k / 4.0 * (lon1 - lon0), 6) AS lon,
            CAST(floor(a + k / 4.0 * (b - a)) AS BIGINT) AS epoch FROM t, range(5) r(k)
     """,
 )
 def track_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = table(spark, sf_dir, "lineitem").where("l_quantity < 5"), table(spark, sf_dir, "orders")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     tracks = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("track_id"), F.col("l_quantity").alias("lat0"), F.col("l_discount").alias("lon0"),
         F.col("l_tax").alias("lat1"), (F.col("l_quantity") / 2).alias("lon1"), F.col("o_orderdate").alias("start_ts"), F.col("l_shipdate").alias("end_ts"),
@@ -239,15 +239,15 @@ def registry_max_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     "registry_merge",
     f"""
     WITH {RULES}, p AS (SELECT mmsi, arg_max(s, c) AS s, max(c) AS c FROM r GROUP BY mmsi),
-    g AS (SELECT c_custkey AS mmsi, 'static' AS s, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 10) / 10.0::DOUBLE END AS c FROM customer WHERE c_custkey % 3 = 0)
+    g AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE -c_custkey END AS mmsi, 'static' AS s, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 10) / 10.0::DOUBLE END AS c FROM customer)
     SELECT coalesce(g.mmsi, p.mmsi) AS mmsi, CASE WHEN p.c IS NOT NULL AND (g.c IS NULL OR p.c > g.c) THEN p.s ELSE g.s END AS type_source,
            CASE WHEN p.c IS NOT NULL AND (g.c IS NULL OR p.c > g.c) THEN p.c ELSE g.c END AS confidence FROM g FULL JOIN p ON p.mmsi = g.mmsi
     """,
 )
 def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    held = table(spark, sf_dir, "customer").where(key % 3 == 0).select(
-        key.alias("mmsi"), F.lit("static").alias("type_source"), F.when(key % 4 != 0, key % 10 / 10.0).alias("confidence")
+    held = table(spark, sf_dir, "customer").select(
+        F.when(key % 3 == 0, key).otherwise(-key).alias("mmsi"), F.lit("static").alias("type_source"), F.when(key % 4 != 0, key % 10 / 10.0).alias("confidence")
     )
     return registry.merge_confidence(held, registry.heuristic_confidence(_evidence(spark, sf_dir)))
 
@@ -345,13 +345,13 @@ def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     "portstay_summary",
     """
     WITH s AS (SELECT c_mktsegment AS t, n_name AS p, o_orderdate AS a, l_shipdate AS b, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-               JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity < 3 AND c_mktsegment IN ('BUILDING', 'MACHINERY')),
+               JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
     e AS (SELECT p, CAST(b AS DATE) AS d, 1 AS dep, 0 AS arr FROM s UNION ALL SELECT p, CAST(b AS DATE), 1, 0 FROM s WHERE n % 2 = 0 UNION ALL SELECT p, CAST(a AS DATE), 0, 1 FROM s)
     SELECT regexp_replace(regexp_replace(lower(trim(p)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS port_code, d AS ds, CAST(sum(dep) AS BIGINT) AS departures, CAST(sum(arr) AS BIGINT) AS arrivals FROM e GROUP BY ALL
     """,
 )
 def portstay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = table(spark, sf_dir, "lineitem").where("l_quantity < 3"), table(spark, sf_dir, "orders")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
         F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")

@@ -210,16 +210,15 @@ def ema_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH RECURSIVE {HOURLY}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts) AS i FROM hr),
     f AS (
-        SELECT a.k, CAST(1 AS BIGINT) AS i, CAST(a.x AS DOUBLE) AS lv, CAST(b.x - a.x AS DOUBLE) AS tr, CAST(0 AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS ss
-        FROM n a JOIN n b ON a.k = b.k AND a.i = 1 AND b.i = 2
+        SELECT k, CAST(1 AS BIGINT) AS i, CAST(x AS DOUBLE) AS lv, CAST(0 AS DOUBLE) AS tr, CAST(0 AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS ss FROM n WHERE i = 1
         UNION ALL
-        SELECT k, i, nl, 0.1::DOUBLE * (nl - lv) + 0.9::DOUBLE * tr, s + r, ss + r * r FROM (
+        SELECT k, i, nl, 0.3::DOUBLE * (nl - lv) + 0.7::DOUBLE * tr, s + r, ss + r * r FROM (
             SELECT f.k, n.i, f.lv, f.tr, f.s, f.ss, n.x - (f.lv + f.tr) AS r, 0.3::DOUBLE * n.x + 0.7::DOUBLE * (f.lv + f.tr) AS nl
             FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1)
     ), l AS (SELECT k, max(i) AS m, arg_max(lv, i) AS lv, arg_max(tr, i) AS tr, arg_max(s, i) AS s, arg_max(ss, i) AS ss FROM f GROUP BY k),
-    g AS (SELECT *, sqrt(greatest(ss / (m - 1) - (s / (m - 1)) ** 2, 0)) AS sg FROM l)
+    g AS (SELECT *, coalesce(sqrt(greatest(ss / nullif(m - 1, 0) - (s / nullif(m - 1, 0)) ** 2, 0)), 0) AS sg FROM l)
     SELECT k, CAST(h AS INT) AS h, round(greatest(lv + h * tr, 0), 5) AS forecast, round(greatest(lv + h * tr - 1.96 * sg * sqrt(h), 0), 5) AS low,
-           round(greatest(lv + h * tr + 1.96 * sg * sqrt(h), 0), 5) AS high FROM g, range(1, 7) t(h)
+           round(lv + h * tr + 1.96 * sg * sqrt(h), 5) AS high FROM g, range(1, 7) t(h)
     """,
 )
 def holt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,8 +262,7 @@ def component_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fill_dates",
     """
-    WITH day AS (SELECT CAST(o_orderdate AS DATE) AS d, c_mktsegment AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
-                 WHERE o_totalprice > 200000 GROUP BY ALL),
+    WITH day AS (SELECT CAST(o_orderdate AS DATE) AS d, c_custkey AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
     s AS (SELECT k, min(d) AS a, max(d) AS b FROM day GROUP BY k),
     g AS (SELECT k, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM s)
     SELECT g.k, g.d, day.n FROM g LEFT JOIN day USING (k, d)
@@ -272,8 +270,8 @@ def component_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = orders.where("o_totalprice > 200000").join(customers, orders["o_custkey"] == customers["c_custkey"])
-    counts = rows.groupBy(F.to_date("o_orderdate").alias("d"), F.col("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+    counts = rows.groupBy(F.to_date("o_orderdate").alias("d"), F.col("c_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return seasonal.fill_dates(counts, ["k"])
 
 

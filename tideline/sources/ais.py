@@ -20,8 +20,9 @@ PATHS = {
 TIME_PATHS = ("$.MetaData.receivedTimestamp", "$.MetaData.time_utc", "$.timestamp", "$.Message.PositionReport.Timestamp")
 
 
-def at(payload: Column | str, paths: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.get_json_object(payload, p) for p in paths])
+def at(parsed: Column | str, paths: tuple[str, ...]) -> Column:
+    """Text of the first of ``paths`` that a parsed message has."""
+    return F.coalesce(*[F.try_variant_get(parsed, p, "string") for p in paths])
 
 
 def message_time(candidate: Column, rx_time: Column) -> Column:
@@ -35,9 +36,9 @@ def message_time(candidate: Column, rx_time: Column) -> Column:
     )
 
 
-def infer_time(payload: Column | str, rx_time: Column) -> Column:
-    """The first usable of the candidate fields, else the time of receipt."""
-    return F.coalesce(*[message_time(F.get_json_object(payload, p), rx_time) for p in TIME_PATHS], rx_time)
+def infer_time(candidates: Column, rx_time: Column) -> Column:
+    """The first usable of the candidate texts, else the time of receipt."""
+    return F.coalesce(*[message_time(F.get(candidates, F.lit(i)), rx_time) for i in range(len(TIME_PATHS))], rx_time)
 
 
 def is_tanker(code: Column, name: Column) -> Column:
@@ -49,9 +50,13 @@ def canonicalize(messages: DataFrame, payload: str = "payload", rx_time: str = "
 
     Ids are nine digits after padding, latitude and longitude in range, speed 0 to 40; a course outside 0 to 360 is null.
     """
-    raw = messages.select(rx_time, *[at(payload, p).alias(c) for c, p in PATHS.items()], infer_time(payload, F.col(rx_time)).alias("msg_time"))
+    fields = [at("parsed", p).alias(c) for c, p in PATHS.items()]
+    times = F.array(*[F.try_variant_get("parsed", p, "string") for p in TIME_PATHS]).alias("times")
+    # a message is parsed once; its fields are one generated row, below which filters on them can't be pushed
+    parsed = messages.select(rx_time, F.try_parse_json(payload).alias("parsed"))
+    raw = parsed.select(rx_time, F.inline(F.array(F.struct(*fields, times))))
     typed = raw.select(
-        "msg_time", rx_time, F.lpad("mmsi", 9, "0").alias("mmsi_text"), F.col("mmsi").try_cast("long").alias("mmsi"),
+        infer_time(F.col("times"), F.col(rx_time)).alias("msg_time"), rx_time, F.lpad("mmsi", 9, "0").alias("mmsi_text"), F.col("mmsi").try_cast("long").alias("mmsi"),
         *[F.col(c).try_cast("double").alias(c) for c in ("lat", "lon", "sog", "cog")],
         F.col("ship_type").try_cast("int").alias("shiptype_num"), F.col("ship_type").alias("shiptype_str"),
     )
