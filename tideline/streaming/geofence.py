@@ -1,22 +1,33 @@
-"""Geofence state machine: polygon entries and exits with hysteresis, and gate crossings, per vessel.
+"""Geofence state machines per vessel: polygon entries and exits with hysteresis, gate crossings, dwell sessions, tracklets.
 
-``step`` is the rule for one fix; the batch operator runs it over each vessel's fixes in order (``applyInPandas``), the
-streaming operator over each batch of them with state kept by Spark (``applyInPandasWithState``). Time is the fixes'
-own; a silent vessel expires when the watermark passes.
+What a fix says on its own or beside the one before (polygons that hold it, gates that the move crosses, an
+implausible speed) is column maths; only what depends on all that came before goes through Python. Batch operators
+sort each vessel's fixes and stream them, with the state carried from one Arrow batch to the next; the streaming
+operator keeps the state in Spark (``applyInPandasWithState``). Time is the fixes' own; on streams a silent vessel
+expires when the watermark passes.
+
+Cases: fixes without id, time or position are left out; of fixes at one time the order is by position, then speed.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.functions.columns import EARTH_NM, MERCATOR_RADIUS_M, haversine
+from tideline.operators.geo import in_ring, mercator
+
 EVENT_DDL = "mmsi long, kind string, place_id string, event string, ts timestamp, lat double, lon double, sog double"
+DWELL_DDL = "mmsi long, polygon_id string, kind string, ts_in timestamp, ts_out timestamp, dwell_min long, lon double, lat double"
+TRACKLET_DDL = "tracklet_id string, mmsi long, start_ts timestamp, end_ts timestamp, n_points long, mean_cog_deg double, mean_sog double"
 STATE_DDL = "state string"
 
 
@@ -25,6 +36,8 @@ class Polygon:
     polygon_id: str
     ring: tuple[tuple[float, float], ...]
     anchorage: bool = False
+    kind: str = "terminal"
+    min_dwell_min: int = 0
 
 
 @dataclass(frozen=True)
@@ -32,6 +45,7 @@ class Gate:
     gate_id: str
     a: tuple[float, float]
     b: tuple[float, float]
+    buffer_m: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -44,6 +58,12 @@ class Rules:
     anchorage_ttl_s: int = 90 * 60
     gate_repeat_s: int = 5 * 60
     spoof_kn: float = 40.0
+    #: Dwell sessions: a slow vessel this near its last place inside stays, and a silence longer than this ends at that place.
+    stay_nm: float = 0.5
+    stay_kn: float = 1.0
+    silent_s: int = 15 * 60
+    #: Tracklets: spans in seconds.
+    tracklet_s: tuple[int, int] = (5 * 60, 15 * 60)
 
 
 @dataclass
@@ -70,13 +90,47 @@ def inside(ring: tuple[tuple[float, float], ...], x: float, y: float) -> bool:
     return odd
 
 
-def crossing(gate: Gate, p: tuple[float, float], q: tuple[float, float]) -> str | None:
-    """Direction in which the move from p to q crosses the gate's line, by the side on which it ends."""
-    side = lambda o, d, t: (d[0] - o[0]) * (t[1] - o[1]) - (d[1] - o[1]) * (t[0] - o[0])
-    p_side, q_side = side(gate.a, gate.b, p), side(gate.a, gate.b, q)
-    if p_side * q_side > 0 or p_side == q_side or side(p, q, gate.a) * side(p, q, gate.b) > 0:
-        return None
-    return "AtoB" if q_side > p_side else "BtoA"
+def metres(lon: float, lat: float) -> tuple[float, float]:
+    return MERCATOR_RADIUS_M * math.radians(lon), MERCATOR_RADIUS_M * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
+
+
+def _side(o, d, t):
+    """On which side of the line from o to d the point t lies (floats or columns)."""
+    return (d[0] - o[0]) * (t[1] - o[1]) - (d[1] - o[1]) * (t[0] - o[0])
+
+
+def _gate_normal(gate: Gate) -> tuple[tuple[float, float], tuple[float, float], tuple[float, float]]:
+    """Ends of a gate in metres and its normal, which points to the left of the way from a to b."""
+    a, b = metres(*gate.a), metres(*gate.b)
+    length = math.hypot(b[0] - a[0], b[1] - a[1])
+    return a, b, (-(b[1] - a[1]) / length, (b[0] - a[0]) / length) if length else (0.0, 0.0)
+
+
+def _way(gate: Gate, before: tuple[Column, Column], now: tuple[Column, Column], course: Column) -> Column:
+    """Direction in which the move between two places (metres) crosses the gate or comes within its buffer; null if it doesn't.
+
+    The move's component along the gate's normal tells the direction; without a move the course stands for it.
+    """
+    a, b, normal = _gate_normal(gate)
+    a, b = tuple(map(F.lit, a)), tuple(map(F.lit, b))
+    meets = (_side(a, b, before) * _side(a, b, now) <= 0) & (_side(before, now, a) * _side(before, now, b) <= 0)
+    if gate.buffer_m:
+        ends = [_apart(before, a, b), _apart(now, a, b), _apart(a, before, now), _apart(b, before, now)]
+        meets = meets | (F.least(*ends) <= gate.buffer_m)
+    dx, dy = now[0] - before[0], now[1] - before[1]
+    moved = F.hypot(dx, dy) > 0
+    along = F.when(moved, dx * normal[0] + dy * normal[1]).otherwise(
+        F.cos(F.radians(course)) * normal[0] + F.sin(F.radians(course)) * normal[1]
+    )
+    return F.when(meets & (along >= 0), "AtoB").when(meets & (along < 0), "BtoA")
+
+
+def _apart(p, a, b) -> Column:
+    """Distance of a point from the line between two others."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    t = F.coalesce(F.try_divide((p[0] - a[0]) * dx + (p[1] - a[1]) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return F.hypot(p[0] - (a[0] + t * dx), p[1] - (a[1] + t * dy))
 
 
 def knots(seconds: float, lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -94,61 +148,237 @@ def expire(state: VesselState, rules: Rules, now: float) -> Iterator[tuple]:
             yield "polygon", polygon_id, "exit", run[3], *state.last[1:], None
 
 
-def step(state: VesselState, rules: Rules, t: float, lat: float, lon: float, sog: float | None, tanker: bool) -> Iterator[tuple]:
-    """Events of one fix: kind, place, event, seconds, lat, lon, sog."""
-    state.tanker = state.tanker or tanker
-    bucket = int(t // rules.downsample_s)
-    if not state.tanker or bucket <= state.last_bucket:
-        return  # not a tanker, a second fix of its bucket, or out of order
-    state.last_bucket = bucket
+def advance(
+    state: VesselState, rules: Rules, t: float, lat: float, lon: float, sog: float | None, within: set[str], ways: list[tuple[str, str]], jump: bool
+) -> Iterator[tuple]:
+    """Events of one fix: kind, place, event, seconds, lat, lon, sog. ``within`` names the polygons that hold it, ``ways`` gates and directions crossed."""
     if state.last is not None:
         yield from expire(state, rules, t)
-        if knots(t - state.last[0], *state.last[1:], lat, lon) > rules.spoof_kn:
-            yield "spoof", "", "jump", t, lat, lon, sog
-    for polygon in rules.polygons:
-        run = state.runs.setdefault(polygon.polygon_id, [0, 0, False, t])
-        if inside(polygon.ring, lon, lat):
-            run[0], run[1], run[3] = run[0] + 1, 0, t
-            if not run[2] and run[0] >= rules.hits:
-                run[2] = True
-                yield "polygon", polygon.polygon_id, "enter", t, lat, lon, sog
-        else:
+    if jump:
+        yield "spoof", "", "jump", t, lat, lon, sog
+    for polygon_id in within:
+        run = state.runs.setdefault(polygon_id, [0, 0, False, t])
+        run[0], run[1], run[3] = run[0] + 1, 0, t
+        if not run[2] and run[0] >= rules.hits:
+            run[2] = True
+            yield "polygon", polygon_id, "enter", t, lat, lon, sog
+    for polygon_id, run in state.runs.items():
+        if polygon_id not in within:
             run[0], run[1] = 0, run[1] + 1
             if run[2] and run[1] >= rules.hits:
                 run[2] = False
-                yield "polygon", polygon.polygon_id, "exit", t, lat, lon, sog
-    if state.last is not None:
-        for gate in rules.gates:
-            way = crossing(gate, (state.last[2], state.last[1]), (lon, lat))
-            key = f"{gate.gate_id}|{way}"
-            if way and t - state.emitted.get(key, -math.inf) >= rules.gate_repeat_s:
-                state.emitted[key] = t
-                yield "gate", gate.gate_id, way, t, lat, lon, sog
+                yield "polygon", polygon_id, "exit", t, lat, lon, sog
+    for gate_id, way in ways:
+        key = f"{gate_id}|{way}"
+        if t - state.emitted.get(key, -math.inf) >= rules.gate_repeat_s:
+            state.emitted[key] = t
+            yield "gate", gate_id, way, t, lat, lon, sog
     state.last = [t, lat, lon]
 
 
-def _run(state: VesselState, rules: Rules, mmsi: int, fixes: pd.DataFrame) -> pd.DataFrame:
-    found = []
-    for r in fixes.sort_values("ts").itertuples():
-        seconds = pd.Timestamp(r.ts).timestamp()
-        found += [(mmsi, *e) for e in step(state, rules, seconds, r.lat, r.lon, r.sog, bool(r.is_tanker))]
-    return _frame(found)
+def _seconds(column: str = "ts") -> Column:
+    return F.unix_micros(column) / 1e6
+
+
+ORDER = ("t", "lat", "lon", "sog")
+
+
+def usable(fixes: DataFrame) -> DataFrame:
+    """``mmsi, ts, t, lat, lon, sog, cog, is_tanker`` of the fixes with id, time and position."""
+    course = F.col("cog").cast("double") if "cog" in fixes.columns else F.lit(None).cast("double")
+    rows = fixes.select("mmsi", F.col("ts").cast("timestamp").alias("ts"), "lat", "lon", "sog", course.alias("cog"), F.col("is_tanker").alias("is_tanker"))
+    return rows.dropna(subset=["mmsi", "ts", "lat", "lon"]).withColumn("t", _seconds())
+
+
+def downsampled(fixes: DataFrame, every_s: int) -> DataFrame:
+    """The first fix of each vessel in each ``every_s`` seconds, from its first fix as a tanker on."""
+    order = Window.partitionBy("mmsi").orderBy(*ORDER)
+    so_far = F.max(F.col("is_tanker").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    bucket = F.floor(F.col("t") / every_s)
+    tankers = fixes.withColumn("tanker", so_far).where("tanker = 1").withColumn("bucket", bucket)
+    return tankers.withColumn("before", F.lag("bucket").over(order)).where("before IS NULL OR before < bucket").drop("tanker", "bucket", "before")
+
+
+def held_by(polygons: tuple[Polygon, ...], x: Column, y: Column) -> Column:
+    """Numbers of the polygons that hold a point."""
+    if not polygons:
+        return F.array().cast("array<int>")
+    rings = [(F.array(*[F.lit(float(v)) for v, _ in p.ring]), F.array(*[F.lit(float(v)) for _, v in p.ring])) for p in polygons]
+    return F.array_compact(F.array(*[F.when(in_ring(x, y, xs, ys), F.lit(i)) for i, (xs, ys) in enumerate(rings)]))
+
+
+def observed(fixes: DataFrame, rules: Rules) -> DataFrame:
+    """Down-sampled fixes with ``within``, ``ways`` and ``jump``; those that can't change a vessel's state are left out."""
+    order = Window.partitionBy("mmsi").orderBy(*ORDER)
+    rows = downsampled(usable(fixes), rules.downsample_s)
+    rows = rows.withColumns({f"last_{c}": F.lag(c).over(order) for c in ("t", "lat", "lon")})
+    hours = (F.col("t") - F.col("last_t")) / 3600
+    jump = F.coalesce(F.try_divide(haversine("last_lat", "last_lon", "lat", "lon", EARTH_NM), hours) > rules.spoof_kn, F.lit(False))
+    before, now = mercator("last_lat", "last_lon"), mercator("lat", "lon")
+    ways = [_way(g, before, now, F.col("cog")) for g in rules.gates]
+    crossed = F.array_compact(F.array(*[F.when(w.isNotNull(), F.concat(F.lit(f"{g.gate_id}|"), w)) for g, w in zip(rules.gates, ways)]))
+    rows = rows.select(
+        "mmsi", *ORDER, "last_lat", "last_lon", held_by(rules.polygons, F.col("lon"), F.col("lat")).alias("within"),
+        (crossed if rules.gates else F.array().cast("array<string>")).alias("ways"), jump.alias("jump"),
+    )
+    telling = F.max((F.size("within") > 0).cast("int")).over(order.rowsBetween(-rules.hits, 0)) == 1
+    return rows.withColumn("telling", telling | (F.size("ways") > 0) | F.col("jump")).where("telling").drop("telling")
+
+
+def in_order(rows: DataFrame, columns: list[str], new: Callable[[], object], told: Callable, make: Callable[[list], pd.DataFrame], ddl: str) -> DataFrame:
+    """``told(state, mmsi, *values)`` over each vessel's rows in order, with a state from ``new`` for each vessel.
+
+    The windows that ``rows`` come from have brought a vessel's rows together; the state goes on from batch to batch.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mmsi, state = None, None
+        for frame in frames:
+            found = []
+            for own, *values in zip(*(frame[c].tolist() for c in ("mmsi", *columns))):
+                if own != mmsi:
+                    mmsi, state = own, new()
+                found.extend(told(state, own, *values))
+            yield make(found)
+
+    return rows.sortWithinPartitions("mmsi", *ORDER).select("mmsi", *columns).mapInPandas(run, ddl)
+
+
+def geofence_events(fixes: DataFrame, rules: Rules) -> DataFrame:
+    """Events of a table of fixes (mmsi, ts, lat, lon, sog, is_tanker, maybe cog)."""
+    names = [p.polygon_id for p in rules.polygons]
+
+    def told(state, mmsi, t, lat, lon, sog, last_lat, last_lon, within, ways, jump):
+        if state.last is not None:
+            state.last[1:] = last_lat, last_lon
+        crossed = [tuple(w.rsplit("|", 1)) for w in ways]
+        for e in advance(state, rules, t, lat, lon, None if sog != sog else sog, {names[i] for i in within}, crossed, jump):
+            yield mmsi, *e
+
+    columns = [*ORDER, "last_lat", "last_lon", "within", "ways", "jump"]
+    return in_order(observed(fixes, rules), columns, VesselState, told, _frame, EVENT_DDL)
+
+
+def dwell_sessions(fixes: DataFrame, rules: Rules) -> DataFrame:
+    """Closed stays in polygons: every fix counts, a vessel may be in several polygons at once.
+
+    A fix outside leaves a session open if the vessel is slow and near its last place inside. Otherwise the session
+    ends there and then, or, after a longer silence, at the last time inside. Sessions shorter than the polygon's
+    minimum, and those still open at the end, are not told.
+    """
+    order = Window.partitionBy("mmsi").orderBy(*ORDER)
+    rows = usable(fixes).withColumn("within", held_by(rules.polygons, F.col("lon"), F.col("lat")))
+    # a vessel that has not been in any polygon so far has no session
+    rows = rows.withColumn("ever", F.max(F.size("within")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("ever > 0")
+
+    def told(state: dict, mmsi, t, lat, lon, sog, within):
+        for i in list(state):
+            if i in within:
+                continue
+            entered, last, last_lon, last_lat = state[i]
+            if _nm(last_lat, last_lon, lat, lon) <= rules.stay_nm and (sog if sog == sog and sog is not None else 0.0) < rules.stay_kn:
+                state[i] = [entered, t, lon, lat]
+                continue
+            left, polygon = last if t - last > rules.silent_s else t, rules.polygons[i]
+            del state[i]
+            if int((left - entered) / 60) >= polygon.min_dwell_min:
+                yield mmsi, polygon.polygon_id, polygon.kind, entered, left, int((left - entered) / 60), last_lon, last_lat
+        for i in within:
+            state[i] = [state[i][0] if i in state else t, t, lon, lat]
+
+    return in_order(rows, [*ORDER, "within"], dict, told, _timed(DWELL_DDL, "ts_in", "ts_out"), DWELL_DDL)
+
+
+class Track:
+    """A vessel's fixes of the last while, and where its last tracklet ended."""
+
+    def __init__(self):
+        self.fixes, self.told = deque(), None
+
+
+def tracklets(fixes: DataFrame, rules: Rules) -> DataFrame:
+    """Pieces of track that do not overlap: told once the fixes of the longest span, all after the last piece, cover the shortest.
+
+    Missing courses count as north and missing speeds as 0.
+    """
+    least, most = rules.tracklet_s
+
+    def told(track: Track, mmsi, t, lat, lon, sog, cog):
+        track.fixes.append((t, sog if sog == sog and sog is not None else 0.0, math.radians(cog if cog == cog and cog is not None else 0.0)))
+        while t - track.fixes[0][0] > most:
+            track.fixes.popleft()
+        start, n = track.fixes[0][0], len(track.fixes)
+        if n < 2 or t - start < least or (track.told is not None and start <= track.told):
+            return
+        track.told = t
+        course = math.degrees(math.atan2(sum(math.sin(c) for _, _, c in track.fixes), sum(math.cos(c) for _, _, c in track.fixes)))
+        yield f"{mmsi}-{int(t)}", mmsi, start, t, n, (course + 360.0) % 360.0, sum(s for _, s, _ in track.fixes) / n
+
+    rows = downsampled(usable(fixes), rules.downsample_s)
+    return in_order(rows, [*ORDER, "cog"], Track, told, _timed(TRACKLET_DDL, "start_ts", "end_ts"), TRACKLET_DDL)
+
+
+def _nm(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    return knots(3600.0, lat1, lon1, lat2, lon2)
+
+
+def _timed(ddl: str, *times: str) -> Callable[[list], pd.DataFrame]:
+    """Makes frames of rows whose ``times`` are seconds."""
+    names = [part.split()[0] for part in ddl.split(", ")]
+
+    def make(found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=names)
+        for c in times:
+            out[c] = pd.to_datetime((out[c].astype("float64") * 1e6).round().astype("int64"), unit="us")
+        return out
+
+    return make
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(found, columns=["mmsi", "kind", "place_id", "event", "ts", "lat", "lon", "sog"])
-    out["ts"] = pd.to_datetime((out["ts"].astype("float64") * 1e6).round().astype("int64"), unit="us")
+    out = _timed(EVENT_DDL, "ts")(found)
     out["sog"] = out["sog"].astype("float64")
     return out
 
 
-def geofence_events(fixes: DataFrame, rules: Rules) -> DataFrame:
-    """Events of a table of fixes (mmsi, ts, lat, lon, sog, is_tanker): one vessel's fixes at a time, in order."""
+def step(state: VesselState, rules: Rules, fix) -> Iterator[tuple]:
+    """Events of one fix of a stream, for which nothing is worked out beforehand."""
+    state.tanker = state.tanker or bool(fix.is_tanker)
+    bucket = int(fix.t // rules.downsample_s)
+    if not state.tanker or bucket <= state.last_bucket:
+        return  # not a tanker, a second fix of its bucket, or out of order
+    state.last_bucket = bucket
+    within = {p.polygon_id for p in rules.polygons if inside(p.ring, fix.lon, fix.lat)}
+    ways, jump = [], False
+    if state.last is not None:
+        t, lat, lon = state.last
+        jump = knots(fix.t - t, lat, lon, fix.lat, fix.lon) > rules.spoof_kn
+        for gate in rules.gates:
+            if way := crossing(gate, (lon, lat), (fix.lon, fix.lat), fix.cog):
+                ways.append((gate.gate_id, way))
+    yield from advance(state, rules, fix.t, fix.lat, fix.lon, fix.sog, within, ways, jump)
+
+
+def crossing(gate: Gate, before: tuple[float, float], now: tuple[float, float], course: float | None) -> str | None:
+    """As ``_way``, of places in degrees."""
+    a, b, normal = _gate_normal(gate)
+    p, q = metres(*before), metres(*now)
+    if not (_side(a, b, p) * _side(a, b, q) <= 0 and _side(p, q, a) * _side(p, q, b) <= 0):
+        if not gate.buffer_m or min(_distance(p, a, b), _distance(q, a, b), _distance(a, p, q), _distance(b, p, q)) > gate.buffer_m:
+            return None
+    dx, dy = q[0] - p[0], q[1] - p[1]
+    if not math.hypot(dx, dy):
+        if course is None or course != course:
+            return None
+        dx, dy = math.cos(math.radians(course)), math.sin(math.radians(course))
+    return "AtoB" if dx * normal[0] + dy * normal[1] >= 0 else "BtoA"
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _run(VesselState(), rules, key[0], rows)
 
-    return fixes.select("mmsi", "ts", "lat", "lon", "sog", "is_tanker").groupBy("mmsi").applyInPandas(run, EVENT_DDL)
+def _distance(p: tuple[float, float], a: tuple[float, float], b: tuple[float, float]) -> float:
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    size = dx * dx + dy * dy
+    t = min(1.0, max(0.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / size)) if size else 0.0
+    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
 
 
 def geofence_stream(fixes: DataFrame, rules: Rules, late: str = "10 minutes") -> DataFrame:
@@ -163,11 +393,11 @@ def geofence_stream(fixes: DataFrame, rules: Rules, late: str = "10 minutes") ->
                 yield _frame([(key[0], *e) for e in expire(state, rules, now)])
             kept.remove()
             return
-        rows = pd.concat(list(batches))
-        yield _run(state, rules, key[0], rows)
+        rows = pd.concat(list(batches)).sort_values(list(ORDER))
+        yield _frame([(key[0], *e) for fix in rows.itertuples() for e in step(state, rules, fix)])
         kept.update((state.dump(),))
-        seen_ms = int((state.last[0] if state.last else rows["ts"].max().timestamp()) * 1000)
+        seen_ms = int((state.last[0] if state.last else rows["t"].max()) * 1000)
         kept.setTimeoutTimestamp(max(seen_ms + longest_ms, kept.getCurrentWatermarkMs() + 1))
 
-    watched = fixes.withWatermark("ts", late).select("mmsi", "ts", "lat", "lon", "sog", "is_tanker")
+    watched = usable(fixes).withWatermark("ts", late)
     return watched.groupBy("mmsi").applyInPandasWithState(run, EVENT_DDL, STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout)
