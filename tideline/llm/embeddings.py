@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
-Vectors are turned by random rotations; the signs of the turned components are their code. Vectors of one label
-that agree in some band of the code meet. Where they meet, the first rotation's signs and the stored correction
-factor (the inner product of a vector with its own sign vector) give an unbiased estimate of their inner product
-and a bound on its error; only pairs whose estimate may reach the threshold are computed exactly, in double
-precision. Bands are as many as it takes for a pair at the threshold to miss all of them with probability
+Vectors are turned by random rotations; the signs of the turned components are their code. Stored for each vector
+are the packed signs of the first rotation, its correction factor (the inner product of the vector with its own sign
+vector) and the keys of its bands. Vectors of one label that agree in some band meet, at first by their codes alone:
+the number of differing bits (exclusive or, bit count) tells which pairs may reach the threshold. Only vectors with
+such a pair are fetched; for their pairs signs and correction give an unbiased estimate of the inner product and a
+bound on its error, and those that may still reach the threshold are computed exactly, in double precision. Bands are as many as it takes for a pair at the threshold to miss all of them with probability
 ``miss``, and as wide as the largest label needs for a few chance meetings. A bucket of more than BLOCK vectors is
 compared block by block in tasks of two blocks. Equal vectors are one class; classes count for each other.
 
@@ -94,36 +95,61 @@ def meeting_pairs(group: np.ndarray, at_once: int = 1 << 17) -> Iterator[tuple[n
         yield np.concatenate(left), np.concatenate(right)
 
 
-def compare(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Linked pairs of the rows that meet first in this bucket, as row numbers; classes and their sizes."""
-    dims = {len(v) for v in table.column("vec")}
-    assert len(dims) == 1
-    (dim,) = dims
-    flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    x = unit(flat.astype(np.float64).reshape(-1, dim))
-    keys = table.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-    task = table.column("task").to_numpy()
-    band, own, split, place = (table.column(c).to_numpy() for c in ("band", "own", "split", "place"))
-    correction = table.column("correction").to_numpy()
-    turned = x @ rotation(dim, 0).T
-    signs = np.where(turned > 0, 1.0, -1.0) / math.sqrt(dim)
-    slack = BOUND * np.sqrt(np.clip(1 - correction**2, 0, None)) / correction / math.sqrt(max(1, dim - 1))
-    found_i, found_j = [], []
+def packed(turned: np.ndarray) -> np.ndarray:
+    """Signs of each row as unsigned 64-bit words."""
+    bits = np.packbits(turned > 0, axis=1, bitorder="little")
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view("<u8")
+
+
+def most_differing(dim: int, threshold: float) -> float:
+    """Bits in which the codes of two vectors at the threshold differ, with the bound on chance."""
+    p = math.acos(threshold) / math.pi
+    return dim * p + BOUND * math.sqrt(dim * p * (1 - p))
+
+
+def column_of(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def close_codes(table: pa.Table, dim: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (some at a time) that meet first in this bucket and whose codes allow the threshold."""
+    codes, keys = column_of(table, "code").view(np.uint64), column_of(table, "keys")
+    task, band, own, split, place = (table.column(c).to_numpy() for c in ("task", "band", "own", "split", "place"))
+    limit, before = most_differing(dim, threshold), np.arange(keys.shape[1])
     for i, j in meeting_pairs(task):
         # within a block or, in a task of two, across them
         mine = ((own[i] != own[j]) == (split[i] > 0)) & (place[i] == place[j])
+        mine &= np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1) <= limit
         i, j = i[mine], j[mine]
+        first = ~((keys[i] == keys[j]) & (before < band[i][:, None])).any(axis=1)
+        yield i[first], j[first]
+
+
+def compare(table: pa.Table, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Linked pairs of the rows that meet first in this bucket, as row numbers, and how many pairs were computed exactly."""
+    x = unit(column_of(table, "vec").astype(np.float64))
+    correction = table.column("correction").to_numpy()
+    turned = x @ rotation(dim, 0).T
+    signs = np.where(turned > 0, 1.0, -1.0) / math.sqrt(dim)
+    slack = BOUND * np.sqrt(np.clip(1 - correction**2, 0, None)) / correction / math.sqrt(max(1, dim - 1))
+    empty, computed = np.zeros(0, dtype=np.int64), 0
+    found_i, found_j = [empty], [empty]
+    for i, j in close_codes(table, dim, threshold):
         estimate = np.einsum("ij,ij->i", signs[i], turned[j]) / correction[i]
         near = estimate + slack[i] >= threshold
         i, j = i[near], j[near]
+        computed += len(i)
         exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-        i, j = i[exact], j[exact]
-        earlier = np.arange(keys.shape[1]) < band[i][:, None]
-        first = ~((keys[i] == keys[j]) & earlier).any(axis=1)
-        found_i.append(i[first])
-        found_j.append(j[first])
-    empty = np.zeros(0, dtype=np.int64)
-    return np.concatenate([empty, *found_i]), np.concatenate([empty, *found_j]), table.column("cid").to_numpy(), table.column("n").to_numpy()
+        found_i.append(i[exact])
+        found_j.append(j[exact])
+    return np.concatenate(found_i), np.concatenate(found_j), computed
+
+
+def by_dim(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+    """Parts of a table with vectors of one length."""
+    dims = table.column("dim").to_numpy()
+    for dim in sorted(set(dims.tolist())):
+        yield dim, table if (dims == dim).all() else table.filter(pa.array(dims == dim))
 
 
 def local_roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -156,22 +182,31 @@ def near_vectors(
         for batch in batches:
             lengths = batch.column("vec").value_lengths().to_numpy()
             keys = np.zeros((batch.num_rows, bands), dtype=np.int64)
-            correction = np.ones(batch.num_rows)
+            correction, codes = np.ones(batch.num_rows), [b""] * batch.num_rows
             for dim in set(lengths.tolist()):
                 at = np.flatnonzero(lengths == dim)
                 own = batch.column("vec").take(pa.array(at))
                 x = unit(own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
                 keys[at] = band_keys(x, bits, bands)
-                correction[at] = np.abs(x @ rotation(dim, 0).T).sum(axis=1) / math.sqrt(dim)
+                turned = x @ rotation(dim, 0).T
+                correction[at] = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+                for row, code in zip(at.tolist(), packed(turned).view(np.int64).tolist()):
+                    codes[row] = code
             listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, listed, pa.array(correction)], names=[*batch.schema.names, "keys", "correction"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("cid", "n", "label")), pa.array(lengths, pa.int32()), pa.array(codes, pa.list_(pa.int64())), listed, pa.array(correction)],
+                names=["cid", "n", "label", "dim", "code", "keys", "correction"],
+            )
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", keys array<int>, correction double"
-    coded = stored(classes.mapInArrow(code, ddl), "vector-codes")
-    buckets = coded.select("label", F.size("vec").alias("dim"), F.posexplode("keys").alias("band", "key"))
+    kind = classes.schema["label"].dataType.simpleString()
+    ddl = f"cid long, n long, label {kind}, dim int, code array<long>, keys array<int>, correction double"
+    coded = stored(classes.select("cid", "n", "label", "vec").mapInArrow(code, ddl), "vector-codes")
+    buckets = coded.select("label", "dim", F.posexplode("keys").alias("band", "key"))
     hot = buckets.groupBy("label", "dim", "band", "key").count().where(F.col("count") > BLOCK)
     hot = stored(hot.select("label", "dim", "band", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-buckets")
-    dealt = coded.select("*", F.size("vec").alias("dim"), F.posexplode("keys").alias("band", "key"))
+    # keys met by one vector only lead nowhere
+    shared = buckets.groupBy("label", "dim", "band", "key").count().where("count > 1").drop("count")
+    dealt = coded.select("*", F.posexplode("keys").alias("band", "key")).join(shared, ["label", "dim", "band", "key"], "left_semi")
     if hot.count() <= HOT_BROADCAST:
         hot = F.broadcast(hot)
     dealt = dealt.join(hot, ["label", "dim", "band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -181,26 +216,36 @@ def near_vectors(
     # a hash names the task; rows of two tasks that share one are told apart by another
     task = F.xxhash64("label", "dim", "band", "key", low, high)
     dealt = dealt.select(
-        task.alias("task"), F.hash("label", "key", "band", low, high).alias("place"), "dim", (high - low).alias("split"), "own", "band", "cid", "n", "vec", "keys", "correction"
+        task.alias("task"), F.hash("label", "key", "band", low, high).alias("place"), "dim", (high - low).alias("split"), "own", "band", "cid", "n", "code", "keys", "correction"
     )
 
+    def near_codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "task"):
+            for dim, part in by_dim(table):
+                near = np.zeros(part.num_rows, dtype=bool)
+                for i, j in close_codes(part, dim, threshold):
+                    near[i] = near[j] = True
+                yield from part.filter(pa.array(near)).to_batches()
+
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "task"):
-            parts = [table]
-            dims = table.column("dim").to_numpy()
-            if (dims != dims[0]).any():
-                parts = [table.filter(pa.array(dims == d)) for d in set(dims.tolist())]
-            for part in parts:
-                i, j, cid, n = compare(part, threshold)
+            for dim, part in by_dim(table):
+                i, j, computed = compare(part, dim, threshold)
+                cid, n = part.column("cid").to_numpy(), part.column("n").to_numpy()
                 links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
                 linked = np.flatnonzero(links)
                 root = local_roots(len(cid), i, j)
+                # the group's pairs computed exactly are told by its first row
+                exact = np.where(np.arange(len(linked)) == 0, computed, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cid[linked]), pa.array(links[linked].astype(np.int64)), pa.array(cid[root[linked]])], names=["cid", "links", "root"]
+                    [pa.array(cid[linked]), pa.array(links[linked].astype(np.int64)), pa.array(cid[root[linked]]), pa.array(exact, pa.int64())],
+                    names=["cid", "links", "root", "exact"],
                 )
 
     ordered = dealt.repartition("task").sortWithinPartitions("task")
-    found = stored(ordered.mapInArrow(meet, "cid long, links long, root long"), "vector-links")
+    near = stored(ordered.mapInArrow(near_codes, ordered.schema), "vector-candidates")
+    fetched = near.join(classes.select("cid", "vec"), "cid").repartition("task").sortWithinPartitions("task")
+    found = stored(fetched.mapInArrow(meet, "cid long, links long, root long, exact long"), "vector-links")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     components = connected_components(found.select("cid", "root"), "cid", "root").withColumnRenamed("node", "cid")
     slim = classes.select("cid", "first")
