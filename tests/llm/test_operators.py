@@ -411,7 +411,10 @@ def test_counts_of_documents(spark, docs_of):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = [(1, "Hello  world"), (2, None), (2, ""), (None, "x" * 3000), (4, "word " * 9000), (5, "a\nb </s>")]
     docs = docs_of(rows).withColumn("n_tokens", F.lit("clash"))
-    got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_report(docs, PIECES).collect())
+    found = token_counts.count_report(docs, PIECES).collect()
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in found)
+    within = {r.doc_id: r.chars_within for r in found}
+    assert within[1] == 12 and within[2] == 0 and len(model.encode(rows[4][1][: within[4]])) == 4096 < len(model.encode(rows[4][1][: within[4] + 1]))
     want = sorted((i or -1, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in rows)
     assert got == want
     table = token_counts.prefix_token_counts(docs, PIECES)

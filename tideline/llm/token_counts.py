@@ -14,15 +14,15 @@ texts of any length are read whole, one at a time; extra columns are ignored; an
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import Kept, small_batches
+from tideline.llm.shared import Kept, new_path, small_batches
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -140,23 +140,23 @@ def counter(model_path: str) -> PrefixCounter:
     return _COUNTERS[model_path]
 
 
-def prefix_token_counts(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", store_table: bool = True
-) -> DataFrame:
+TABLE = "doc_id long, n_bytes long, n_tokens long, prefix_steps binary"
+
+
+def prefix_token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, prefix_steps`` for each row.
 
-    ``prefix_steps`` holds the table of counts at every code point (compressed steps, see ``prefix_table``); it is
-    null without ``store_table``, for callers that ask for the last entry only.
+    ``prefix_steps`` holds the table of counts at every code point (compressed steps, see ``prefix_table``).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counter(model_path)
+        table, squeeze = counter(model_path), zstandard.ZstdCompressor(level=1)
         for batch in small_batches(batches):
             totals, stored = [], []
             for text in batch.column("text"):
                 steps = table.steps(text.as_py() or "")
                 totals.append(int(steps.sum(dtype=np.int64)))
-                stored.append(zlib.compress(steps.tobytes(), 1) if store_table else None)
+                stored.append(squeeze.compress(steps.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals, pa.int64()), pa.array(stored, pa.binary())],
                 names=["doc_id", "n_bytes", "n_tokens", "prefix_steps"],
@@ -166,12 +166,18 @@ def prefix_token_counts(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, prefix_steps binary")
+    return rows.mapInArrow(run, TABLE)
 
 
 def prefix_table(prefix_steps: bytes) -> np.ndarray:
     """Token counts of the prefixes of 1, 2, ... code points."""
-    return np.cumsum(np.frombuffer(zlib.decompress(prefix_steps), dtype=np.int8), dtype=np.int64)
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(prefix_steps), dtype=np.int8), dtype=np.int64)
+
+
+def chars_within(table: np.ndarray, budget: int) -> int:
+    """Code points of the longest prefix with at most ``budget`` tokens; a longer prefix may have fewer tokens than a shorter one."""
+    fits = np.flatnonzero(table <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 def _answer(fn, prefix_steps: Column, asked: Column) -> Column:
@@ -195,14 +201,30 @@ def tokens_in_prefix(prefix_steps: Column, n_chars: Column) -> Column:
 def chars_in_budget(prefix_steps: Column, budget: Column) -> Column:
     """Code points of the longest prefix whose token count is at most ``budget``."""
 
-    def longest(t: np.ndarray, budget: int) -> int:
-        fits = np.flatnonzero(t <= budget)
-        return int(fits[-1]) + 1 if len(fits) else 0
-
-    return _answer(longest, prefix_steps, budget)
+    return _answer(chars_within, prefix_steps, budget)
 
 
 def count_report(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``."""
-    counts = prefix_token_counts(docs, model_path, store_table=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    """``doc_id, n_bytes, n_tokens, over_limit, chars_within`` of each row of ``docs``, from the prefix tables in the shared folder.
+
+    ``chars_within`` is how many code points a text cut to ``limit`` tokens keeps.
+    """
+    spark = docs.sparkSession
+    path = new_path(spark, "prefix-counts", keep=True)
+    prefix_token_counts(docs, model_path).write.parquet(path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 64):
+            tokens, chars = [], []
+            for steps in batch.column("prefix_steps"):
+                table = prefix_table(steps.as_py())
+                tokens.append(int(table[-1]) if len(table) else 0)
+                chars.append(chars_within(table, limit))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64()), pa.array(chars, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens", "chars_within"],
+            )
+
+    kept = spark.read.schema(TABLE).parquet(path).select("doc_id", "n_bytes", "prefix_steps")
+    answers = kept.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, chars_within long")
+    return answers.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "chars_within")
