@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.plans import flow_queries, place_queries, series_queries, stateful_queries, view_queries  # noqa: F401
+from tideline.plans import daily_queries, flow_queries, place_queries, series_queries, stateful_queries, view_queries  # noqa: F401
 from tideline.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "gate_flux_daily"
