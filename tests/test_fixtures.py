@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import detect, flux, geo, models, registry, seasonal, shapes, transit
-from tideline.sources import ais, ports
+from tideline.sources import ais, ports, readers
 from tideline.streaming import geofence, windows
 
 T = dt.datetime(2024, 1, 10, 12)
@@ -157,10 +157,76 @@ def test_dwell_stream_agrees_with_batch(spark, tmp_path):
 
 
 def test_upsert_sink_keeps_newest(spark, tmp_path):
-    write = windows.upsert_sink(str(tmp_path), ["k"])
-    write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
-    write(spark.createDataFrame([(2, "c")], "k int, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/1").collect())) == [(1, "a"), (2, "c")]
+    write = windows.upsert_sink(str(tmp_path), ["k"], "t", buckets=4)
+    ddl = "k int, t int, v string"
+    write(spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (2, 0, "old")], ddl), 0)
+    write(spark.createDataFrame([(2, 2, "c"), (3, 2, "d")], ddl), 1)
+    for _ in range(2):  # a batch that is written again
+        write(spark.createDataFrame([(2, 3, "e")], ddl), 5)
+    got = windows.read_upserted(spark, str(tmp_path), buckets=4)
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, "a"), (2, "e"), (3, "d")]
+
+
+def test_holt_by_hand(spark):
+    """Levels 10, 13, 14.63 and trends 0, 0.9, 1.119 at 0.3; one-step errors 10 and 2.1."""
+    rows = spark.createDataFrame([("s", 1, 10.0), ("s", 2, 20.0), ("s", 3, 16.0), ("one", 1, 4.0)], "k string, d int, x double")
+    got = {(r.k, r.h): r for r in seasonal.holt(rows, ["k"], horizon=2).collect()}
+    level = 0.3 * 16 + 0.7 * 13.9
+    trend = 0.3 * (level - 13) + 0.7 * 0.9
+    sigma = (10.0 - 2.1) / 2
+    assert got["s", 2].forecast == pytest.approx(level + 2 * trend) and got["s", 2].high == pytest.approx(level + 2 * trend + 1.96 * sigma * 2**0.5)
+    assert (got["one", 1].forecast, got["one", 1].low, got["one", 1].high) == (4.0, 4.0, 4.0)
+
+
+def test_formulas_by_hand(spark):
+    """Modified z scores, the bands of seasonal z scores, and head components, worked out on paper."""
+    rows = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 100)], "k string, x double")
+    point = detect.point_anomalies(rows, ["k"], "x").where("x = 100").first()
+    assert point.z == pytest.approx(0.6745 * 97)
+    bands = spark.createDataFrame([(-2.6,), (-1.0,), (0.0,), (0.5,), (1.5,), (2.5,)], "z double").select(seasonal.band_of(F.col("z"))).collect()
+    assert [b[0] for b in bands] == ["far below", "below", "normal", "above", "well above", "far above"]
+
+
+def test_gate_buffer_and_course(spark):
+    """A move that stops short of a gate counts within its buffer only; a vessel at rest on it goes by its course."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1, start, 0.0, 0.010, 9.0, 90.0, True), (1, start + dt.timedelta(minutes=1), 0.0, 0.0145, 9.0, 90.0, True)]
+    rows += [(2, start, 0.0, 0.015, 0.0, 180.0, True), (2, start + dt.timedelta(minutes=1), 0.0, 0.015, 0.0, 180.0, True)]
+    fixes = spark.createDataFrame(rows, "mmsi long, ts timestamp, lat double, lon double, sog double, cog double, is_tanker boolean")
+    for buffer, want in ((0.0, [(2, "AtoB")]), (100.0, [(1, "BtoA"), (2, "AtoB")])):
+        gate = geofence.Gate("G", (0.015, -0.05), (0.015, 0.05), buffer)
+        got = geofence.geofence_events(fixes, geofence.Rules(gates=(gate,), spoof_kn=1e9)).collect()
+        assert sorted((r.mmsi, r.event) for r in got) == want
+        places = [((r[3], r[2]), (s[3], s[2]), s[5]) for r, s in (rows[:2], rows[2:])]
+        assert [geofence.crossing(gate, *p) for p in places] == [dict(want).get(1), "AtoB"]
+
+
+def test_readers(spark, tmp_path):
+    spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string").createOrReplaceTempView("pairs")
+    readers.export_csv(spark.table("pairs"), f"{tmp_path}/t.csv", ["k"])
+    assert sorted(map(tuple, readers.read_table(spark, f"{tmp_path}/t.csv").collect())) == [(1, "a"), (2, "b")]
+    (tmp_path / "x.jsonl").write_text('{"k": 1}\n{"k": 2}\n')
+    assert readers.read_table(spark, f"{tmp_path}/x.jsonl", "k long").agg(F.sum("k")).first()[0] == 3
+    (tmp_path / "g.json").write_text(
+        '{"type": "FeatureCollection", "features": ['
+        '{"type": "Feature", "properties": {"id": "P"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 1], [0, 0]]]}},'
+        '{"type": "Feature", "properties": {"id": "L"}, "geometry": {"type": "LineString", "coordinates": [[5, 6], [7, 8]]}}]}'
+    )
+    got = {r.feature_id: (r.kind, r.xs, r.ys) for r in readers.read_geojson(spark, f"{tmp_path}/g.json").collect()}
+    assert got == {"P": ("Polygon", [0.0, 2.0, 2.0], [0.0, 0.0, 1.0]), "L": ("LineString", [5.0, 7.0], [6.0, 8.0])}
+    readers.replace_partitions(spark.createDataFrame([("a", 1), ("b", 2)], "kind string, n int"), f"{tmp_path}/alerts", ["kind"])
+    readers.replace_partitions(spark.createDataFrame([("b", 3)], "kind string, n int"), f"{tmp_path}/alerts", ["kind"])
+    assert sorted((r.kind, r.n) for r in spark.read.parquet(f"{tmp_path}/alerts").collect()) == [("a", 1), ("b", 3)]
+
+
+def test_messages_from_a_stream(spark, tmp_path):
+    """Lines dropped in a folder, through the stream source and the normalisation."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text('{"MMSI": 123456789, "lat": 1.5, "lon": 2.5, "sog": 3, "timestamp": 1704067200}\nnot json\n')
+    stream = ais.canonicalize(readers.message_stream(spark, f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("messages_out").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert [(r.mmsi, r.lat, r.sog, str(r.msg_time)) for r in spark.table("messages_out").collect()] == [(123456789, 1.5, 3.0, "2024-01-01 00:00:00")]
 
 
 def test_damping_and_drift(spark):

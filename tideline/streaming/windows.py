@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators.registry import upsert
+from tideline.operators.registry import latest_row, upsert
 
 
 def dwell_stream(fixes: DataFrame, slow: Column, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -26,20 +26,66 @@ def dwell_stream(fixes: DataFrame, slow: Column, width: str = "10 minutes", late
     )
 
 
-def health_stream(fixes: DataFrame, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
-    """Messages and tanker share by window."""
+def health_stream(fixes: DataFrame, width: str = "10 minutes", late: str = "10 minutes", gap_s: float = 600.0) -> DataFrame:
+    """By window: messages, tanker share, share of fixes after a longer gap and of implausible ones.
+
+    ``fixes`` has ``gap_s`` and ``spoof``, as ``operators.daily.health_windows`` does.
+    """
+    late_fix = F.coalesce((F.col("gap_s") > gap_s).cast("int"), F.lit(0))
     return fixes.withWatermark("msg_time", late).groupBy(F.window("msg_time", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("messages"), F.avg(F.col("is_tanker").cast("int")).alias("tanker_share")
-    ).select(F.col("w.start").alias("window_start"), "messages", "tanker_share")
+        F.count(F.lit(1)).alias("messages"), F.avg(F.col("is_tanker").cast("int")).alias("tanker_share"),
+        F.avg(late_fix).alias("gap_ratio"), F.avg(F.col("spoof").cast("int")).alias("spoof_share"),
+    ).select(F.col("w.start").alias("window_start"), "messages", "tanker_share", "gap_ratio", "spoof_share")
+
 
+def upsert_sink(path: str, keys: list[str], order: str | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: merge each batch into a keyed table, of which only the buckets it touches are written anew.
 
-def upsert_sink(path: str, keys: list[str], order: str | None = None) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: merge each batch into a keyed table, kept as numbered snapshots of which the newest counts."""
+    Keys are dealt to ``buckets`` by their hash. A batch's buckets go to a folder of their own, ``path/<bucket>/<batch>``;
+    of each bucket the newest folder that was written to its end counts (``read_upserted``), the one before it stays
+    for readers that are still at it, older ones go. A batch that is written again writes the same.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number:
-            batch = upsert(spark.read.parquet(f"{path}/{number - 1}"), batch, keys, order)
-        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        rows = batch.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        # at most as many as there are buckets
+        touched = sorted(r[0] for r in rows.select("_b").distinct().collect())
+        held = [p for b in touched if (p := _newest(spark, f"{path}/{b}", number))]
+        fresh = latest_row(rows, keys, [order]) if order else rows
+        if held:
+            old = spark.read.parquet(*held)
+            old = old.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            fresh = upsert(old, fresh, keys)
+        fresh = fresh.persist()
+        for b in touched:
+            fresh.where(F.col("_b") == b).drop("_b").coalesce(1).write.mode("overwrite").parquet(f"{path}/{b}/{number}")
+            for gone in _numbers(spark, f"{path}/{b}", number)[:-2]:
+                _files(spark, path)[0].delete(_files(spark, f"{path}/{b}/{gone}")[1], True)
+        fresh.unpersist()
+        rows.unpersist()
 
     return write
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _numbers(spark: SparkSession, path: str, last: int | None = None) -> list[int]:
+    """Batches whose folder in ``path`` is complete, up to ``last``."""
+    files, at = _files(spark, path)
+    found = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    whole = [int(n) for n in found if files.exists(_files(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return sorted(n for n in whole if last is None or n <= last)
+
+
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> str | None:
+    numbers = _numbers(spark, path, None if before is None else before - 1)
+    return f"{path}/{numbers[-1]}" if numbers else None
+
+
+def read_upserted(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """The table that ``upsert_sink`` keeps in ``path``."""
+    return spark.read.parquet(*[p for b in range(buckets) if (p := _newest(spark, f"{path}/{b}"))])
