@@ -123,10 +123,11 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_labelled: int = 12_000,
-    lexicon: int = 500,
-    least_gain: float = 50.0,
 ) -> Model:
-    """Fit to ``label`` (an expression over ``labels`` that gives one of ``classes``, or null for rows not to use)."""
+    """Fit to ``label`` (an expression over ``labels`` that gives one of ``classes``, or null for rows not to use).
+
+    Of several labels of an id the first by name counts; of several texts of an id all are trained on.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(classes))
@@ -137,10 +138,10 @@ def fit(
     )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # of max_labelled rows at most
-    rows = stored(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    rows = stored(texts.join(F.broadcast(chosen), "doc_id").distinct(), "labelled")
     model = Model(classes)
     for i, name in enumerate(classes):
-        for trait, _ in telling_traits(rows.withColumn("y", (F.col("label") == name).cast("int")), lexicon, least_gain):
+        for trait, _ in telling_traits(rows.withColumn("y", (F.col("label") == name).cast("int"))):
             model.entries.setdefault(trait, i)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

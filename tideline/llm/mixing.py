@@ -126,7 +126,7 @@ def rates(
     now = np.array([x or 0.0 for x in found])
     total = now.sum() if least < 1 else (now[share > 0] / share[share > 0]).max()
     fits = []
-    for growth in GROWTH if least >= 1 else GROWTH[:1]:
+    for growth in GROWTH if least >= 1 else (1.0,):
         targets = share * total * growth
         fits.append((*fit_rates(slim, targets, least, most), targets))
         if reached(fits[-1][1][-1], targets):

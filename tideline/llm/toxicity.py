@@ -1,16 +1,19 @@
 """Toxicity by weak supervision.
 
 Words and word beginnings that labelled rows tie to toxic texts are dealt to many voters, beside voters on writing
-style. A generative label model, fitted by expectation maximisation to the votes alone (labels give its start),
-estimates how often each voter fires on either class and how voters correlate given the class; correlated voters
-share their weight. Its posteriors are the labels of a linear classifier on the voters' hits, which scores texts.
-
-Everything fitted comes from at most ``max_labelled`` labelled rows, those first in the order of a hash of the id;
-all rows are scored, whole. Labels, language, source and id are no inputs of a score.
-
-Cases: a null text is an empty one, without hits; a row with a null id is scored and is not held out; of repeated
-labels of an id the larger counts; rows without a label and null labels are not trained on; without any usable
-label every score is 0; an empty table gives no rows; extra columns are ignored.
+style. A generative label model, fitted by expectation maximisation to the votes on labelled and unlabelled texts
+(labels give its start where there are any), estimates how often each voter fires on either class and how voters
+correlate given the class; correlated voters share their weight. Its posteriors are the labels of a linear classifier
+on the voters' hits, which scores texts.
+
+Everything fitted comes from at most ``max_labelled`` labelled and as many unlabelled rows, none of them held out,
+those first in the order of a hash of the id; all rows are scored, whole. The lexicon holds every trait whose gain is
+beyond what chance gives the best of as many traits. Labels, language, source and id are no inputs of a score.
+
+Cases: a null text is an empty one, without hits; texts of any length are read whole; a row with a null id is scored
+and is not held out; of repeated labels of an id the larger counts, of several texts of an id all are trained on; rows
+with null labels are unlabelled; without labels of both classes every score is 0; without telling words the style
+voters are left; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -84,23 +87,38 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def first_by_hash(ids: DataFrame, most: int) -> DataFrame:
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_labelled: int) -> DataFrame:
-    """``doc_id, text, y`` of at most ``max_labelled`` labelled rows that aren't held out, written to the shared folder."""
+    """``doc_id, text, y`` of at most ``max_labelled`` labelled ids that aren't held out, written to the shared folder."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_labelled)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # of max_labelled rows at most
-    return stored(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    return stored(texts.join(F.broadcast(first_by_hash(chosen, max_labelled)), "doc_id").distinct(), "labelled")
+
 
+def unlabelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int) -> DataFrame:
+    """``doc_id, text`` of at most ``most`` ids without label that aren't held out, written to the shared folder."""
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = texts.select("doc_id").where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).join(known, "doc_id", "left_anti")
+    # of at most as many rows
+    return stored(texts.join(F.broadcast(first_by_hash(ids.distinct(), most)), "doc_id").distinct(), "unlabelled")
+
+
+def telling_traits(rows: DataFrame) -> list[tuple[str, float]]:
+    """Traits of positive rows with their likelihood-ratio gain, largest first.
 
-def telling_traits(rows: DataFrame, most: int, least_gain: float) -> list[tuple[str, float]]:
-    """Traits of positive rows with their likelihood-ratio gain, of at least ``least_gain``, largest first."""
+    A gain counts from ``2 ln(traits) + 6`` on: of so many traits without meaning, chance lifts one in twenty sets of
+    them that high. There are no more traits than the bounded number of labelled rows has words.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 64):
@@ -119,12 +137,14 @@ def telling_traits(rows: DataFrame, most: int, least_gain: float) -> list[tuple[
     counts = rows.select("text", "y").mapInArrow(run, "trait string, y int").groupBy("trait").agg(
         F.count(F.lit(1)).alias("k"), F.sum("y").alias("k1")
     )
+    counts = stored(counts, "traits")
+    least_gain = 2 * float(np.log(max(1, counts.count()))) + 6
     telling = counts.where((k1 > 0) & (q >= F.lit((1 + p) / 2))).withColumn("gain", gain).where(F.col("gain") >= least_gain)
-    return [(r.trait, r.gain) for r in telling.orderBy(F.desc("gain"), "trait").limit(most).collect()]
+    return [(r.trait, r.gain) for r in telling.orderBy(F.desc("gain"), "trait").collect()]
 
 
 def hit_table(rows: DataFrame, entries: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hits and labels of the labelled rows (a bounded number)."""
+    """Hits and labels (nan where unknown) of a bounded number of rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(entries)
@@ -132,7 +152,7 @@ def hit_table(rows: DataFrame, entries: dict[str, int]) -> tuple[np.ndarray, np.
             hits = [voters.hits(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(hits, pa.list_(pa.float64()))], names=["y", "hits"])
 
-    found = rows.select("text", "y").mapInArrow(run, "y int, hits array<double>").toArrow()
+    found = rows.select("text", F.col("y").cast("double").alias("y")).mapInArrow(run, "y double, hits array<double>").toArrow()
     hits = np.array(found.column("hits").to_pylist(), dtype=np.float64).reshape(-1, VOTERS)
     return hits, found.column("y").to_numpy().astype(np.float64)
 
@@ -178,23 +198,23 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 4
     return w
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = 12_000, lexicon: int = 1500, least_gain: float = 50.0
-) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = 12_000) -> Model:
     rows = labelled_rows(docs, labels, label_col, max_labelled)
+    if len({r.y for r in rows.select("y").distinct().collect()}) < 2:
+        return Model()
     entries: dict[str, int] = {}
     words = stems = 0
-    for trait, _ in telling_traits(rows, lexicon, least_gain):
+    for trait, _ in telling_traits(rows):
         if trait.startswith("^"):
             entries[trait] = WORD_VOTERS + stems % STEM_VOTERS
             stems += 1
         else:
             entries[trait] = words % WORD_VOTERS
             words += 1
-    if not entries:
-        return Model()
-    hits, y = hit_table(rows, entries)
-    posterior, rates, correlations = label_model((hits > 0).astype(np.float64), y)
+    others = unlabelled_rows(docs, labels, label_col, max_labelled).withColumn("y", F.lit(None).cast("int"))
+    hits, y = hit_table(rows.union(others), entries)
+    start = np.where(np.isnan(y), np.nanmean(y), y)
+    posterior, rates, correlations = label_model((hits > 0).astype(np.float64), start)
     return Model(entries, fit_linear(inputs(hits), posterior), rates, correlations)
 
 
