@@ -64,3 +64,21 @@ def close_but_unlike():
 def test_close_fingerprints_below_the_similarity_are_kept(spark, docs_of):
     x, y = close_but_unlike()
     assert simhash.one_of_each(docs_of([(1, x), (2, y)])).count() == 2
+
+
+def test_buckets_in_blocks(spark, docs_of, monkeypatch):
+    """A large bucket whose texts are alike in chains, not all alike to its smallest node, compared block by block."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng, rows = random.Random(11), []
+    passage = [f"p{i}" for i in range(160)]
+    for chain in range(6):
+        words = passage + [f"c{chain}x{i}" for i in range(60)]
+        for step in range(8):
+            rows.append((100 * chain + step, " ".join(words)))
+            words = list(words)
+            for at in rng.sample(range(len(words)), 3):
+                words[at] = f"s{rng.randrange(10**6)}"
+    want, near = slow_kept(rows)
+    assert 1 < len(want) < len(rows)
+    got = [r.doc_id for r in simhash.one_of_each(docs_of(rows)).select("doc_id").collect()]
+    assert sorted(got) == sorted(want)

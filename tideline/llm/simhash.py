@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.embeddings import meeting_pairs, whole_groups
 from tideline.llm.graph import connected_components
 from tideline.llm.shared import small_batches, stored
 
@@ -34,6 +35,8 @@ PARTITIONS = (2, 3, 4)
 COUNTED_BITS, LARGEST = 12, 2
 #: Shingles hashed at a time, so that the longest text needs no more memory.
 AT_ONCE = 1 << 18
+#: Rows of a block of a bucket; two blocks are compared in one task.
+BLOCK = 1024
 #: Bands of min-hashes and their rows: sets with similarity 0.8 miss all bands with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
 BANDS, BAND_ROWS = 24, 5
 MIN_HASHES = np.random.default_rng(42).integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -285,13 +288,18 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """One key for each band of min-hashes of a set of shingle hashes: two sets share a key with their similarity to the power of BAND_ROWS."""
+def min_hashes(own: np.ndarray) -> np.ndarray:
+    """Min-hashes of a set of shingle hashes: two sets share each with the probability of their similarity."""
     least = np.full(len(MIN_HASHES), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(own), 4096):
-        x = (own[at : at + 4096, None] ^ MIN_HASHES) * SPREAD
+    for at in range(0, len(own), 512):
+        x = (own[at : at + 512, None] ^ MIN_HASHES) * SPREAD
         x ^= x >> np.uint64(32)
         least = np.minimum(least, (x * SPREAD).min(axis=0))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key for each band of min-hashes: two sets share a key with their similarity to the power of BAND_ROWS."""
     rows, keys = least.reshape(BANDS, BAND_ROWS), np.arange(BANDS, dtype=np.uint64)
     for k in range(BAND_ROWS):
         keys = ((keys ^ (keys >> np.uint64(31))) * SPREAD) ^ rows[:, k]
@@ -318,6 +326,78 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def least_agreeing(similarity: float) -> int:
+    """Min-hashes that two sets of at least ``similarity`` share, but for a chance below one in a million."""
+    n = BANDS * BAND_ROWS
+    return math.floor(n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity)))
+
+
+def likely_pairs(table: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (some at a time) of different parts that meet first in this bucket and share enough min-hashes."""
+    key, place, own, split, part = (table.column(c).to_numpy() for c in ("key", "place", "own", "split", "part"))
+    keys = table.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(key), BANDS)
+    signs = np.frombuffer(b"".join(table.column("signs").to_pylist()), dtype=np.uint8).reshape(len(key), -1)
+    band, enough = (keys == key[:, None]).argmax(axis=1), least_agreeing(similarity)
+    for i, j in meeting_pairs(table.column("task").to_numpy(), 1 << 16):
+        mine = ((own[i] != own[j]) == (split[i] > 0)) & (key[i] == key[j]) & (place[i] == place[j]) & (part[i] != part[j])
+        i, j = i[mine], j[mine]
+        near = (signs[i] == signs[j]).sum(axis=1) >= enough
+        i, j = i[near], j[near]
+        first = ~((keys[i] == keys[j]) & (np.arange(BANDS) < band[i][:, None])).any(axis=1)
+        yield i[first], j[first]
+
+
+def cross_links(parts: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``a, b``: links between nodes of different parts that share a bucket of ``parts`` (key, node, part, n), enough to join all that are alike.
+
+    Buckets are compared in blocks of BLOCK rows, a task for every two, first by min-hashes alone. Texts are fetched
+    only for nodes with a likely partner and compared in the task: pairs that links found there already join are
+    skipped, and only links leave it.
+    """
+    dealt = parts.join(nodes.select("node", "keys", "signs"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select(
+        F.xxhash64("key", low, high).alias("task"), F.hash(low, high).alias("place"), (high - low).alias("split"), "own", "key", "part", "node", "keys", "signs"
+    )
+
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "task"):
+            near = np.zeros(table.num_rows, dtype=bool)
+            for i, j in likely_pairs(table, similarity):
+                near[i] = near[j] = True
+            yield from table.filter(pa.array(near)).to_batches()
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "task"):
+            part, node, text, known = table.column("part").to_numpy(), table.column("node").to_numpy(), table.column("text"), {}
+            root, found = {p: p for p in part.tolist()}, []
+
+            def top(p: int) -> int:
+                while root[p] != p:
+                    root[p] = p = root[root[p]]
+                return p
+
+            def set_of(row: int) -> np.ndarray:
+                if row not in known:
+                    known[row] = shingles(text[row].as_py() or b"", width)
+                return known[row]
+
+            for i, j in likely_pairs(table, similarity):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    p, q = top(int(part[x])), top(int(part[y]))
+                    if p != q and jaccard(set_of(x), set_of(y)) >= similarity:
+                        root[max(p, q)] = min(p, q)
+                        found.append((node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    ordered = dealt.repartition("task").sortWithinPartitions("task")
+    near = stored(ordered.mapInArrow(likely, ordered.schema), "likely")
+    fetched = near.join(texts, "node").repartition("task").sortWithinPartitions("task")
+    return stored(fetched.mapInArrow(meet, "a long, b long"), "cross-links")
+
+
 def similar_groups(
     rows: DataFrame, width: int = 5, distance: int = 5, seeds: tuple[int, ...] = (42, 43, 44), similarity: float = 0.8
 ) -> DataFrame:
@@ -331,23 +411,25 @@ def similar_groups(
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            nodes, keys, fps = [], [], []
+            nodes, keys, signs, fps = [], [], [], []
             for t in batch.column("text"):
                 hashes = shingle_hashes(t.as_py() or b"", width)
                 own = np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
-                keys.append(band_keys(own))
+                least = min_hashes(own)
+                keys.append(band_keys(least))
+                signs.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
                 fps.append(seeded_fingerprints(hashes, seeds))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(fps, longs)],
-                names=["doc_id", "text_hash", "node", "keys", "fps"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(keys, longs), pa.array(signs, pa.binary()), pa.array(fps, longs)],
+                names=["doc_id", "text_hash", "node", "keys", "signs", "fps"],
             )
 
     longs, hashed = pa.list_(pa.int64()), F.xxhash64("text").alias("text_hash")
     slim = rows.select("doc_id", hashed, F.col("text").cast("binary").alias("text"))
-    marked = stored(slim.mapInArrow(mark, "doc_id long, text_hash long, node long, keys array<long>, fps array<long>"), "marked")
+    marked = stored(slim.mapInArrow(mark, "doc_id long, text_hash long, node long, keys array<long>, signs binary, fps array<long>"), "marked")
     # one text stands for all with the same shingles
-    nodes = stored(marked.groupBy("node").agg(F.min_by(F.struct("text_hash", "keys", "fps"), "text_hash").alias("n")).select("node", "n.*"), "nodes")
+    nodes = stored(marked.groupBy("node").agg(F.min_by(F.struct("text_hash", "keys", "signs", "fps"), "text_hash").alias("n")).select("node", "n.*"), "nodes")
 
     held = nodes.select("node", F.explode("keys").alias("key"))
     shared = held.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -369,13 +451,9 @@ def similar_groups(
 
     joined = connected_components(linked)
     parts = held.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key")
+    mixed = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("p != q").select("key", "n")
     parts = stored(parts.join(mixed, "key"), "parts")
-    rest = parts.select("key", F.col("node").alias("a"), F.col("part").alias("p")).join(
-        parts.select("key", F.col("node").alias("b"), F.col("part").alias("q")), "key"
-    )
-    rest = stored(ordered(rest.where("p < q").select("a", "b")).join(first, ["a", "b"], "left_anti"), "pairs")
-    joined = connected_components(linked.union(alike(rest, texts, width, similarity)))
+    joined = connected_components(linked.union(cross_links(parts, nodes, texts, width, similarity)))
     return marked.join(joined, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component")).distinct()
 
 
