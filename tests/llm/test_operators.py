@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -107,6 +108,25 @@ def test_simhash_null_ids_and_repeats(spark, docs_of):
     assert kept.columns == docs_of(rows).columns and sorted(r.doc_id or -1 for r in kept.collect()) == [4, 9]
 
 
+def test_simhash_of_an_empty_table_clashes_and_a_long_text(spark, docs_of, monkeypatch):
+    assert simhash.near_duplicates(docs_of([])).count() == 0 and simhash.one_of_each(docs_of([])).count() == 0
+    monkeypatch.setattr(simhash, "AT_ONCE", 1000)
+    long = " ".join(f"w{i * i % 3001}" for i in range(5000))
+    assert simhash.fingerprint(long.encode()) % 2**64 == slow_fingerprint(long)
+    docs = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "z y x")])
+    for name in ("fp", "first", "linked_id", "component", "node", "key", "space", "_gone"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("n", [10, 10**5, 10**9, 10**12])
+def test_partitions_by_number_of_fingerprints(n):
+    widths = simhash.plan_widths(n, 4)
+    assert sum(widths) == 64 and len(widths) == {10: 4, 10**5: 3, 10**9: 2, 10**12: 2}.get(n, len(widths))
+
+
 # --- op 2
 
 TOXIC = ["grumbol", "snarkle", "vexhorn"]
@@ -146,6 +166,28 @@ def test_toxicity_without_labels_or_rows(spark, docs_of):
     assert toxicity.toxicity_report(docs_of([]), none).count() == 0
 
 
+def test_toxicity_of_long_texts_and_clashes(spark, docs_of):
+    rows, labels = toxic_case()
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("y", F.lit("clash"))
+    docs = docs_of([*rows, (9000, "calm words " * 30000), (9001, "calm words " * 30000 + "grumbol snarkle vexhorn")])
+    for name in ("y", "score", "trait", "hits"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_report(docs, table).collect()}
+    assert (got[9000], got[9001]) == (0, 1)
+    kept = toxicity.reject_toxic(docs, table)
+    assert kept.columns == docs.columns and 9000 in {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_label_model_uses_texts_without_label():
+    """Voters seen on few labelled rows: the unlabelled ones make up for them."""
+    rng = np.random.default_rng(2)
+    y = rng.random(5000) < 0.3
+    fired = np.stack([(y & (rng.random(5000) < 0.7)) | (rng.random(5000) < 0.02) for _ in range(5)], axis=1).astype(float)
+    start = np.where(np.arange(5000) < 60, y, np.nan).astype(float)
+    posterior, _, _ = toxicity.label_model(fired, start)
+    assert ((posterior > 0.5) == y)[60:].mean() > 0.95
+
+
 def test_label_model_finds_the_poor_voter():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
@@ -276,9 +318,55 @@ def test_quality_shrinks_sparse_sites(spark, docs_of):
     assert quality.quality_scores(docs.limit(0), none, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_quality_scores_from_evidence(spark, docs_of):
+    """Posteriors and scores worked out again, in plain Python, from the column of evidence."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(("|| " if rng.random() < 0.1 * (i % 7) else "") + f"word{rng.randrange(300)}" for _ in range(40))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int("||" not in t), 0) for i, t in rows], "doc_id long, quality int, toxic int")
+    docs = docs_of(rows).withColumn("source", F.concat(F.lit("h"), F.col("doc_id") % 7)).withColumn("lang", F.concat(F.lit("p"), F.col("doc_id") % 2))
+    got = quality.quality_scores(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang")).collect()
+    e, host, path = np.array([r.evidence for r in got]), [r.host for r in got], [(r.host, r.path) for r in got]
+
+    def groups(names):
+        return {g: e[[x == g for x in names]] for g in set(names)}
+
+    def strength(by, parent):
+        n = sum(map(len, by.values()))
+        within = max(sum(((v - v.mean()) ** 2).sum() for v in by.values()) / (n - len(by)), 1e-12)
+        outer = sum(len(v) * (v.mean() - parent[g]) ** 2 for g, v in by.items())
+        between = (outer - len(by) * within) / n
+        return min(quality.STRONGEST, max(quality.WEAKEST, within / between)) if between > 0 else quality.STRONGEST
+
+    overall, hosts, paths = e.mean(), groups(host), groups(path)
+    s = strength(hosts, dict.fromkeys(hosts, overall))
+    mean = {g: (s * overall + v.sum()) / (s + len(v)) for g, v in hosts.items()}
+    t = strength(paths, {g: mean[g[0]] for g in paths})
+    logit = lambda p: np.log(p / (1 - p)) if 1e-6 < p < 1 - 1e-6 else np.log(1e-6) * (1 if p < 0.5 else -1)
+    for r, x, g in zip(got, e, path):
+        rest = (s * overall + hosts[g[0]].sum() - x) / (s + len(hosts[g[0]]) - 1)
+        rest = (t * rest + paths[g].sum() - x) / (t + len(paths[g]) - 1)
+        assert r.host_posterior == pytest.approx(mean[g[0]]) and r.path_posterior == pytest.approx((t * mean[g[0]] + paths[g].sum()) / (t + len(paths[g])))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(logit(x) + logit(rest) - logit(overall)))), abs=1e-4)
+
+
 # --- op 5
 
 
+def test_codes_leave_few_pairs_to_compute():
+    """Of two million pairs of one bucket, hardly more than those that are close are computed exactly."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 64))
+    x[1000:1040] = x[:40] + 0.1 * rng.normal(size=(40, 64))
+    turned = embeddings.unit(x) @ embeddings.rotation(64, 0).T
+    n, zero = len(x), np.zeros(len(x), dtype=np.int64)
+    table = pa.table(
+        {"vec": x.tolist(), "code": embeddings.packed(turned).view(np.int64).tolist(), "keys": [[0]] * n, "correction": np.abs(turned).sum(axis=1) / 8}
+        | {c: zero for c in ("task", "band", "own", "split", "place")}
+    )
+    i, j, computed = embeddings.compare(table, 64, 0.98)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(k, 1000 + k) for k in range(40)] and computed < 200
+
+
 def slow_links(rows):
     links = {}
     for i, (a, x, p) in enumerate(rows):

@@ -157,10 +157,23 @@ def hit_table(rows: DataFrame, entries: dict[str, int]) -> tuple[np.ndarray, np.
     return hits, found.column("y").to_numpy().astype(np.float64)
 
 
+def judged(fired: np.ndarray, rate: np.ndarray, correlation: np.ndarray, odds: float) -> np.ndarray:
+    """Posteriors of class 1 from the votes; voters that fire together given the class share their weight."""
+    weight = 1 / (1 + np.clip(correlation - np.eye(len(correlation)), 0, None).sum(axis=1))
+    gain = fired * np.log(rate[1] / rate[0]) + (1 - fired) * np.log((1 - rate[1]) / (1 - rate[0]))
+    return 1 / (1 + np.exp(-np.clip(np.log(odds) + gain @ weight, -30, 30)))
+
+
 def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of class 1, firing rates by class and voter, and correlations of voters given the class."""
+    """Posteriors of class 1, firing rates by class and voter, and correlations of voters given the class.
+
+    ``start`` holds labels, nan for rows without; these start from what the rates of the labelled rows say of them.
+    """
+    known = ~np.isnan(start)
+    if not known.all():
+        y, rate, correlation = label_model(fired[known], start[known], rounds)
+        start = np.where(known, start, judged(fired, rate, correlation, y.sum() / (1 - y).sum()))
     y = np.clip(start, 0.02, 0.98)
-    weight = np.ones(fired.shape[1])
     for _ in range(rounds):
         mass = np.stack([1 - y, y])
         rate = (mass @ fired + 0.5) / (mass.sum(axis=1, keepdims=True) + 1)
@@ -168,10 +181,7 @@ def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple
         cov = residual.T @ residual / len(fired)
         spread = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
         correlation = cov / np.outer(spread, spread)
-        weight = 1 / (1 + np.clip(correlation - np.eye(len(weight)), 0, None).sum(axis=1))
-        gain = fired * np.log(rate[1] / rate[0]) + (1 - fired) * np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = np.log(mass[1].sum() / mass[0].sum()) + gain @ weight
-        before, y = y, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        before, y = y, judged(fired, rate, correlation, mass[1].sum() / mass[0].sum())
         if np.abs(y - before).max() < 1e-6:
             break
     return y, rate, correlation
@@ -213,8 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
             words += 1
     others = unlabelled_rows(docs, labels, label_col, max_labelled).withColumn("y", F.lit(None).cast("int"))
     hits, y = hit_table(rows.union(others), entries)
-    start = np.where(np.isnan(y), np.nanmean(y), y)
-    posterior, rates, correlations = label_model((hits > 0).astype(np.float64), start)
+    posterior, rates, correlations = label_model((hits > 0).astype(np.float64), y)
     return Model(entries, fit_linear(inputs(hits), posterior), rates, correlations)
 
 
