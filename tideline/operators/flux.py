@@ -46,7 +46,7 @@ def deduplicated_flux(crossings: DataFrame, rehit: DataFrame, default_hours: flo
     """
     kept = crossings.join(canonical_gates(crossings), "gate_id", "left_semi")
     hours = F.coalesce("rehit_hours", F.lit(default_hours))
-    bucketed = kept.join(F.broadcast(rehit), "gate_id", "left").select(
+    bucketed = kept.join(rehit, "gate_id", "left").select(
         F.to_date("ts").alias("ds"),
         "gate_id",
         "direction",

@@ -40,7 +40,7 @@ def box_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
     )
     keyed = points.withColumn("_i", F.floor("lat")).withColumn("_j", F.floor("lon"))
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    return keyed.join(F.broadcast(touched), ["_i", "_j"]).where(inside).drop("_i", "_j", "south", "north", "west", "east")
+    return keyed.join(touched, ["_i", "_j"]).where(inside).drop("_i", "_j", "south", "north", "west", "east")
 
 
 def in_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:

@@ -27,7 +27,7 @@ def components_daily(inputs: DataFrame, signs: DataFrame) -> DataFrame:
     """
     days = inputs.select("d").distinct()
     # one row for each basin and component: a dimension
-    spec = inputs.select("basin", "comp").distinct().join(F.broadcast(signs), "comp")
+    spec = inputs.select("basin", "comp").distinct().join(signs, "comp")
     grid = days.join(F.broadcast(spec))
     base = doy_baseline(inputs.withColumnRenamed("raw_value", "x"), ["basin", "comp"])
     joined = (
@@ -101,7 +101,7 @@ def index_v15(scores: DataFrame, weights: DataFrame, gate: str = "gate_id", d: s
     """
     sis = clip(F.col("sis"), 0.0, 1.0)
     stress = F.when(F.col("sis").isNotNull(), 0.7 * F.col("score") + 0.3 * sis).otherwise(F.col("score"))
-    joined = scores.join(F.broadcast(weights), gate).withColumn("stress", stress)
+    joined = scores.join(weights, gate).withColumn("stress", stress)
     return joined.groupBy(d).agg(
         (F.lit(200.0) * F.sum(F.col("stress") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("level"),
         F.sum("weight").alias("weight_present"),

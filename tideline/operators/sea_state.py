@@ -70,10 +70,11 @@ def region_stats(samples: DataFrame, by: list[str], x: str, vessel: str) -> Data
 def flux_metrics(rows: DataFrame, z: Column, hs: Column, current_kn: Column, wind_ms: Column, x: str = "flux") -> DataFrame:
     """z within 3, a delay factor from the share of the largest flux, and a proxy of the impact score."""
     proxy = 0.50 * clip(hs / 5.0, 0.0, 1.0) + 0.35 * clip(current_kn / 3.5, 0.0, 1.0) + 0.15 * clip(wind_ms / 15.0, 0.0, 1.0)
-    # all rows of a summary: one for each gate
-    top = F.max(x).over(Window.partitionBy(F.lit(0)))
-    delay = F.lit(1.0) + F.least(F.lit(0.5), 0.3 * F.try_divide(F.col(x), top))
-    return rows.withColumn("z_clipped", clip(z, -3.0, 3.0)).withColumn("delay", delay).withColumn("sis_proxy", proxy)
+    # one row of one number
+    top = rows.agg(F.max(x).alias("_top"))
+    delay = F.lit(1.0) + F.least(F.lit(0.5), 0.3 * F.try_divide(F.col(x), F.col("_top")))
+    out = rows.withColumns({"z_clipped": clip(z, -3.0, 3.0), "sis_proxy": proxy}).join(F.broadcast(top))
+    return out.withColumn("delay", delay).drop("_top")
 
 
 def speed_of_means(grid: DataFrame, by: list[str], u: str, v: str, limit: float) -> DataFrame:

@@ -190,7 +190,7 @@ def relative_stress(daily: DataFrame, keys: list[str], d: str = "d", x: str = "x
 
 def component_bands(daily: DataFrame, baseline: DataFrame, keys: list[str], d: str = "d", x: str = "x") -> DataFrame:
     """Days beside their baseline (a dimension of days of year), with bands of one and two deviations floored at 0."""
-    joined = daily.withColumn("doy", F.dayofyear(d)).join(F.broadcast(baseline), [*keys, "doy"], "left")
+    joined = daily.withColumn("doy", F.dayofyear(d)).join(baseline, [*keys, "doy"], "left")
     out = {}
     for n in (1, 2):
         out[f"low_{n}"] = F.when(F.col("std").isNotNull(), F.greatest(F.col("mean") - n * F.col("std"), F.lit(0.0)))

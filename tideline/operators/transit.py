@@ -70,10 +70,14 @@ def rank_pairs(events: DataFrame, enter: str, leave: str) -> DataFrame:
 
 
 def interval_join(spans: DataFrame, fixes: DataFrame, least: int = 2) -> DataFrame:
-    """Fixes of the same vessel within each span: count and mean speed; spans with fewer than ``least`` go."""
-    at = fixes.select(F.col("mmsi").alias("_mmsi"), F.col("ts").alias("_ts"), "sog")
-    inside = (F.col("mmsi") == F.col("_mmsi")) & F.col("_ts").between(F.col("enter_ts"), F.col("exit_ts"))
-    joined = spans.select("mmsi", "k", "enter_ts", "exit_ts").join(at, inside)
+    """Fixes of the same vessel within each span: count and mean speed; spans with fewer than ``least`` go.
+
+    Vessels meet by day, a span once for each day it touches, so that a vessel with many fixes is split.
+    """
+    at = fixes.select("mmsi", F.to_date("ts").alias("_day"), F.col("ts").alias("_ts"), "sog")
+    days = F.explode(F.sequence(F.to_date("enter_ts"), F.to_date("exit_ts"))).alias("_day")
+    joined = spans.where("exit_ts >= enter_ts").select("mmsi", "k", "enter_ts", "exit_ts", days).join(at, ["mmsi", "_day"])
+    joined = joined.where(F.col("_ts").between(F.col("enter_ts"), F.col("exit_ts")))
     return joined.groupBy("mmsi", "k").agg(F.count(F.lit(1)).alias("n_points"), F.avg("sog").alias("mean_sog")).where(F.col("n_points") >= least)
 
 

@@ -56,7 +56,7 @@ def region_pivot(rows: DataFrame, by: str, region: str, names: list[str], x: str
 def corridor_traffic(events: DataFrame, mapping: DataFrame) -> DataFrame:
     """Events and distinct vessels of corridors, of which a polygon may be in several (``mapping``: a small dimension)."""
     spread = mapping.select("polygon_id", F.explode("corridors").alias("corridor_id"))
-    return events.join(F.broadcast(spread), "polygon_id").groupBy("corridor_id").agg(
+    return events.join(spread, "polygon_id").groupBy("corridor_id").agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("mmsi").alias("vessels"), F.countDistinct("polygon_id").alias("polygons")
     )
 
