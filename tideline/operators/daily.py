@@ -97,3 +97,58 @@ def momentum_probability(rows: DataFrame, keys: list[str], d: str, x: str, days:
     change = F.col(x) - F.lag(x, days).over(by)
     spread = F.stddev_samp(x).over(by.rowsBetween(-20, 0))
     return rows.withColumn("p", 0.5 + 0.5 * F.tanh(F.when(spread > 0, change / spread)))
+
+
+def contract(rows: DataFrame, d: str, bounded: list[str], low: float = -8.0, high: float = 8.0, least: int = 120, width: int = 30) -> DataFrame:
+    """One row that tells whether a component matrix may be published: bounds kept, no date twice, no series at a standstill.
+
+    A series stands still where no deviation over ``width`` rows (ten at least) is above 0; shorter matrices than ``least`` rows pass.
+    """
+    from pyspark.sql import Window
+
+    # one row for each day of a matrix
+    frame = Window.orderBy(d).rowsBetween(1 - width, 0)
+    moves = {f"_{c}": F.when(F.count(c).over(frame) >= 10, F.stddev_samp(c).over(frame)) for c in bounded}
+    outside = sum(F.when(~F.col(c).between(low, high), 1).otherwise(0) for c in bounded)
+    still = sum(F.when(F.max(f"_{c}") == 0, 1).otherwise(0) for c in bounded)
+    return rows.withColumns(moves).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(outside).alias("outside"), (F.count(F.lit(1)) - F.countDistinct(d)).alias("repeated_dates"),
+        F.when(F.count(F.lit(1)) >= least, still).otherwise(0).alias("standing_still"),
+    ).withColumn("valid", (F.col("outside") == 0) & (F.col("repeated_dates") == 0) & (F.col("standing_still") == 0))
+
+
+def spread_dataset(rows: DataFrame, keys: list[str], d: str, x: str, spread: str, threshold: float = 0.0005) -> DataFrame:
+    """Features known at each day, and whether the spread rises by more than ``threshold`` on the next.
+
+    Lags, changes and rolling z scores of ``x``, calendar, and returns of the spread; what is unknown counts as 0. The
+    last day of a series has no next and counts as no rise.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*keys).orderBy(d)
+    out = {}
+    for n in (1, 3, 5):
+        out[f"lag_{n}"] = F.lag(x, n).over(order)
+        out[f"chg_{n}"] = F.col(x) - F.lag(x, n).over(order)
+    for n in (7, 14):
+        frame = order.rowsBetween(1 - n, 0)
+        spread_of = F.stddev_samp(x).over(frame)
+        out[f"z_{n}"] = F.when((F.count(x).over(frame) >= n // 2) & (spread_of != 0), (F.col(x) - F.avg(x).over(frame)) / spread_of)
+    for n in (1, 5):
+        before = F.lag(spread, n).over(order)
+        out[f"spread_ret_{n}"] = F.try_divide(F.col(spread) - before, before)
+    angle = F.dayofyear(d) * F.lit(2 * 3.141592653589793 / 365.25)
+    calendar = {"weekday": F.weekday(d), "month": F.month(d), "week": F.weekofyear(d), "doy_sin": F.sin(angle), "doy_cos": F.cos(angle)}
+    rise = F.lead(spread).over(order) - F.col(spread)
+    target = F.coalesce((rise > threshold).cast("int"), F.lit(0))
+    return rows.withColumns({c: F.coalesce(e, F.lit(0.0)) for c, e in out.items()} | calendar | {"target": target})
+
+
+def sea_state_component(samples: DataFrame, keys: list[str], ts: str, hs: str, u: str, v: str, course_rad: float) -> DataFrame:
+    """Daily mean wave height as a seasonal z score, with the mean current against a fixed course."""
+    from tideline.functions.columns import along
+
+    by_day = samples.groupBy(F.to_date(ts).alias("d"), *keys).agg(
+        F.avg(nan_to_null(hs)).alias("x"), F.avg(along(nan_to_null(u), nan_to_null(v), F.lit(course_rad))).alias("opposing")
+    )
+    return seasonal.doy_zscore(by_day, keys)

@@ -12,7 +12,7 @@ from tideline.plans.place_queries import POINTS, points
 from tideline.plans.registry import query
 from tideline.plans.series_queries import DAILY
 from tideline.plans.series_queries import daily as day_series
-from tideline.sources import ais, ports
+from tideline.sources import ais, ports, static
 
 NOW = "TIMESTAMP '2024-01-25 00:00:00'"
 WINDOWS = """
@@ -397,3 +397,93 @@ def health_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumn("gap_s", seconds - F.lag(seconds).over(order))
     return rounded(daily.health_windows(rows, gap_s=86400.0), "tanker_share", "gap_ratio", "spoof_share")
+
+
+@query(
+    "static_messages",
+    f"""
+    WITH m AS (SELECT *, {K} % 50 + 60 AS c, {K} AS k FROM events WHERE event_type <> 'view')
+    SELECT user_id + 200000000 AS mmsi, 'SHIP ' || user_id AS name, CAST(c AS INT) AS shiptype_num, CAST(k % 9 AS INT) AS dimension_a, k % 7 / 2.0::DOUBLE AS draught,
+           CASE WHEN c < 100 AND c % 10 IN (0, 1, 2, 3, 4, 9) THEN CASE c // 10 WHEN 6 THEN 'Passenger' WHEN 7 THEN 'Cargo' WHEN 8 THEN 'Tanker' ELSE 'Other' END
+           || CASE c % 10 WHEN 0 THEN '' WHEN 1 THEN ' (Hazardous A)' WHEN 2 THEN ' (Hazardous B)' WHEN 3 THEN ' (Hazardous C)' WHEN 4 THEN ' (Hazardous D)' ELSE ' (No additional info)' END
+           ELSE 'Type ' || c END AS shiptype_str, count(*) AS n FROM m GROUP BY ALL
+    """,
+)
+def static_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.struct(
+        F.concat(F.lit("  SHIP "), F.col("user_id").cast("string"), F.lit(" ")).alias("Name"), (k() % 50 + 60).alias("Type"), F.struct((k() % 9).alias("A")).alias("Dimension"), (k() % 7 / 2).alias("Draught")
+    )
+    message = F.struct(F.when(F.col("event_type") == "view", 1).otherwise(5).alias("MessageType"), body.alias("ShipStaticData"))
+    payload = F.to_json(F.struct(F.struct((F.col("user_id") + 200000000).alias("MMSI")).alias("MetaData"), message.alias("Message")))
+    found = static.static_messages(table(spark, sf_dir, "events").select(payload.alias("payload"), F.col("ts").alias("rx_time")))
+    return found.groupBy("mmsi", "name", "shiptype_num", "dimension_a", "draught", "shiptype_str").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "raw_snapshots",
+    """
+    WITH l AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS day, o_orderdate AS fetched_at, o_orderstatus || o_orderkey AS payload FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fetched_at DESC, payload DESC) AS n, count(*) OVER (PARTITION BY k) AS snapshots FROM l)
+    SELECT k, fetched_at, payload, snapshots, md5(payload) AS digest FROM r WHERE n = 1
+    """,
+)
+def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("fetched_at"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("payload"))
+    return static.latest_snapshots(raw, ["k"])
+
+
+@query(
+    "made_up_series",
+    """
+    WITH r AS (SELECT CAST(i AS INT) AS i, s FROM range(800) a(i), (VALUES ('brent'), ('wti')) b(s))
+    SELECT DATE '2022-01-01' + i AS d, s AS series, round(50 + 10 * sin(i * 2 * pi() / 365.25) + CAST('0x' || substr(md5('42|' || s || '|' || i), 1, 6) AS BIGINT) / 16777216.0::DOUBLE, 6) AS value FROM r
+    """,
+)
+def made_up_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(static.made_up_series(spark, ["brent", "wti"], "2022-01-01", 800), "value")
+
+
+@query(
+    "contract_report",
+    f"""
+    WITH {DAILY}, m AS (SELECT d, sum(n) / 100.0::DOUBLE AS a, CAST(1 AS DOUBLE) AS b FROM day GROUP BY d),
+    w AS (SELECT *, CASE WHEN count(a) OVER f >= 10 THEN stddev_samp(a) OVER f END AS sa, CASE WHEN count(b) OVER f >= 10 THEN stddev_samp(b) OVER f END AS sb FROM m
+          WINDOW f AS (ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+    SELECT count(*) AS rows, CAST(sum(CASE WHEN a NOT BETWEEN -8 AND 8 THEN 1 ELSE 0 END) AS BIGINT) AS outside, count(*) - count(DISTINCT d) AS repeated_dates,
+           CAST(CASE WHEN max(sa) = 0 THEN 1 ELSE 0 END + CASE WHEN max(sb) = 0 THEN 1 ELSE 0 END AS INT) AS standing_still, false AS valid FROM w
+    """,
+)
+def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix with one series that stands still, which the contract must tell."""
+    rows = day_series(spark, sf_dir).groupBy("d").agg((F.sum("n") / 100.0).alias("a")).withColumn("b", F.lit(1.0))
+    return daily.contract(rows, "d", ["a", "b"])
+
+
+@query(
+    "spread_dataset",
+    f"""
+    WITH {DAILY}, f AS (SELECT d, k, n, x, CAST(n AS DOUBLE) AS c, lag(n, 1) OVER w AS l1, lag(n, 5) OVER w AS l5, lag(x, 1) OVER w AS s1, lag(x, 5) OVER w AS s5, lead(x) OVER w AS nx,
+        CASE WHEN count(n) OVER v >= 3 AND stddev_samp(n) OVER v <> 0 THEN (n - avg(n) OVER v) / stddev_samp(n) OVER v END AS z7
+        FROM day WINDOW w AS (PARTITION BY k ORDER BY d), v AS (PARTITION BY k ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+    SELECT d, k, coalesce(CAST(l1 AS DOUBLE), 0) AS lag_1, coalesce(c - l5, 0) AS chg_5, round(coalesce(z7, 0), 5) AS z_7, round(coalesce((x - s1) / s1, 0), 6) AS spread_ret_1,
+           round(coalesce((x - s5) / s5, 0), 6) AS spread_ret_5, CAST(isodow(d) - 1 AS INT) AS weekday, CAST(week(d) AS INT) AS week, round(sin(dayofyear(d) * 2 * pi() / 365.25), 6) AS doy_sin,
+           CASE WHEN nx - x > 0.0005 THEN 1 ELSE 0 END AS target FROM f
+    """,
+)
+def spread_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = day_series(spark, sf_dir).select("d", "k", F.col("n").cast("double").alias("c"), F.col("x").alias("spread"))
+    out = daily.spread_dataset(rows, ["k"], "d", "c", "spread").select("d", "k", "lag_1", "chg_5", "z_7", "spread_ret_1", "spread_ret_5", "weekday", "week", "doy_sin", "target")
+    return rounded(rounded(out, "z_7", digits=5), "spread_ret_1", "spread_ret_5", "doy_sin")
+
+
+@query(
+    "sea_state_component",
+    """
+    WITH s AS (SELECT CAST(l_shipdate AS DATE) AS d, l_returnflag AS k, avg(l_quantity) AS x, avg(-(l_discount * cos(0.5) + l_tax * sin(0.5))) AS opposing FROM lineitem GROUP BY 1, 2)
+    SELECT d, k, round(x, 5) AS x, round(opposing, 6) AS opposing FROM s
+    """,
+)
+def sea_state_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, "lineitem").select("l_shipdate", F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("hs"), F.col("l_discount").alias("u"), F.col("l_tax").alias("v"))
+    out = daily.sea_state_component(samples, ["k"], "l_shipdate", "hs", "u", "v", 0.5).select("d", "k", "x", "opposing")
+    return rounded(rounded(out, "x", digits=5), "opposing")
