@@ -41,11 +41,19 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     return path
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most FILES_PER_CORE partitions a core; as it is where executors come and go, for their number says nothing."""
+    sc = df.sparkSession.sparkContext
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return df
+    return df.coalesce(FILES_PER_CORE * max(1, sc.defaultParallelism))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism)).write.parquet(path)
+    few_files(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
