@@ -436,11 +436,13 @@ def similar_groups(
     held = stored(held.join(shared, "key").select("key", "node", "least"), "buckets")
     found = held.select(F.col("node").alias("a"), F.col("least").alias("b"))
     # the fingerprints of all seeds in one table: nodes of one fingerprint hang on the least of them
-    prints = nodes.select("node", F.posexplode("fps").alias("space", "fp"))
-    classes = stored(prints.groupBy("space", "fp").agg(F.min("node").alias("least")), "classes")
-    found = found.union(prints.join(classes, ["space", "fp"]).select("node", "least"))
-    x, y = (classes.select("space", F.col("fp").alias(end), F.col("least").alias(f"{end}_node")) for end in ("a", "b"))
-    found = found.union(links(classes, distance).join(x, ["space", "a"]).join(y, ["space", "b"]).select("a_node", "b_node"))
+    prints = nodes.select("node", "keys", F.posexplode("fps").alias("space", "fp"))
+    classes = stored(prints.groupBy("space", "fp").agg(F.min("node").alias("least"), F.min_by("keys", "node").alias("keys")), "classes")
+    found = found.union(prints.join(classes.drop("keys"), ["space", "fp"]).select("node", "least"))
+    x, y = (classes.select("space", F.col("fp").alias(end), F.col("least").alias(f"{end}_node"), F.col("keys").alias(f"{end}_keys")) for end in ("a", "b"))
+    near = links(classes, distance).join(x, ["space", "a"]).join(y, ["space", "b"])
+    # pairs that share a band are compared in its bucket, a large group of copies there without its pairs
+    found = found.union(near.where(~F.arrays_overlap("a_keys", "b_keys")).select("a_node", "b_node"))
     ordered = lambda pairs: pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = stored(ordered(found), "pairs")
 
