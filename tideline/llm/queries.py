@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, embeddings, mixing, quality, simhash, token_counts, token_files, toxicity, warc
+from tideline.llm import chat, decontaminate, divergence, embeddings, mixing, quality, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_quality"] = op4_quality
 QUERIES["op10_mixing"] = op10_mixing
+
+
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_divergence"] = op11_divergence
+ORACLES["op11_divergence"] = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+    ), w AS (
+        SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+    ), k AS (
+        SELECT lang, term, count(*) AS of_lang FROM w GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3
+    ), g AS (
+        SELECT lang, source, count(k.term) AS total FROM d LEFT JOIN w USING (row_id, lang, source) LEFT JOIN k USING (lang, term) GROUP BY lang, source
+    ), l AS (
+        SELECT lang, count(*) AS terms, sum(of_lang) AS total FROM k GROUP BY lang
+    ), n AS (
+        SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+    ), s AS (
+        SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (g.total + l.terms)::HUGEINT AS p,
+               1 + (1000000000::HUGEINT * (k.of_lang + 1)) // (l.total + l.terms)::HUGEINT AS q
+        FROM g JOIN l ON l.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+    ), v AS (
+        SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+        FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), r AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(v.value, 0) AS BIGINT) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM s WHERE n > 0 AND p > q
+    )
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+    QUALIFY part = 'pair' OR rank <= 200
+"""
