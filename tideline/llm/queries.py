@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, divergence, embeddings, mixing, quality, simhash, token_counts, token_files, toxicity, warc
+from tideline.llm import chat, decontaminate, divergence, embeddings, merkle, mixing, quality, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,3 +208,62 @@ ORACLES["op11_divergence"] = r"""
     SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
     QUALIFY part = 'pair' OR rank <= 200
 """
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_merkle"] = op13_merkle
+ORACLES["op13_merkle"] = """
+    WITH RECURSIVE f AS (
+        SELECT row_number() OVER () AS row_id, doc_id, lang, n_chars,
+               coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                   || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+               coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM documents
+    ), h AS (
+        SELECT row_id, doc_id, lang, head, tail, n_chars, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf FROM f
+    ), c AS (
+        SELECT row_id, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda acc, b: xor(acc >> 8, t.crc[(xor(acc, b) & 255) + 1])) AS r FROM (
+            SELECT row_id, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS bytes FROM h
+        ), (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS crc FROM range(256) x(i)
+        ) t
+    ), leaves AS (
+        SELECT h.*, CASE WHEN xor(c.r, 4294967295) % 7 = 0 THEN sha256(head || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) ELSE leaf END AS now,
+               row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+        FROM h JOIN c USING (row_id)
+    ), t AS (
+        SELECT lang, 0 AS level, i, n, leaf AS node FROM leaves
+        UNION ALL
+        SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(node || coalesce(next, '')) FROM (
+            SELECT *, lead(node) OVER (PARTITION BY lang ORDER BY i) AS next FROM t WHERE n > 1
+        ) WHERE i % 2 = 0
+    ), subroots AS (
+        SELECT lang, level AS height, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+    ), u AS (
+        SELECT 0 AS level, i, n, subroot AS node FROM subroots
+        UNION ALL
+        SELECT level + 1, i // 2, (n + 1) // 2, sha256(node || coalesce(next, '')) FROM (
+            SELECT *, lead(node) OVER (ORDER BY i) AS next FROM u WHERE n > 1
+        ) WHERE i % 2 = 0
+    ), p AS (
+        SELECT l.row_id, k AS level, (l.i >> k) & 1 AS side, coalesce(t.node, '') AS sibling
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN LATERAL (SELECT unnest(range(s.height)) AS k)
+        LEFT JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND t.level = k AND t.i = xor(l.i >> k, 1)
+        UNION ALL
+        SELECT l.row_id, s.height + k, (s.i >> k) & 1, coalesce(u.node, '')
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN LATERAL (SELECT unnest(range((SELECT max(level) FROM u))) AS k)
+        LEFT JOIN u ON u.level = k AND u.i = xor(s.i >> k, 1)
+    ), fold AS (
+        SELECT row_id, 0 AS level, now AS node FROM leaves
+        UNION ALL
+        SELECT fold.row_id, fold.level + 1, sha256(CASE WHEN side = 1 THEN sibling || node ELSE node || sibling END) FROM fold JOIN p USING (row_id, level)
+    ), ends AS (
+        SELECT row_id, arg_max(node, level) AS folded_root FROM fold GROUP BY row_id
+    ), proofs AS (
+        SELECT row_id, string_agg(sibling, '' ORDER BY level) AS siblings FROM p GROUP BY row_id
+    ), top AS (SELECT node AS root FROM u WHERE n = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN top JOIN ends USING (row_id) LEFT JOIN proofs USING (row_id)
+"""
