@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, divergence, embeddings, merkle, mixing, quality, simhash, token_counts, token_files, toxicity, warc
+from tideline.llm import chat, decontaminate, divergence, embeddings, merkle, mixing, pii, quality, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,6 +210,13 @@ ORACLES["op11_divergence"] = r"""
 """
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_pii"] = op12_pii
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(_table(spark, sf_dir, "documents"))
 
