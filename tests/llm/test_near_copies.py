@@ -2,7 +2,10 @@
 
 import random
 
-from tideline.llm import simhash
+import numpy as np
+import pytest
+
+from tideline.llm import graph, simhash
 
 
 def cut(text):
@@ -82,3 +85,56 @@ def test_buckets_in_blocks(spark, docs_of, monkeypatch):
     assert 1 < len(want) < len(rows)
     got = [r.doc_id for r in simhash.one_of_each(docs_of(rows)).select("doc_id").collect()]
     assert sorted(got) == sorted(want)
+
+
+def dense_groups(n, bits, groups=3, seed=5):
+    """Groups of ``n`` fingerprints that differ from their own middle in ``bits`` bits at most."""
+    rng, out = np.random.default_rng(seed), set()
+    for _ in range(groups):
+        middle, own = int(rng.integers(0, 2**63)), set()
+        while len(own) < n:
+            own.add(middle ^ sum(1 << int(x) for x in rng.choice(63, int(rng.integers(0, bits + 1)), replace=False)))
+        out |= own
+    return sorted(out)
+
+
+def components(pairs, nodes):
+    root = {x: x for x in nodes}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {x: top(x) for x in nodes}
+
+
+@pytest.mark.parametrize("distance, block", [(4, 1024), (4, 7), (5, 50), (0, 3)])
+def test_spanning_links_join_what_all_links_join(spark, distance, block):
+    fps = dense_groups(120, 3) + dense_groups(60, 6, seed=9)
+    want = components(((a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= distance), fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
+    found = [(r.a, r.b) for r in simhash.spanning_links(df, distance, block).collect()]
+    assert all(a < b and (a ^ b).bit_count() <= distance for a, b in found)
+    assert components(found, fps) == want
+    assert {r.node: r.component for r in graph.connected_components(spark.createDataFrame(found, "a long, b long")).collect()}.items() <= want.items() if found else True
+
+
+def test_spanning_links_grow_with_a_group(spark):
+    """Rows from groups of 250 to 4,000: for each member at most one from each key it probes, where all pairs would be 125 to 2,000."""
+    for n in (250, 1000, 4000):
+        df = spark.createDataFrame([(f,) for f in dense_groups(n, 3, groups=1)], "fp long")
+        assert n - 1 <= simhash.spanning_links(df, 4).count() <= 20 * n
+
+
+def test_spanning_links_keep_spaces_apart(spark):
+    fps = dense_groups(30, 2)
+    rows = [(s, f) for s in (0, 1) for f in fps[s::2] + fps[:6]]
+    found = {(r.space, r.a, r.b) for r in simhash.spanning_links(spark.createDataFrame(rows, "space int, fp long"), 4).collect()}
+    for s in (0, 1):
+        own = sorted({f for x, f in rows if x == s})
+        want = components(((a, b) for i, a in enumerate(own) for b in own[i + 1 :] if (a ^ b).bit_count() <= 4), own)
+        assert components([(a, b) for x, a, b in found if x == s], own) == want

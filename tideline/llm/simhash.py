@@ -5,7 +5,8 @@ correlated bits together. A fingerprint probes partition i for
 keys within t_i bits of its own, where the t_i + 1 sum to one more than the distance allowed: two fingerprints
 that differ in at most that many bits then meet in one partition at least. Each fingerprint takes the thresholds
 that cost it least, found by dynamic programming on the numbers of keys and of candidates to expect, the latter
-from counts of all fingerprints by the leading bits of their keys. What the probes meet is compared whole.
+from counts of all fingerprints by the leading bits of their keys. What the probes meet is compared whole, inside tasks
+that pass on only links which join something, so that groups of near copies give no pairs but their spanning links.
 
 Cases: a null or white-space text has fingerprint zero and is linked like any other; repeated rows share their
 fingerprint and group; a row with a null id keeps its row, in the group of its fingerprint, whose component is the
@@ -186,10 +187,11 @@ def allocate(costs: list[np.ndarray], distance: int) -> np.ndarray:
     return out
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """``space, a, b``: pairs of the distinct fingerprints ``fps`` that differ in at most ``distance`` bits (each maybe more than once).
+def probes_and_keys(fps: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """``space, part, key, fp`` twice: the keys that each fingerprint probes, and those it holds.
 
-    Where ``fps`` has a column ``space`` only fingerprints of one space are compared, and all spaces in one job.
+    Two of the distinct fingerprints ``fps`` of one space (column ``space``, else all) that differ in at most
+    ``distance`` bits meet in one key at least.
     """
     if not 0 <= distance < (LARGEST + 1) * max(PARTITIONS):
         raise ValueError(f"distance {distance} is too large for thresholds up to {LARGEST}")
@@ -231,12 +233,78 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     tried = chosen.select("space", "fp", F.explode(tries).alias("try")).select("space", "fp", "try.*").where("t >= 0")
     reach = F.array(*[F.array(*[F.array(*[F.lit(m).cast("long") for m in by_t]) for by_t in by_part]) for by_part in masks])
     probes = tried.select("space", "fp", "part", "k", F.explode(F.get(F.get(reach, F.col("part")), F.col("t"))).alias("flip")).select(
-        "space", "part", F.col("k").bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a")
+        "space", "part", F.col("k").bitwiseXOR(F.col("flip")).alias("key"), "fp"
     )
-    held = keys.select("space", part_key, F.col("fp").alias("b"))
-    return probes.join(held, ["space", "part", "key"]).where(
-        (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    ).select("space", "a", "b")
+    return probes, keys.select("space", part_key, "fp")
+
+
+def links(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """``space, a, b``: all pairs of the distinct fingerprints ``fps`` that differ in at most ``distance`` bits (each maybe more than once).
+
+    Where ``fps`` has a column ``space`` only fingerprints of one space are compared, and all spaces in one job.
+    """
+    probes, held = probes_and_keys(fps, distance)
+    pairs = probes.withColumnRenamed("fp", "a").join(held.withColumnRenamed("fp", "b"), ["space", "part", "key"])
+    return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("space", "a", "b")
+
+
+def joining(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the links (i, j) that join what ``label`` has apart, without a circle; ``label`` is brought up to date."""
+    chosen, left = [], np.arange(len(i))
+    while len(left := left[label[i[left]] != label[j[left]]]):
+        x, y = label[i[left]], label[j[left]]
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        chosen.append(left[first])
+        # each root hangs on a smaller one, so there is no circle
+        root = np.arange(len(label))
+        root[high] = np.minimum(x, y)[first]
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        label[:] = root[label]
+    return np.concatenate(chosen) if chosen else np.empty(0, dtype=np.int64)
+
+
+def spanning_links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
+    """``space, a, b``: as many of the pairs of ``links`` as keep joined what they join, in number at most that of probes.
+
+    What meets under a key is compared inside tasks, and a pair leaves its task only if it joins two fingerprints that
+    others have not joined there, so a dense group gives links in proportion to its size. Keys that more than ``block``
+    fingerprints hold are dealt out in blocks of held and of probing ones, a task for each two.
+    """
+    probes, held = probes_and_keys(fps, distance)
+    full = held.groupBy("space", "part", "key").count().where(F.col("count") > block)
+    full = stored(full.select("space", "part", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "full-keys")
+    met = held.withColumn("probe", F.lit(False)).union(probes.withColumn("probe", F.lit(True))).join(full, ["space", "part", "key"], "left")
+    met = met.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block_of = lambda probe: F.when(F.col("probe") == probe, F.col("own")).otherwise(F.col("other"))
+    met = met.select("space", F.xxhash64("space", "part", "key", block_of(True), block_of(False)).alias("task"), "probe", "fp")
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "task"):
+            space, task, probe, fp = (table.column(c).to_numpy() for c in ("space", "task", "probe", "fp"))
+            # rows of a task stand together, held before probing
+            starts = np.searchsorted(task, task)
+            held_n = np.bincount(starts, weights=~probe, minlength=len(task)).astype(np.int64)[starts]
+            asking = np.flatnonzero(probe & (held_n > 0))
+            # fingerprints as nodes, those of different spaces apart
+            order = np.lexsort((fp, space))
+            new = np.r_[True, (fp[order][1:] != fp[order][:-1]) | (space[order][1:] != space[order][:-1])]
+            node = np.empty(len(fp), dtype=np.int64)
+            node[order] = np.cumsum(new) - 1
+            label, ends = np.arange(int(new.sum())), np.cumsum(held_n[asking])
+            cuts = np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) if len(ends) else 0, 1 << 20))
+            for rows in np.split(asking, np.unique(cuts)):
+                n = held_n[rows]
+                i = np.repeat(rows, n)
+                j = np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(len(i))
+                near = np.flatnonzero((np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (space[i] == space[j]))
+                found = near[joining(node[i[near]], node[j[near]], label)]
+                a, b = fp[i[found]], fp[j[found]]
+                yield pa.RecordBatch.from_arrays([pa.array(space[i[found]]), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["space", "a", "b"])
+
+    ordered = met.repartition("task").sortWithinPartitions("task", "probe")
+    return ordered.mapInArrow(meet, "space int, a long, b long")
 
 
 def near_duplicates(
@@ -248,7 +316,7 @@ def near_duplicates(
     """
     rows = stored(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    joined = connected_components(links(classes, distance).select("a", "b"))
+    joined = connected_components(spanning_links(classes, distance).select("a", "b"))
     # classes that no other is near keep their own first id
     rooted = classes.join(joined.withColumnRenamed("node", "fp"), "fp")
     firsts = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -440,7 +508,7 @@ def similar_groups(
     classes = stored(prints.groupBy("space", "fp").agg(F.min("node").alias("least"), F.min_by("keys", "node").alias("keys")), "classes")
     found = found.union(prints.join(classes.drop("keys"), ["space", "fp"]).select("node", "least"))
     x, y = (classes.select("space", F.col("fp").alias(end), F.col("least").alias(f"{end}_node"), F.col("keys").alias(f"{end}_keys")) for end in ("a", "b"))
-    near = links(classes, distance).join(x, ["space", "a"]).join(y, ["space", "b"])
+    near = spanning_links(classes, distance).join(x, ["space", "a"]).join(y, ["space", "b"])
     # pairs that share a band are compared in its bucket, a large group of copies there without its pairs
     found = found.union(near.where(~F.arrays_overlap("a_keys", "b_keys")).select("a_node", "b_node"))
     ordered = lambda pairs: pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
