@@ -1,11 +1,13 @@
 """Golden cases: hand-made inputs with known results."""
 
 import datetime as dt
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import detect, flux, geo, models, registry, seasonal, shapes, transit
+from tideline.operators import daily, detect, flux, geo, models, registry, seasonal, shapes, transit
 from tideline.sources import ais, ports, readers
 from tideline.streaming import geofence, windows
 
@@ -167,6 +169,16 @@ def test_upsert_sink_keeps_newest(spark, tmp_path):
     assert sorted((r.k, r.v) for r in got.collect()) == [(1, "a"), (2, "e"), (3, "d")]
 
 
+def test_upsert_sink_keeps_newer_rows_from_late_batches(spark, tmp_path):
+    write = windows.upsert_sink(str(tmp_path), ["k"], "t", buckets=2)
+    ddl = "k int, t int, v string"
+    for number, rows in enumerate([[(1, 5, "new"), (2, 1, "a")], [(1, 2, "late"), (3, 1, "b")], [(1, 4, "late")], [(2, 2, "c")]]):
+        write(spark.createDataFrame(rows, ddl), number)
+    assert sorted((r.k, r.t, r.v) for r in windows.read_upserted(spark, str(tmp_path)).collect()) == [(1, 5, "new"), (2, 2, "c"), (3, 1, "b")]
+    kept = [p for p in tmp_path.glob("*/_b=*")]
+    assert len(kept) <= 4
+
+
 def test_holt_by_hand(spark):
     """Levels 10, 13, 14.63 and trends 0, 0.9, 1.119 at 0.3; one-step errors 10 and 2.1."""
     rows = spark.createDataFrame([("s", 1, 10.0), ("s", 2, 20.0), ("s", 3, 16.0), ("one", 1, 4.0)], "k string, d int, x double")
@@ -233,9 +245,79 @@ def test_damping_and_drift(spark):
     rows = spark.createDataFrame([(None, 0.5), (0.5, 0.52), (0.5, 0.7)], "a double, b double")
     assert [r[0] for r in rows.select(models.damped(F.col("a"), F.col("b"))).collect()] == [0.5, 0.5, 0.7]
     base = spark.range(1, 101).select((F.col("id") / 100.0).alias("x"))
-    assert models.psi(base, base, "x").first().psi == pytest.approx(0) and models.ks(base, base, "x").first().ks == 0
-    moved = base.select((F.col("x") + 0.05).alias("x"))
-    assert models.psi(base, moved, "x").first().psi > 0 and models.ks(base, moved, "x").first().ks == pytest.approx(0.05, abs=0.011)
+    assert models.ks(base, base, "x").first().ks == 0
+    assert models.ks(base, base.select((F.col("x") + 0.05).alias("x")), "x").first().ks == pytest.approx(0.05, abs=0.011)
+    edges = [i / 10 for i in range(11)]
+    even = spark.range(100).select((0.1 + F.col("id") * 0.8 / 99).alias("x"))
+    later = even.select((F.col("x") + 0.05).alias("x"))
+    counts = lambda df: np.histogram([r.x for r in df.collect()], edges)[0] / 100
+    p, q = counts(even), counts(later)
+    want = sum((b - a) * math.log(max(b / max(a, 1e-6), 1e-6)) for a, b in zip(p, q))
+    assert models.psi(even, even, "x", edges).first().psi == pytest.approx(0) and models.psi(even, later, "x", edges).first().psi == pytest.approx(want)
+    # values outside the bins are no part of the shares; a sample without rows gives no index
+    assert models.psi(even, later.union(spark.createDataFrame([(7.0,), (None,)], "x double")), "x", edges).first().psi == pytest.approx(want)
+    assert models.psi(even, even.limit(0), "x", edges).first().psi is None
+
+
+def test_momentum_within_bounds(spark):
+    def series(name, values):
+        return [(name, dt.date(2024, 1, 1) + dt.timedelta(i), float(v)) for i, v in enumerate(values)]
+
+    wobble = [100 + i + (1 if i % 2 else -1) for i in range(40)]
+    rows = [*series("up", wobble), *series("down", wobble[::-1]), *series("short", wobble[:21]), *series("wild", [100 * (1.5 if i % 2 else 1) for i in range(40)]), *series("flat", [5] * 30)]
+    got = {r.k: r for r in daily.momentum_probability(spark.createDataFrame(rows, "k string, d date, x double"), ["k"], "d", "x", most_volatile=0.2).collect()}
+    r7, r21 = (wobble[-1] - wobble[-7]) / wobble[-7], (wobble[-1] - wobble[-21]) / wobble[-21]
+    moves = [b / a - 1 for a, b in zip(wobble, wobble[1:])]
+    vols = [np.std(moves[i : i + 21], ddof=1) for i in range(len(moves) - 20)]
+    vol = min(max(vols[-1], np.quantile(vols, 0.01)), np.quantile(vols, 0.99))
+    assert (got["up"].r7, got["up"].r21, got["up"].vol21) == pytest.approx((r7, r21, vol))
+    assert got["up"].p == pytest.approx(min(max(0.5 + 0.5 * math.tanh(3 * (r7 - r21 / 2) / vol), 0.35), 0.65)) and got["up"].reason is None
+    assert 0.35 <= got["down"].p <= 0.65 and got["flat"].p == 0.5
+    assert [(got[k].p, got[k].reason) for k in ("short", "wild")] == [(0.5, "insufficient_history"), (0.5, "high_volatility")]
+
+
+def test_proxy_component_cuts_scores(spark):
+    """Four years of one region: the score by day of year, then its percentiles; worked out with numpy."""
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for year in (2021, 2022, 2023, 2025):
+        for day in range(20):
+            at, n = dt.datetime(year, 3, 1) + dt.timedelta(day), int(rng.integers(1, 50))
+            rows += [(at, "r", n), (at + dt.timedelta(minutes=10), "r", 1), (at, "other", 99)]
+            want[at.date()] = n + 1.0
+    by_doy = {}
+    for d, x in want.items():
+        by_doy.setdefault(d.timetuple().tm_yday, []).append(x)
+    z = {d: (x - np.mean(v)) / np.std(v, ddof=1) if np.std(v, ddof=1) else 0.0 for d, x in want.items() for v in [by_doy[d.timetuple().tm_yday]]}
+    low, high = np.quantile(list(z.values()), [0.01, 0.99])
+    got = {r.d: (r.x, r.z) for r in daily.proxy_component(spark.createDataFrame(rows, "window_start timestamp, region string, slow_count long"), "r").collect()}
+    assert got == {d: (want[d], pytest.approx(min(max(z[d], low), high))) for d in want} and min(z.values()) < low
+
+
+def test_health_stream_counts_silent_buckets(spark, tmp_path):
+    minute = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    rows = [(1, minute(0), True, False), (2, minute(0), False, True), (1, minute(3), True, False), (1, minute(12), True, False), (1, minute(59), False, False)]
+    ddl = "mmsi long, msg_time timestamp, is_tanker boolean, spoof boolean"
+    df = spark.createDataFrame(rows, ddl)
+    batch = {r.window_start: tuple(r)[1:] for r in daily.health_windows(df).collect()}
+    assert batch[minute(0)] == (3, 2, pytest.approx(2 / 3), pytest.approx(0.8), pytest.approx(1 / 3)) and batch[minute(10)] == (1, 1, 1.0, 0.9, 0.0)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = windows.health_stream(spark.readStream.schema(ddl).parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("health_out").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert {(r.window_start, r.messages, r.gap_ratio) for r in spark.table("health_out").collect()} == {(minute(0), 3, 0.8), (minute(10), 1, 0.9)}
+
+
+def test_gate_strip_ends_flat():
+    """A gate of 0.1 degrees with a strip of 500 m on either side: beyond its ends nothing crosses, not even close by."""
+    gate = geofence.Gate("g", (0.0, 0.0), (0.1, 0.0), 500.0)
+    east = lambda m: math.degrees(m / 6378137.0)
+    beyond, within = 0.1 + east(300), 0.1 - east(300)
+    assert geofence.crossing(gate, (beyond, -0.01), (beyond, 0.01), None) is None
+    assert geofence.crossing(gate, (within, -0.01), (within, 0.01), None) == "AtoB"
+    # a move that stays on one side, 400 m off, is within the strip; 600 m off it isn't
+    assert geofence.crossing(gate, (0.02, east(400)), (0.05, east(400)), 90.0) is not None
+    assert geofence.crossing(gate, (0.02, east(600)), (0.05, east(600)), 90.0) is None
+    assert geofence.crossing(gate, (beyond, east(10)), (beyond, east(10)), 0.0) is None
 
 
 def test_direction_model(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.columns import KNOTS_PER_MS, nan_to_null
+from tideline.functions.columns import KNOTS_PER_MS, clip, epoch_seconds, nan_to_null
 from tideline.operators import seasonal
 
 
@@ -15,10 +15,9 @@ def dwell_daily(windows: DataFrame) -> DataFrame:
 
 
 def proxy_component(windows: DataFrame, region: str) -> DataFrame:
-    """A region's daily dwell as a component: z score by day of year, cut at the series' first and last percentiles."""
+    """A region's daily dwell as a component: its z score by day of year, kept within the first and last percentiles of those scores."""
     rows = dwell_daily(windows).where(F.col("region") == region).select("d", "region", F.col("slow_sum").cast("double").alias("x"))
-    scored = seasonal.doy_zscore(seasonal.winsorize(rows, ["region"]), ["region"])
-    return scored
+    return seasonal.winsorize(seasonal.doy_zscore(rows, ["region"]), ["region"], "z")
 
 
 def daily_means(rows: DataFrame, ts: str, by: list[str], *names: str) -> DataFrame:
@@ -70,16 +69,25 @@ def features_with_market(features: DataFrame, market: DataFrame, on: str = "d")
     return features.join(market, on)
 
 
-def health_windows(fixes: DataFrame, width: str = "10 minutes", gap_s: float = 600.0, ts: str = "msg_time") -> DataFrame:
-    """By window: messages, vessels, tanker share, share of fixes after a longer gap of their vessel, and of implausible ones.
+def health_measures(width_s: int, bucket_s: int, ts: str) -> list[Column]:
+    """Messages, tanker share, share of the window's buckets of ``bucket_s`` without a message, and of implausible fixes.
 
-    ``fixes`` has ``gap_s`` (seconds since the vessel's fix before, null for its first) and ``spoof``.
+    A set has at most as many buckets as a window, so the measures also run on streams.
     """
-    late = F.coalesce((F.col("gap_s") > gap_s).cast("int"), F.lit(0))
-    return fixes.groupBy(F.window(ts, width).alias("w")).agg(
-        F.count(F.lit(1)).alias("messages"), F.countDistinct("mmsi").alias("vessels"), F.avg(F.col("is_tanker").cast("int")).alias("tanker_share"),
-        F.avg(late).alias("gap_ratio"), F.avg(F.col("spoof").cast("int")).alias("spoof_share"),
-    ).select(F.col("w.start").alias("window_start"), "messages", "vessels", "tanker_share", "gap_ratio", "spoof_share")
+    expected = max(1, width_s // bucket_s)
+    seen = F.size(F.collect_set(F.floor(epoch_seconds(ts) / bucket_s)))
+    return [
+        F.count(F.lit(1)).alias("messages"), F.avg(F.col("is_tanker").cast("int")).alias("tanker_share"),
+        (F.lit(1.0) - F.least(seen, F.lit(expected)) / expected).alias("gap_ratio"), F.avg(F.col("spoof").cast("int")).alias("spoof_share"),
+    ]
+
+
+def health_windows(fixes: DataFrame, width_s: int = 600, bucket_s: int = 60, ts: str = "msg_time") -> DataFrame:
+    """By window: messages, vessels, tanker share, share of the downsampling buckets that saw no message, share of implausible fixes (``spoof``)."""
+    measures = health_measures(width_s, bucket_s, ts)
+    return fixes.groupBy(F.window(ts, f"{width_s} seconds").alias("w")).agg(*measures, F.countDistinct("mmsi").alias("vessels")).select(
+        F.col("w.start").alias("window_start"), "messages", "vessels", "tanker_share", "gap_ratio", "spoof_share"
+    )
 
 
 def base_rate_shift(rows: DataFrame, d: str, label: str, as_of: Column, days: int = 30) -> DataFrame:
@@ -89,14 +97,29 @@ def base_rate_shift(rows: DataFrame, d: str, label: str, as_of: Column, days: in
     return rows.agg(rate(~late).alias("base_rate"), rate(late).alias("recent_rate")).withColumn("shift", F.abs(F.col("recent_rate") - F.col("base_rate")))
 
 
-def momentum_probability(rows: DataFrame, keys: list[str], d: str, x: str, days: int = 5) -> DataFrame:
-    """What stands for a model that has drifted: half, and half the hyperbolic tangent of the change over ``days`` in units of its deviation."""
+def momentum_probability(rows: DataFrame, keys: list[str], d: str, x: str, most_volatile: float | None = None, width: int = 21) -> DataFrame:
+    """What stands for a model that has drifted: at the end of each series ``p`` with ``r7, r21, vol21`` and ``reason``.
+
+    The change over 7 rows less half of that over 21, in units of the deviation of ``width`` returns (kept within the
+    series' percentiles), through a hyperbolic tangent, within 0.35 and 0.65. One half where the history is short, or
+    the deviation above ``most_volatile``.
+    """
     from pyspark.sql import Window
 
-    by = Window.partitionBy(*keys).orderBy(d)
-    change = F.col(x) - F.lag(x, days).over(by)
-    spread = F.stddev_samp(x).over(by.rowsBetween(-20, 0))
-    return rows.withColumn("p", 0.5 + 0.5 * F.tanh(F.when(spread > 0, change / spread)))
+    order = Window.partitionBy(*keys).orderBy(d)
+    change = lambda n: F.coalesce(F.try_divide(F.col(x) - F.lag(x, n).over(order), F.lag(x, n).over(order)), F.lit(0.0))
+    moved = seasonal.rolling_volatility(rows, keys, d, x, width).withColumns({"_r7": change(6), "_r21": change(20)})
+    end = moved.groupBy(*keys).agg(
+        F.max_by(F.struct("_r7", "_r21"), d).alias("_e"), F.max_by("volatility", F.when(F.col("volatility").isNotNull(), F.col(d))).alias("_v"),
+        F.percentile("volatility", F.array(F.lit(0.01), F.lit(0.99))).alias("_b"), F.count(F.lit(1)).alias("_n"), F.count(x).alias("_support"),
+    )
+    vol, short = F.greatest(F.least("_v", F.get("_b", F.lit(1))), F.get("_b", F.lit(0))), F.col("_n") < width + 1
+    out = end.select(*keys, F.when(short, 0.0).otherwise(F.col("_e._r7")).alias("r7"), F.when(short, 0.0).otherwise(F.col("_e._r21")).alias("r21"), F.when(~short, vol).alias("vol21"), "_support", "_n")
+    wild = F.col("vol21") > F.lit(most_volatile).cast("double")
+    reason = F.when(F.col("_n") < width + 1, "insufficient_history").when(wild, "high_volatility").when(F.col("_support") < 21, "low_support")
+    unit = F.when(F.col("vol21") > 0, F.col("vol21")).otherwise(1e-6)
+    p = clip(0.5 + 0.5 * F.tanh((F.col("r7") - 0.5 * F.col("r21")) / unit * 3.0), 0.35, 0.65)
+    return out.withColumn("reason", reason).withColumn("p", F.when(F.col("reason").isNotNull(), 0.5).otherwise(p)).drop("_support", "_n")
 
 
 def contract(rows: DataFrame, d: str, bounded: list[str], low: float = -8.0, high: float = 8.0, least: int = 120, width: int = 30) -> DataFrame:

@@ -64,19 +64,21 @@ def fit_throughput(rows: DataFrame, features: list[str], label: str, classify: b
     return Pipeline(stages=stages).fit(rows.dropna(subset=[label, *features]))
 
 
-def psi(base: DataFrame, now: DataFrame, x: str, bins: int = 10) -> DataFrame:
-    """Population stability index of two samples over ``bins`` equal bins of the base's range."""
-    low, high = base.agg(F.min(x), F.max(x)).first()
-    width = (high - low) / bins if high is not None and high > low else 1.0
-    number = F.least(F.greatest(F.floor((F.col(x) - F.lit(low)) / width), F.lit(0)), F.lit(bins - 1)).alias("bin")
-    shares = []
-    for df, name in ((base, "b"), (now, "n")):
-        counts = df.where(F.col(x).isNotNull()).groupBy(number).agg(F.count(F.lit(1)).alias("c"))
-        total = counts.agg(F.sum("c").alias("t"))
-        shares.append(counts.join(F.broadcast(total)).select("bin", (F.col("c") / F.col("t")).alias(name)))
-    both = shares[0].join(shares[1], "bin", "full_outer")
-    b, n = (F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(1e-6)) for c in "bn")
-    return both.agg(F.sum((n - b) * F.log(n / b)).alias("psi"))
+def psi(base: DataFrame, now: DataFrame, x: str, edges: list[float]) -> DataFrame:
+    """Population stability index of two samples over bins between ``edges`` (the last one closed); what lies outside is left out.
+
+    The ratio of the shares is kept above 1e-6, not the shares; null where a sample has no rows.
+    """
+    number = sum((F.col("x") >= e).cast("int") for e in edges[:-1]) - 1
+    rows = base.select(F.col(x).alias("x"), F.lit(1).alias("b"), F.lit(0).alias("n")).union(now.select(F.col(x), F.lit(0), F.lit(1))).where(F.col("x").isNotNull())
+    # at most as many rows as bins, and one of what lies outside
+    bins = rows.withColumn("bin", F.when(F.col("x").between(edges[0], edges[-1]), number)).groupBy("bin").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    whole, inside = Window.partitionBy(), F.col("bin").isNotNull()
+    total = lambda c: F.greatest(F.sum(F.when(inside, F.col(c)).otherwise(0)).over(whole), F.lit(1))
+    shares = bins.select("bin", (F.col("b") / total("b")).alias("p"), (F.col("n") / total("n")).alias("q"), F.sum("b").over(whole).alias("bs"), F.sum("n").over(whole).alias("ns"))
+    ratio = F.greatest(F.col("q") / F.greatest("p", F.lit(1e-6)), F.lit(1e-6))
+    part = F.when(inside, (F.col("q") - F.col("p")) * F.log(ratio)).otherwise(0.0)
+    return shares.agg(F.when((F.max("bs") > 0) & (F.max("ns") > 0), F.sum(part)).alias("psi"))
 
 
 def ks(base: DataFrame, now: DataFrame, x: str) -> DataFrame:

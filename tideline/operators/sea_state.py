@@ -67,14 +67,27 @@ def region_stats(samples: DataFrame, by: list[str], x: str, vessel: str) -> Data
     )
 
 
-def flux_metrics(rows: DataFrame, z: Column, hs: Column, current_kn: Column, wind_ms: Column, x: str = "flux") -> DataFrame:
-    """z within 3, a delay factor from the share of the largest flux, and a proxy of the impact score."""
-    proxy = 0.50 * clip(hs / 5.0, 0.0, 1.0) + 0.35 * clip(current_kn / 3.5, 0.0, 1.0) + 0.15 * clip(wind_ms / 15.0, 0.0, 1.0)
-    # one row of one number
-    top = rows.agg(F.max(x).alias("_top"))
-    delay = F.lit(1.0) + F.least(F.lit(0.5), 0.3 * F.try_divide(F.col(x), F.col("_top")))
-    out = rows.withColumns({"z_clipped": clip(z, -3.0, 3.0), "sis_proxy": proxy}).join(F.broadcast(top))
-    return out.withColumn("delay", delay).drop("_top")
+def flux_metrics(rows: DataFrame, hs: Column, current_kn: Column, wind_ms: Column, x: str = "flux") -> DataFrame:
+    """Of each region its flux against the median of all in units of their median deviation, within 3, a delay factor and a proxy of the impact score.
+
+    Head current and wind count by their size, whatever their sign. Where the deviation is below 1e-6 the median stands
+    for it, 1 at least. ``rows`` has one row for each region.
+    """
+    part = lambda c, most: F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0)) / most)
+    proxy = 0.50 * part(hs, 5.0) + 0.35 * part(F.abs(current_kn), 3.5) + 0.15 * part(F.abs(wind_ms), 15.0)
+    # two tables of one row
+    middle = rows.agg(F.median(F.coalesce(x, F.lit(0))).alias("_m"), F.max(F.coalesce(x, F.lit(0))).alias("_top"))
+    with_middle = rows.withColumn("_x", F.coalesce(x, F.lit(0)).cast("double")).crossJoin(F.broadcast(middle))
+    spread = with_middle.agg(F.median(F.abs(F.col("_x") - F.col("_m"))).alias("_mad"))
+    unit = F.when(F.col("_mad") < 1e-6, F.greatest(F.lit(1.0), F.col("_m"))).otherwise(F.col("_mad"))
+    out = with_middle.crossJoin(F.broadcast(spread)).withColumns(
+        {
+            "z_clipped": clip((F.col("_x") - F.col("_m")) / unit, -3.0, 3.0),
+            "delay": F.lit(1.0) + F.least(F.lit(0.5), F.greatest(F.lit(0.0), 0.3 * F.coalesce(F.try_divide("_x", "_top"), F.lit(0.0)))),
+            "sis_proxy": F.round(proxy, 3),
+        }
+    )
+    return out.drop("_x", "_m", "_top", "_mad")
 
 
 def speed_of_means(grid: DataFrame, by: list[str], u: str, v: str, limit: float) -> DataFrame:

@@ -199,17 +199,18 @@ def route_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "psi_drift",
     """
-    WITH b AS (SELECT l_discount AS x FROM lineitem WHERE l_returnflag <> 'R'), n AS (SELECT l_discount + l_tax / 4 AS x FROM lineitem WHERE l_returnflag = 'R'),
-    r AS (SELECT min(x) AS lo, (max(x) - min(x)) / 10 AS w FROM b),
-    cb AS (SELECT least(greatest(floor((x - lo) / w), 0), 9) AS bin, count(*) AS c FROM b, r GROUP BY 1), cn AS (SELECT least(greatest(floor((x - lo) / w), 0), 9) AS bin, count(*) AS c FROM n, r GROUP BY 1),
-    s AS (SELECT greatest(coalesce(cb.c, 0) / (SELECT count(*) FROM b), 1e-6) AS p, greatest(coalesce(cn.c, 0) / (SELECT count(*) FROM n), 1e-6) AS q FROM cb FULL JOIN cn USING (bin))
-    SELECT round(sum((q - p) * ln(q / p)), 6) AS psi FROM s
+    WITH v AS (SELECT l_discount + CASE WHEN l_returnflag = 'R' THEN l_tax / 4 ELSE 0 END AS x, l_returnflag = 'R' AS late FROM lineitem),
+    e AS (SELECT i, i / 80 AS lo, (i + 1) / 80 AS hi FROM range(8) r(i)),
+    c AS (SELECT i, count(*) FILTER (NOT late) AS b, count(*) FILTER (late) AS n FROM v JOIN e ON x >= lo AND (x < hi OR (i = 7 AND x = hi)) GROUP BY i),
+    s AS (SELECT b / sum(b) OVER () AS p, n / sum(n) OVER () AS q FROM c)
+    SELECT round(sum((q - p) * ln(greatest(q / greatest(p, 1e-6), 1e-6))), 6) AS psi FROM s
     """,
 )
 def psi_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over eight bins of 0 to 0.1, beyond which some of the later values lie."""
     lines = table(spark, sf_dir, "lineitem")
     base, now = lines.where("l_returnflag <> 'R'").select(F.col("l_discount").alias("x")), lines.where("l_returnflag = 'R'").select((F.col("l_discount") + F.col("l_tax") / 4).alias("x"))
-    return rounded(models.psi(base, now, "x"), "psi")
+    return rounded(models.psi(base, now, "x", [i / 80 for i in range(9)]), "psi")
 
 
 @query(
@@ -240,12 +241,21 @@ def base_rate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "momentum_fallback",
     f"""
-    WITH {DAILY}, w AS (SELECT d, k, x - lag(x, 5) OVER v AS c, stddev_samp(x) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS s FROM day WINDOW v AS (PARTITION BY k ORDER BY d))
-    SELECT d, k, round(0.5 + 0.5 * tanh(CASE WHEN s > 0 THEN c / s END), 5) AS p FROM w
+    WITH {DAILY}, r AS (
+        SELECT *, x / lag(x) OVER v - 1 AS ret, coalesce((x - lag(x, 6) OVER v) / lag(x, 6) OVER v, 0) AS r7, coalesce((x - lag(x, 20) OVER v) / lag(x, 20) OVER v, 0) AS r21
+        FROM day WINDOW v AS (PARTITION BY k ORDER BY d)
+    ), w AS (SELECT *, CASE WHEN count(ret) OVER f >= 21 THEN stddev_samp(ret) OVER f END AS vol FROM r WINDOW f AS (PARTITION BY k ORDER BY d ROWS 20 PRECEDING)),
+    e AS (
+        SELECT k, arg_max(r7, d) AS r7, arg_max(r21, d) AS r21, count(*) AS n,
+               greatest(least(arg_max(vol, d) FILTER (vol IS NOT NULL), quantile_cont(vol, 0.99)), quantile_cont(vol, 0.01)) AS vol FROM w GROUP BY k
+    )
+    SELECT k, round(r7, 6) AS r7, round(r21, 6) AS r21, round(vol, 6) AS vol21, CASE WHEN n < 22 THEN 'insufficient_history' WHEN vol > 0.25 THEN 'high_volatility' END AS reason,
+           round(CASE WHEN n < 22 OR vol > 0.25 THEN 0.5 ELSE least(greatest(0.5 + 0.5 * tanh((r7 - 0.5 * r21) / CASE WHEN vol > 0 THEN vol ELSE 1e-6 END * 3), 0.35), 0.65) END, 5) AS p FROM e
     """,
 )
 def momentum_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(daily.momentum_probability(day_series(spark, sf_dir), ["k"], "d", "x").select("d", "k", "p"), "p", digits=5)
+    out = daily.momentum_probability(day_series(spark, sf_dir), ["k"], "d", "x", most_volatile=0.25)
+    return rounded(rounded(out, "p", digits=5), "r7", "r21", "vol21")
 
 
 @query(
@@ -369,34 +379,31 @@ def tracklet_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dwell_proxy_component",
-    f"""
-    WITH {WINDOWS}, r AS (SELECT CAST(window_start AS DATE) AS d, CAST(sum(slow_count) AS DOUBLE) AS x FROM win WHERE region = 'view' GROUP BY 1),
-    q AS (SELECT quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM r), c AS (SELECT d, least(greatest(x, lo), hi) AS x FROM r, q)
-    SELECT d, round(x, 6) AS x FROM c
+    """
+    WITH f AS (SELECT ts + to_years(CAST(user_id % 3 AS INT)) AS t, user_id, event_type AS region, value FROM events),
+    win AS (SELECT time_bucket(INTERVAL '10 minutes', t) AS window_start, region, count(DISTINCT CASE WHEN value < 50 THEN user_id END) AS slow_count FROM f GROUP BY ALL),
+    r AS (SELECT CAST(window_start AS DATE) AS d, CAST(sum(slow_count) AS DOUBLE) AS x FROM win WHERE region = 'view' GROUP BY 1),
+    b AS (SELECT *, avg(x) OVER doy AS m, stddev_samp(x) OVER doy AS s FROM r WINDOW doy AS (PARTITION BY dayofyear(d))), z AS (SELECT d, x, coalesce((x - m) / nullif(s, 0), 0) AS z FROM b),
+    q AS (SELECT quantile_cont(z, 0.01) AS lo, quantile_cont(z, 0.99) AS hi FROM z)
+    SELECT d, x, round(least(greatest(z, lo), hi), 5) AS z FROM z, q
     """,
 )
 def dwell_proxy_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(daily.proxy_component(windows(spark, sf_dir), "view").select("d", "x"), "x")
+    """Fixes dealt over three years, so that days of the year recur."""
+    years = fixes(spark, sf_dir).withColumn("msg_time", F.col("msg_time") + F.make_interval((F.col("mmsi") % 3).cast("int")))
+    return rounded(daily.proxy_component(dwell.dwell_windows(years, F.col("sog") < 50), "view").select("d", "x", "z"), "z", digits=5)
 
 
-@query(
-    "health_windows",
-    f"""
-    WITH f AS (SELECT ts, user_id, {K} % 4 = 0 AS tanker, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap, value > 95 AS spoof FROM events)
-    SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, count(*) AS messages, count(DISTINCT user_id) AS vessels, round(avg(CAST(tanker AS INT)), 6) AS tanker_share,
-           round(avg(CASE WHEN gap > 86400 THEN 1 ELSE 0 END), 6) AS gap_ratio, round(avg(CAST(spoof AS INT)), 6) AS spoof_share FROM f GROUP BY 1
-    """,
-)
-def health_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+HEALTH = f"""
+    SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, count(*) AS messages, count(DISTINCT user_id) AS vessels, round(avg(CAST({K} % 4 = 0 AS INT)), 6) AS tanker_share,
+           round(1 - least(count(DISTINCT floor(epoch(ts) / 600)), 36) / 36, 6) AS gap_ratio, round(avg(CAST(value > 95 AS INT)), 6) AS spoof_share FROM events GROUP BY 1
+"""
 
-    order = Window.partitionBy("mmsi").orderBy("msg_time", "event_id")
-    seconds = F.unix_micros(F.col("msg_time").cast("timestamp")) / 1e6
-    rows = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("mmsi"), F.col("ts").alias("msg_time"), "event_id", (k() % 4 == 0).alias("is_tanker"), (F.col("value") > 95).alias("spoof")
-    )
-    rows = rows.withColumn("gap_s", seconds - F.lag(seconds).over(order))
-    return rounded(daily.health_windows(rows, gap_s=86400.0), "tanker_share", "gap_ratio", "spoof_share")
+
+@query("health_windows", HEALTH)
+def health_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("mmsi"), F.col("ts").alias("msg_time"), (k() % 4 == 0).alias("is_tanker"), (F.col("value") > 95).alias("spoof"))
+    return rounded(daily.health_windows(rows, width_s=21600, bucket_s=600), "tanker_share", "gap_ratio", "spoof_share")
 
 
 @query(
@@ -479,11 +486,12 @@ def spread_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sea_state_component",
     """
-    WITH s AS (SELECT CAST(l_shipdate AS DATE) AS d, l_returnflag AS k, avg(l_quantity) AS x, avg(-(l_discount * cos(0.5) + l_tax * sin(0.5))) AS opposing FROM lineitem GROUP BY 1, 2)
-    SELECT d, k, round(x, 5) AS x, round(opposing, 6) AS opposing FROM s
+    WITH s AS (SELECT CAST(l_shipdate AS DATE) AS d, l_returnflag AS k, avg(l_quantity) AS x, avg(-(l_discount * cos(0.5) + l_tax * sin(0.5))) AS opposing FROM lineitem GROUP BY 1, 2),
+    b AS (SELECT *, avg(x) OVER doy AS m, stddev_samp(x) OVER doy AS sd FROM s WINDOW doy AS (PARTITION BY k, dayofyear(d)))
+    SELECT d, k, round(x, 5) AS x, round(opposing, 6) AS opposing, round(coalesce((x - m) / nullif(sd, 0), 0), 4) AS z FROM b
     """,
 )
 def sea_state_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "lineitem").select("l_shipdate", F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("hs"), F.col("l_discount").alias("u"), F.col("l_tax").alias("v"))
-    out = daily.sea_state_component(samples, ["k"], "l_shipdate", "hs", "u", "v", 0.5).select("d", "k", "x", "opposing")
-    return rounded(rounded(out, "x", digits=5), "opposing")
+    out = daily.sea_state_component(samples, ["k"], "l_shipdate", "hs", "u", "v", 0.5).select("d", "k", "x", "opposing", "z")
+    return rounded(rounded(rounded(out, "x", digits=5), "opposing"), "z", digits=4)

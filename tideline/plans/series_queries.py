@@ -505,14 +505,15 @@ def opposing_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "flux_metrics",
     """
-    WITH g AS (SELECT event_type AS gate_id, count(*) AS flux, avg(value) AS v, stddev_samp(value) AS s FROM events GROUP BY ALL)
-    SELECT gate_id, flux, round(least(greatest((v - 49) * 4, -3), 3), 6) AS z_clipped, round(1 + least(0.5, 0.3 * flux / max(flux) OVER ()), 6) AS delay,
-           round(0.5 * least(v / 10 / 5, 1) + 0.35 * least(s / 10 / 3.5, 1) + 0.15 * least(v / 4 / 15, 1), 6) AS sis_proxy FROM g
+    WITH g AS (SELECT event_type AS gate_id, count(*) AS flux, avg(value) AS v, stddev_samp(value) AS s FROM events GROUP BY ALL),
+    m AS (SELECT median(flux) AS m, max(flux) AS top FROM g), a AS (SELECT median(abs(flux - m)) AS mad FROM g, m)
+    SELECT gate_id, flux, round(least(greatest((flux - m) / CASE WHEN mad < 1e-6 THEN greatest(1, m) ELSE mad END, -3), 3), 6) AS z_clipped,
+           round(1 + least(0.5, 0.3 * flux / top), 6) AS delay, round(0.5 * least(v / 10 / 5, 1) + 0.35 * least(abs(-s) / 10 / 3.5, 1) + 0.15 * least(v / 4 / 15, 1), 3) AS sis_proxy FROM g, m, a
     """,
 )
 def flux_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = moves(spark, sf_dir).groupBy("gate_id").agg(F.count(F.lit(1)).alias("flux"), F.avg("sog").alias("v"), F.stddev_samp("sog").alias("s"))
-    out = sea_state.flux_metrics(rows, (F.col("v") - 49) * 4, F.col("v") / 10, F.col("s") / 10, F.col("v") / 4).drop("v", "s")
+    out = sea_state.flux_metrics(rows, F.col("v") / 10, -F.col("s") / 10, F.col("v") / 4).drop("v", "s")
     return rounded(out, "z_clipped", "delay", "sis_proxy")
 
 

@@ -99,7 +99,7 @@ def _side(o, d, t):
     return (d[0] - o[0]) * (t[1] - o[1]) - (d[1] - o[1]) * (t[0] - o[0])
 
 
-def _gate_normal(gate: Gate) -> tuple[tuple[float, float], tuple[float, float], tuple[float, float]]:
+def _ends_and_normal(gate: Gate) -> tuple[tuple[float, float], tuple[float, float], tuple[float, float]]:
     """Ends of a gate in metres and its normal, which points to the left of the way from a to b."""
     a, b = metres(*gate.a), metres(*gate.b)
     length = math.hypot(b[0] - a[0], b[1] - a[1])
@@ -111,12 +111,17 @@ def _way(gate: Gate, before: tuple[Column, Column], now: tuple[Column, Column],
 
     The move's component along the gate's normal tells the direction; without a move the course stands for it.
     """
-    a, b, normal = _gate_normal(gate)
+    a, b, normal = _ends_and_normal(gate)
     a, b = tuple(map(F.lit, a)), tuple(map(F.lit, b))
     meets = (_side(a, b, before) * _side(a, b, now) <= 0) & (_side(before, now, a) * _side(before, now, b) <= 0)
-    if gate.buffer_m:
-        ends = [_apart(before, a, b), _apart(now, a, b), _apart(a, before, now), _apart(b, before, now)]
-        meets = meets | (F.least(*ends) <= gate.buffer_m)
+    if gate.buffer_m and any(normal):
+        low, high = F.lit(0.0), F.lit(1.0)
+        for start, move, least, most in _in_gate(gate, before, now):
+            one, two = F.try_divide(least - start, move), F.try_divide(most - start, move)
+            beside = (move == 0) & ~start.between(least, most)
+            low = F.when(beside, 2.0).otherwise(F.greatest(low, F.least(one, two)))
+            high = F.least(high, F.greatest(one, two))
+        meets = meets | (low <= high)
     dx, dy = now[0] - before[0], now[1] - before[1]
     moved = F.hypot(dx, dy) > 0
     along = F.when(moved, dx * normal[0] + dy * normal[1]).otherwise(
@@ -125,12 +130,14 @@ def _way(gate: Gate, before: tuple[Column, Column], now: tuple[Column, Column],
     return F.when(meets & (along >= 0), "AtoB").when(meets & (along < 0), "BtoA")
 
 
-def _apart(p, a, b) -> Column:
-    """Distance of a point from the line between two others."""
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    t = F.coalesce(F.try_divide((p[0] - a[0]) * dx + (p[1] - a[1]) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return F.hypot(p[0] - (a[0] + t * dx), p[1] - (a[1] + t * dy))
+def _in_gate(gate: Gate, before, now) -> list[tuple]:
+    """Along the gate, then across it: where a move begins, its part that way, and the bounds of the gate's strip, which ends flat at the gate's ends."""
+    a, b, normal = _ends_and_normal(gate)
+    length, out = math.hypot(b[0] - a[0], b[1] - a[1]), []
+    for way, least, most in (((normal[1], -normal[0]), 0.0, length), (normal, -gate.buffer_m, gate.buffer_m)):
+        start, end = ((p[0] - a[0]) * way[0] + (p[1] - a[1]) * way[1] for p in (before, now))
+        out.append((start, end - start, least, most))
+    return out
 
 
 def knots(seconds: float, lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -361,10 +368,14 @@ def step(state: VesselState, rules: Rules, fix) -> Iterator[tuple]:
 
 def crossing(gate: Gate, before: tuple[float, float], now: tuple[float, float], course: float | None) -> str | None:
     """As ``_way``, of places in degrees."""
-    a, b, normal = _gate_normal(gate)
+    a, b, normal = _ends_and_normal(gate)
     p, q = metres(*before), metres(*now)
     if not (_side(a, b, p) * _side(a, b, q) <= 0 and _side(p, q, a) * _side(p, q, b) <= 0):
-        if not gate.buffer_m or min(_distance(p, a, b), _distance(q, a, b), _distance(a, p, q), _distance(b, p, q)) > gate.buffer_m:
+        low, high = (0.0, 1.0) if gate.buffer_m and any(normal) else (1.0, 0.0)
+        for start, move, least, most in _in_gate(gate, p, q) if low < high else ():
+            one, two = ((least - start) / move, (most - start) / move) if move else (0.0, 1.0) if least <= start <= most else (2.0, 2.0)
+            low, high = max(low, min(one, two)), min(high, max(one, two))
+        if low > high:
             return None
     dx, dy = q[0] - p[0], q[1] - p[1]
     if not math.hypot(dx, dy):
@@ -374,13 +385,6 @@ def crossing(gate: Gate, before: tuple[float, float], now: tuple[float, float],
     return "AtoB" if dx * normal[0] + dy * normal[1] >= 0 else "BtoA"
 
 
-def _distance(p: tuple[float, float], a: tuple[float, float], b: tuple[float, float]) -> float:
-    dx, dy = b[0] - a[0], b[1] - a[1]
-    size = dx * dx + dy * dy
-    t = min(1.0, max(0.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / size)) if size else 0.0
-    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
-
-
 def geofence_stream(fixes: DataFrame, rules: Rules, late: str = "10 minutes") -> DataFrame:
     """The same on a stream; state is the vessel's, and expires when the watermark passes its longest time to live."""
     longest_ms = 1000 * max(rules.ttl_s, rules.anchorage_ttl_s)
