@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.tables import table
 from tideline.functions.columns import bearing, haversine, slug
-from tideline.operators import geo, registry
+from tideline.operators import clusters, geo, registry
 from tideline.plans.flow_queries import K, k, moves, rounded
 from tideline.plans.registry import query
 from tideline.sources import ais, ports
@@ -433,3 +433,41 @@ def price_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, ".").when(key % 5 == 1, "").otherwise(F.col("o_totalprice").cast("string")).alias("value"), F.lit("mock").alias("source"),
     )
     return rounded(ports.pivot_series(ports.price_series(raw), ["brent", "wti"]), "brent", "wti", digits=2)
+
+
+def moored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as dwell points about a place for each nation, some of them at the date line, one in ten far out."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    reach = F.when(key % 10 == 0, 60000.0).otherwise(1500.0) / 111195.0
+    lat0, lon0 = nation * 6 - 75.0, F.when(nation % 5 == 0, 179.999).otherwise(nation * 13 - 170.0)
+    lon = lon0 + ((key * 6101 % 1013) / 1013.0 - 0.5) * reach / F.cos(F.radians(lat0))
+    return table(spark, sf_dir, "customer").select(
+        key.alias("point_id"), (lat0 + ((key * 7919 % 1009) / 1009.0 - 0.5) * reach).alias("lat"), F.when(lon > 180, lon - 360).otherwise(lon).alias("lon")
+    )
+
+
+MOORED = """
+    c AS (SELECT c_custkey AS id, c_nationkey * 6 - 75.0::DOUBLE AS lat0, CASE WHEN c_nationkey % 5 = 0 THEN 179.999::DOUBLE ELSE c_nationkey * 13 - 170.0::DOUBLE END AS lon0,
+                 CASE WHEN c_custkey % 10 = 0 THEN 60000.0::DOUBLE ELSE 1500.0::DOUBLE END / 111195.0::DOUBLE AS reach FROM customer),
+    o AS (SELECT id, lat0 + ((id * 7919 % 1009) / 1009.0::DOUBLE - 0.5) * reach AS lat, lon0 + ((id * 6101 % 1013) / 1013.0::DOUBLE - 0.5) * reach / cos(radians(lat0)) AS lon FROM c),
+    p AS (SELECT id, lat, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon FROM o)
+"""
+
+
+@query(
+    "anchorage_clusters",
+    f"""
+    WITH RECURSIVE {MOORED}, near AS (
+        SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.lat - b.lat) < 0.01
+        WHERE 2 * 6371008.8 * asin(sqrt(least(1, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 350
+    ), core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 8),
+    l AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+    r AS (SELECT a, a AS b FROM core UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    k AS (SELECT a AS point_id, min(b) AS cluster_id FROM r GROUP BY a)
+    SELECT point_id, cluster_id, true AS core FROM k
+    UNION ALL
+    SELECT n.a, min(k.cluster_id), false FROM near n JOIN k ON k.point_id = n.b WHERE n.a NOT IN (FROM core) GROUP BY n.a
+    """,
+)
+def anchorage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.density_clusters(moored(spark, sf_dir), least=8)
