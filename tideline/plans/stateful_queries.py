@@ -120,6 +120,44 @@ def dwell_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("mmsi", "polygon_id", *epochs, "dwell_min", "lon", "lat"), "lon", "lat")
 
 
+@query(
+    "presence",
+    f"""
+    WITH RECURSIVE {SAMPLED}, {PLACES},
+    s AS (
+        SELECT mmsi, place_id, n, x AS started, CAST(x AS INT) AS hits, 0 AS misses, false AS ins, CAST(NULL AS DOUBLE) AS enter, CAST(NULL AS DOUBLE) AS gone, CASE WHEN x THEN t END AS seen,
+               CAST(x AS INT) AS cnt, CASE WHEN x THEN sog END AS low, CASE WHEN x THEN sog END AS high, CASE WHEN x THEN sog ELSE 0 END AS total,
+               x AS tells, CAST(NULL AS DOUBLE) AS e_enter, CAST(NULL AS DOUBLE) AS e_gone, t AS e_seen, false AS e_ins, 1 AS e_cnt, sog AS e_low, sog AS e_high, sog AS e_total
+        FROM (SELECT *, {HOLDS.format(f="fix", p="poly")} AS x FROM fix, poly WHERE n = 1)
+        UNION ALL
+        SELECT mmsi, place_id, n, started OR x, CASE WHEN x THEN hits + 1 ELSE 0 END, CASE WHEN x OR NOT started THEN 0 ELSE misses + 1 END, CASE WHEN x THEN ins OR enters ELSE ins AND NOT leaves END,
+               CASE WHEN enters THEN t WHEN NOT leaves THEN enter END, CASE WHEN leaves THEN t ELSE gone END, CASE WHEN x OR started THEN t END,
+               CASE WHEN x THEN cnt + 1 WHEN leaves THEN 0 ELSE cnt END, CASE WHEN x THEN least(low, sog) WHEN NOT leaves THEN low END, CASE WHEN x THEN greatest(high, sog) WHEN NOT leaves THEN high END,
+               CASE WHEN x THEN total + sog WHEN leaves THEN 0 ELSE total END,
+               x OR leaves OR late, CASE WHEN enters THEN t WHEN x OR leaves THEN enter ELSE p_enter END, CASE WHEN leaves THEN t ELSE gone END, CASE WHEN x OR leaves THEN t ELSE p_seen END, x AND (ins OR enters),
+               CASE WHEN x THEN cnt + 1 WHEN leaves THEN cnt ELSE p_cnt END, CASE WHEN x THEN least(low, sog) WHEN leaves THEN low ELSE p_low END,
+               CASE WHEN x THEN greatest(high, sog) WHEN leaves THEN high ELSE p_high END, CASE WHEN x THEN total + sog WHEN leaves THEN total ELSE p_total END
+        FROM (
+            SELECT *, x AND NOT ins AND hits + 1 >= 2 AS enters, NOT x AND ins AND misses + 1 >= 2 AS leaves FROM (
+                SELECT mmsi, place_id, n, x, t, sog, started, late, CASE WHEN late THEN 0 ELSE hits END AS hits, CASE WHEN late THEN 0 ELSE misses END AS misses, ins AND NOT late AS ins,
+                       CASE WHEN NOT late THEN enter END AS enter, CASE WHEN late THEN seen ELSE gone END AS gone, CASE WHEN late THEN 0 ELSE cnt END AS cnt, CASE WHEN NOT late THEN low END AS low,
+                       CASE WHEN NOT late THEN high END AS high, CASE WHEN late THEN 0 ELSE total END AS total, enter AS p_enter, seen AS p_seen, cnt AS p_cnt, low AS p_low, high AS p_high, total AS p_total
+                FROM (
+                    SELECT s.*, {HOLDS.format(f="f", p="p")} AS x, f.t, f.sog, s.ins AND f.t - s.seen > p.ttl AS late
+                    FROM (SELECT mmsi, place_id, n + 1 AS n, started, hits, misses, ins, enter, gone, seen, cnt, low, high, total FROM s) s
+                    JOIN fix f ON f.mmsi = s.mmsi AND f.n = s.n JOIN poly p USING (place_id))))
+    ), last AS (SELECT *, row_number() OVER (PARTITION BY mmsi, place_id ORDER BY n DESC) AS r FROM s WHERE tells)
+    SELECT mmsi, place_id AS polygon_id, round(e_enter, 3) AS enter_epoch, round(e_gone, 3) AS exit_epoch, round(e_seen, 3) AS last_seen_epoch, e_ins AS inside, CAST(e_cnt AS BIGINT) AS samples_inside,
+           round(e_low, 6) AS sog_min, round(e_high, 6) AS sog_max, round(e_total / e_cnt, 6) AS sog_avg FROM last WHERE r = 1
+    """,
+)
+def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each vessel was last seen in or leaving a polygon, with its speeds there."""
+    found = geofence.presence(fixes(spark, sf_dir), RULES)
+    epochs = [F.round(F.unix_micros(f"{c}_ts") / 1e6, 3).alias(f"{c}_epoch") for c in ("enter", "exit", "last_seen")]
+    return rounded(found.select("mmsi", "polygon_id", *epochs, "inside", "samples_inside", "sog_min", "sog_max", "sog_avg"), "sog_min", "sog_max", "sog_avg")
+
+
 @query(
     "stream_tracklets",
     f"""

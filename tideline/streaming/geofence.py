@@ -11,6 +11,7 @@ Cases: fixes without id, time or position are left out; of fixes at one time the
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import math
 from collections import deque
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.functions.columns import EARTH_NM, MERCATOR_RADIUS_M, haversine
-from tideline.operators.geo import in_ring, mercator
+from tideline.operators.geo import in_ring, mercator, ring_distance
 
 EVENT_DDL = "mmsi long, kind string, place_id string, event string, ts timestamp, lat double, lon double, sog double"
 DWELL_DDL = "mmsi long, polygon_id string, kind string, ts_in timestamp, ts_out timestamp, dwell_min long, lon double, lat double"
 TRACKLET_DDL = "tracklet_id string, mmsi long, start_ts timestamp, end_ts timestamp, n_points long, mean_cog_deg double, mean_sog double"
+PRESENCE_DDL = (
+    "mmsi long, polygon_id string, enter_ts timestamp, exit_ts timestamp, last_seen_ts timestamp, inside boolean, samples_inside long, sog_min double, sog_max double, sog_avg double"
+)
 STATE_DDL = "state string"
 
 
@@ -38,6 +42,8 @@ class Polygon:
     anchorage: bool = False
     kind: str = "terminal"
     min_dwell_min: int = 0
+    #: Metres of the projection around the ring that count as inside.
+    buffer_m: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -90,6 +96,22 @@ def inside(ring: tuple[tuple[float, float], ...], x: float, y: float) -> bool:
     return odd
 
 
+def holds(polygon: Polygon, lon: float, lat: float) -> bool:
+    """As ``held_by``, of one place."""
+    if not polygon.buffer_m:
+        return inside(polygon.ring, lon, lat)
+    x, y = metres(lon, lat)
+    ring = tuple(metres(*q) for q in polygon.ring)
+    if inside(ring, x, y):
+        return True
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        dx, dy = x2 - x1, y2 - y1
+        part = min(1.0, max(0.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy or 1.0)))
+        if math.hypot(x - x1 - part * dx, y - y1 - part * dy) <= polygon.buffer_m:
+            return True
+    return False
+
+
 def metres(lon: float, lat: float) -> tuple[float, float]:
     return MERCATOR_RADIUS_M * math.radians(lon), MERCATOR_RADIUS_M * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
 
@@ -210,8 +232,15 @@ def held_by(polygons: tuple[Polygon, ...], x: Column, y: Column) -> Column:
     """Numbers of the polygons that hold a point."""
     if not polygons:
         return F.array().cast("array<int>")
-    rings = [(F.array(*[F.lit(float(v)) for v, _ in p.ring]), F.array(*[F.lit(float(v)) for _, v in p.ring])) for p in polygons]
-    return F.array_compact(F.array(*[F.when(in_ring(x, y, xs, ys), F.lit(i)) for i, (xs, ys) in enumerate(rings)]))
+    sides = lambda points: [F.array(*[F.lit(float(p[k])) for p in points]) for k in (0, 1)]
+    held = []
+    for p in polygons:
+        if p.buffer_m:
+            place, ring = mercator(y, x), sides([metres(*q) for q in p.ring])
+            held.append(in_ring(*place, *ring) | (ring_distance(*place, *ring) <= p.buffer_m))
+        else:
+            held.append(in_ring(x, y, *sides(p.ring)))
+    return F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(held)]))
 
 
 def observed(fixes: DataFrame, rules: Rules) -> DataFrame:
@@ -232,8 +261,10 @@ def observed(fixes: DataFrame, rules: Rules) -> DataFrame:
     return rows.withColumn("telling", telling | (F.size("ways") > 0) | F.col("jump")).where("telling").drop("telling")
 
 
-def in_order(rows: DataFrame, columns: list[str], new: Callable[[], object], told: Callable, make: Callable[[list], pd.DataFrame], ddl: str) -> DataFrame:
-    """``told(state, mmsi, *values)`` over each vessel's rows in order, with a state from ``new`` for each vessel.
+def in_order(
+    rows: DataFrame, columns: list[str], new: Callable[[], object], told: Callable, make: Callable[[list], pd.DataFrame], ddl: str, ended: Callable | None = None
+) -> DataFrame:
+    """``told(state, mmsi, *values)`` over each vessel's rows in order, with a state from ``new`` for each vessel, and ``ended(state, mmsi)`` after its last.
 
     The windows that ``rows`` come from have brought a vessel's rows together; the state goes on from batch to batch.
     """
@@ -244,9 +275,13 @@ def in_order(rows: DataFrame, columns: list[str], new: Callable[[], object], tol
             found = []
             for own, *values in zip(*(frame[c].tolist() for c in ("mmsi", *columns))):
                 if own != mmsi:
+                    if ended and mmsi is not None:
+                        found.extend(ended(state, mmsi))
                     mmsi, state = own, new()
                 found.extend(told(state, own, *values))
             yield make(found)
+        if ended and mmsi is not None:
+            yield make(list(ended(state, mmsi)))
 
     return rows.sortWithinPartitions("mmsi", *ORDER).select("mmsi", *columns).mapInPandas(run, ddl)
 
@@ -266,41 +301,70 @@ def geofence_events(fixes: DataFrame, rules: Rules) -> DataFrame:
     return in_order(observed(fixes, rules), columns, VesselState, told, _frame, EVENT_DDL)
 
 
-def dwell_sessions(fixes: DataFrame, rules: Rules) -> DataFrame:
+def stay(sessions: dict[int, list], rules: Rules, t: float, lat: float, lon: float, sog: float | None, within: list[int]) -> Iterator[tuple]:
+    """Stays (number of the polygon, seconds in and out, last place) that a fix ends; ``sessions`` has entry, last time and place of the open ones."""
+    speed = 0.0 if sog is None or sog != sog else sog
+    for i in list(sessions):
+        if i in within:
+            continue
+        entered, last, last_lon, last_lat = sessions[i]
+        if _nm(last_lat, last_lon, lat, lon) <= rules.stay_nm and speed < rules.stay_kn:
+            sessions[i] = [entered, t, lon, lat]
+            continue
+        del sessions[i]
+        yield i, entered, last if t - last > rules.silent_s else t, last_lon, last_lat
+    for i in within:
+        sessions[i] = [sessions[i][0] if i in sessions else t, t, lon, lat]
+
+
+def dwell_row(rules: Rules, mmsi: int, i: int, entered: float, left: float, lon: float, lat: float) -> list[tuple]:
+    """The row of a stay, if it was long enough for its polygon."""
+    polygon, minutes = rules.polygons[i], int((left - entered) / 60)
+    return [(mmsi, polygon.polygon_id, polygon.kind, entered, left, minutes, lon, lat)] if minutes >= polygon.min_dwell_min else []
+
+
+def dwell_sessions(fixes: DataFrame, rules: Rules, close_at: dt.datetime | None = None) -> DataFrame:
     """Closed stays in polygons: every fix counts, a vessel may be in several polygons at once.
 
     A fix outside leaves a session open if the vessel is slow and near its last place inside. Otherwise the session
     ends there and then, or, after a longer silence, at the last time inside. Sessions shorter than the polygon's
-    minimum, and those still open at the end, are not told.
+    minimum are not told; those still open after a vessel's last fix end at ``close_at`` (UTC), or are not told without it.
     """
     order = Window.partitionBy("mmsi").orderBy(*ORDER)
     rows = usable(fixes).withColumn("within", held_by(rules.polygons, F.col("lon"), F.col("lat")))
     # a vessel that has not been in any polygon so far has no session
     rows = rows.withColumn("ever", F.max(F.size("within")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("ever > 0")
+    end = close_at and close_at.replace(tzinfo=dt.timezone.utc).timestamp()
+
+    def told(sessions: dict, mmsi, t, lat, lon, sog, within):
+        for left in stay(sessions, rules, t, lat, lon, sog, list(within)):
+            yield from dwell_row(rules, mmsi, *left)
 
-    def told(state: dict, mmsi, t, lat, lon, sog, within):
-        for i in list(state):
-            if i in within:
-                continue
-            entered, last, last_lon, last_lat = state[i]
-            if _nm(last_lat, last_lon, lat, lon) <= rules.stay_nm and (sog if sog == sog and sog is not None else 0.0) < rules.stay_kn:
-                state[i] = [entered, t, lon, lat]
-                continue
-            left, polygon = last if t - last > rules.silent_s else t, rules.polygons[i]
-            del state[i]
-            if int((left - entered) / 60) >= polygon.min_dwell_min:
-                yield mmsi, polygon.polygon_id, polygon.kind, entered, left, int((left - entered) / 60), last_lon, last_lat
-        for i in within:
-            state[i] = [state[i][0] if i in state else t, t, lon, lat]
+    def ended(sessions: dict, mmsi):
+        for i, (entered, _, lon, lat) in sessions.items():
+            yield from dwell_row(rules, mmsi, i, entered, end, lon, lat)
 
-    return in_order(rows, [*ORDER, "within"], dict, told, _timed(DWELL_DDL, "ts_in", "ts_out"), DWELL_DDL)
+    return in_order(rows, [*ORDER, "within"], dict, told, _timed(DWELL_DDL, "ts_in", "ts_out"), DWELL_DDL, ended if close_at else None)
 
 
 class Track:
-    """A vessel's fixes of the last while, and where its last tracklet ended."""
+    """A vessel's fixes of the last while (seconds, speed, course), and where its last tracklet ended."""
 
-    def __init__(self):
-        self.fixes, self.told = deque(), None
+    def __init__(self, fixes=(), told: float | None = None):
+        self.fixes, self.told = deque(fixes), told
+
+    def piece(self, rules: Rules, mmsi: int, t: float, sog: float | None, cog: float | None) -> list[tuple]:
+        """The tracklet that a fix ends, if it does."""
+        least, most = rules.tracklet_s
+        self.fixes.append((t, 0.0 if sog is None or sog != sog else sog, 0.0 if cog is None or cog != cog else math.radians(cog)))
+        while t - self.fixes[0][0] > most:
+            self.fixes.popleft()
+        start, n = self.fixes[0][0], len(self.fixes)
+        if n < 2 or t - start < least or (self.told is not None and start <= self.told):
+            return []
+        self.told = t
+        course = math.degrees(math.atan2(sum(math.sin(c) for _, _, c in self.fixes), sum(math.cos(c) for _, _, c in self.fixes)))
+        return [(f"{mmsi}-{int(t)}", mmsi, start, t, n, (course + 360.0) % 360.0, sum(s for _, s, _ in self.fixes) / n)]
 
 
 def tracklets(fixes: DataFrame, rules: Rules) -> DataFrame:
@@ -308,44 +372,107 @@ def tracklets(fixes: DataFrame, rules: Rules) -> DataFrame:
 
     Missing courses count as north and missing speeds as 0.
     """
-    least, most = rules.tracklet_s
 
     def told(track: Track, mmsi, t, lat, lon, sog, cog):
-        track.fixes.append((t, sog if sog == sog and sog is not None else 0.0, math.radians(cog if cog == cog and cog is not None else 0.0)))
-        while t - track.fixes[0][0] > most:
-            track.fixes.popleft()
-        start, n = track.fixes[0][0], len(track.fixes)
-        if n < 2 or t - start < least or (track.told is not None and start <= track.told):
-            return
-        track.told = t
-        course = math.degrees(math.atan2(sum(math.sin(c) for _, _, c in track.fixes), sum(math.cos(c) for _, _, c in track.fixes)))
-        yield f"{mmsi}-{int(t)}", mmsi, start, t, n, (course + 360.0) % 360.0, sum(s for _, s, _ in track.fixes) / n
+        return track.piece(rules, mmsi, t, sog, cog)
 
     rows = downsampled(usable(fixes), rules.downsample_s)
     return in_order(rows, [*ORDER, "cog"], Track, told, _timed(TRACKLET_DDL, "start_ts", "end_ts"), TRACKLET_DDL)
 
 
+@dataclass
+class Visit:
+    """What a vessel's presence at one polygon has come to: fixes in a row, whether it is in, times, and speeds since the last exit."""
+
+    hits: int = 0
+    misses: int = 0
+    inside: bool = False
+    enter: float | None = None
+    exit: float | None = None
+    seen: float | None = None
+    n: int = 0
+    low: float | None = None
+    high: float | None = None
+    total: float = 0.0
+    speeds: int = 0
+
+    def row(self, mmsi: int, polygon_id: str) -> tuple:
+        return mmsi, polygon_id, self.enter, self.exit, self.seen, self.inside, self.n, self.low, self.high, self.total / self.speeds if self.speeds else None
+
+    def fix(self, rules: Rules, mmsi: int, polygon: Polygon, t: float, sog: float | None, within: bool) -> Iterator[tuple]:
+        """Presence rows of one fix: after each one inside, at the exit, and before it where the vessel was silent for too long."""
+        if self.inside and t - self.seen > (rules.anchorage_ttl_s if polygon.anchorage else rules.ttl_s):
+            yield from self.leave(self.seen, mmsi, polygon)
+            self.hits = self.misses = 0
+        self.hits, self.misses, self.seen = (self.hits + 1, 0, t) if within else (0, self.misses + 1, t)
+        if within:
+            self.n += 1
+            if sog is not None and sog == sog:
+                self.low, self.high = min(sog, self.low if self.low is not None else sog), max(sog, self.high if self.high is not None else sog)
+                self.total, self.speeds = self.total + sog, self.speeds + 1
+            if not self.inside and self.hits >= rules.hits:
+                self.inside, self.enter = True, t
+            yield self.row(mmsi, polygon.polygon_id)
+        elif self.inside and self.misses >= rules.hits:
+            yield from self.leave(t, mmsi, polygon)
+
+    def leave(self, t: float, mmsi: int, polygon: Polygon) -> Iterator[tuple]:
+        self.inside, self.exit = False, t
+        yield self.row(mmsi, polygon.polygon_id)
+        self.enter, self.n, self.low, self.high, self.total, self.speeds = None, 0, None, None, 0.0, 0
+
+
+def presence_of(visits: dict[int, Visit], rules: Rules, mmsi: int, t: float, sog: float | None, within: list[int]) -> Iterator[tuple]:
+    """Presence rows of one fix for all polygons that the vessel has been in."""
+    for i in within:
+        visits.setdefault(i, Visit())
+    for i, visit in sorted(visits.items()):
+        yield from visit.fix(rules, mmsi, rules.polygons[i], t, sog, i in within)
+
+
+def presence_upserts(fixes: DataFrame, rules: Rules) -> DataFrame:
+    """Rows to merge into a table keyed by vessel and polygon, with ``nth``, their number for the vessel: one after each fix inside, one at each exit."""
+    order = Window.partitionBy("mmsi").orderBy(*ORDER)
+    rows = downsampled(usable(fixes), rules.downsample_s).withColumn("within", held_by(rules.polygons, F.col("lon"), F.col("lat")))
+    rows = rows.withColumn("ever", F.max(F.size("within")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("ever > 0")
+
+    def told(state: list, mmsi, t, lat, lon, sog, within):
+        for row in presence_of(state[1], rules, mmsi, t, sog, list(within)):
+            state[0] += 1
+            yield *row, state[0]
+
+    ddl = f"{PRESENCE_DDL}, nth long"
+    return in_order(rows, [*ORDER, "within"], lambda: [0, {}], told, _timed(ddl, "enter_ts", "exit_ts", "last_seen_ts"), ddl)
+
+
+def presence(fixes: DataFrame, rules: Rules) -> DataFrame:
+    """The keyed table that the rows of ``presence_upserts`` leave."""
+    upserts = presence_upserts(fixes, rules)
+    rest = [c for c in upserts.columns if c not in ("mmsi", "polygon_id", "nth")]
+    last = upserts.groupBy("mmsi", "polygon_id").agg(F.max_by(F.struct(*rest), "nth").alias("_r"))
+    return last.select("mmsi", "polygon_id", "_r.*")
+
+
 def _nm(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return knots(3600.0, lat1, lon1, lat2, lon2)
 
 
 def _timed(ddl: str, *times: str) -> Callable[[list], pd.DataFrame]:
     """Makes frames of rows whose ``times`` are seconds."""
-    names = [part.split()[0] for part in ddl.split(", ")]
+    kinds = dict(part.split() for part in ddl.split(", "))
 
     def make(found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=names)
+        out = pd.DataFrame(found, columns=list(kinds))
         for c in times:
-            out[c] = pd.to_datetime((out[c].astype("float64") * 1e6).round().astype("int64"), unit="us")
-        return out
+            micros = (out[c].astype("float64") * 1e6).round().astype("Int64")
+            out[c] = pd.to_datetime(micros, unit="us")
+        return out.astype({c: "float64" for c, kind in kinds.items() if kind == "double"})
 
     return make
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
-    out = _timed(EVENT_DDL, "ts")(found)
-    out["sog"] = out["sog"].astype("float64")
-    return out
+    return _timed(EVENT_DDL, "ts")(found)
 
 
 def step(state: VesselState, rules: Rules, fix) -> Iterator[tuple]:
@@ -355,7 +482,7 @@ def step(state: VesselState, rules: Rules, fix) -> Iterator[tuple]:
     if not state.tanker or bucket <= state.last_bucket:
         return  # not a tanker, a second fix of its bucket, or out of order
     state.last_bucket = bucket
-    within = {p.polygon_id for p in rules.polygons if inside(p.ring, fix.lon, fix.lat)}
+    within = {p.polygon_id for p in rules.polygons if holds(p, fix.lon, fix.lat)}
     ways, jump = [], False
     if state.last is not None:
         t, lat, lon = state.last
