@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +90,61 @@ def ks(base: DataFrame, now: DataFrame, x: str) -> DataFrame:
     return by_value.select(gap.alias("g")).agg(F.max("g").alias("ks"))
 
 
+def time_splits(n: int, splits: int = 5, gap: int = 7, size: int = 30) -> list[tuple[int, int, int]]:
+    """(end of training, start of the test, its end) for tests of ``size`` at the end of ``n`` steps, ``gap`` steps behind their training.
+
+    Short histories get fewer and shorter tests; a test without any training before it is left out.
+    """
+    if n <= gap + 5:
+        splits, gap, size = 2, min(gap, max(n // 4, 1)), max(1, n // 3)
+    else:
+        splits = min(splits, max(2, (n - gap) // size - 1))
+        size = min(size, max(1, (n - gap) // (splits + 1)))
+    starts = range(n - splits * size, n, size)
+    return [(start - gap, start, start + size) for start in starts if start > gap]
+
+
+def out_of_fold(rows: DataFrame, features: list[str], d: str = "d", label: str = "target", splits: int = 5, gap: int = 7, size: int = 30) -> DataFrame:
+    """``d, label, p, fold``: scores of the direction model for days it wasn't trained on, in folds of ``time_splits`` over the days of ``rows``."""
+    known = rows.dropna(subset=[label, *features])
+    # one row for each day
+    days = known.select(d).distinct().withColumn("_i", F.row_number().over(Window.orderBy(d)) - 1)
+    plan = time_splits(days.count(), splits, gap, size)
+    ends = {i for split in plan for i in (split[0] - 1, split[1], split[2] - 1)}
+    at = {r["_i"]: r[d] for r in days.where(F.col("_i").isin(list(ends))).collect()}
+    found = None
+    for k, (trained, start, end) in enumerate(plan):
+        train, test = known.where(F.col(d) <= at[trained - 1]), known.where(F.col(d).between(at[start], at[end - 1]))
+        if len(train.select(label).distinct().limit(2).collect()) < 2:
+            continue
+        scored = probability(fit_direction(train, features, label), test).select(d, label, "p", F.lit(k).alias("fold"))
+        found = scored if found is None else found.union(scored)
+    if found is None:
+        return known.select(d, label, F.lit(None).cast("double").alias("p"), F.lit(0).alias("fold")).limit(0)
+    return found
+
+
+def calibrator(scored: DataFrame, label: str = "target", p: str = "p"):
+    """A step function that rises with the score, fitted to the labels of out-of-fold scores; beyond them it stays level."""
+    known = scored.where(F.col(label).isNotNull() & F.col(p).isNotNull()).select(F.col(p).alias("p"), F.col(label).cast("double").alias("y"))
+    return IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(known)
+
+
+def calibrated(model, scored: DataFrame, p: str = "p") -> DataFrame:
+    """``scored`` with ``calibrated``, the probability that the step function gives the score."""
+    named = scored if p == "p" else scored.withColumn("p", F.col(p))
+    return model.transform(named)
+
+
+def reliability(scored: DataFrame, p: str = "calibrated", label: str = "target", bins: int = 10) -> DataFrame:
+    """``bin, n, predicted, observed`` over bins that hold equal numbers of rows, as far as ties allow."""
+    known = scored.where(F.col(p).isNotNull() & F.col(label).isNotNull())
+    edges = known.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
+    # one row of bins - 1 numbers
+    numbered = known.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(p))))
+    return numbered.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(F.col(label).cast("double")).alias("observed"))
+
+
 def damped(before: Column, now: Column, step: float = 0.05) -> Column:
     """The new probability unless it moved by at most ``step``, in which case the old one stays."""
     return F.when(before.isNull() | (F.abs(now - before) > step), now).otherwise(before)

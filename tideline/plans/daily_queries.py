@@ -495,3 +495,15 @@ def sea_state_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "lineitem").select("l_shipdate", F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("hs"), F.col("l_discount").alias("u"), F.col("l_tax").alias("v"))
     out = daily.sea_state_component(samples, ["k"], "l_shipdate", "hs", "u", "v", 0.5).select("d", "k", "x", "opposing", "z")
     return rounded(rounded(rounded(out, "x", digits=5), "opposing"), "z", digits=4)
+
+
+SPREAD_FEATURES = ["lag_1", "lag_3", "lag_5", "chg_1", "chg_3", "chg_5", "z_7", "z_14", "spread_ret_1", "spread_ret_5", "weekday", "month", "doy_sin", "doy_cos"]
+
+
+@query("direction_reliability")
+def direction_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the spread rose where the calibrated model said so; models can't be fitted in SQL."""
+    rows = day_series(spark, sf_dir).select("d", "k", F.col("n").cast("double").alias("c"), F.col("x").alias("spread"))
+    features = daily.spread_dataset(rows, ["k"], "d", "c", "spread").cache()
+    scored = models.out_of_fold(features, SPREAD_FEATURES)
+    return rounded(models.reliability(models.calibrated(models.calibrator(scored), scored)), "predicted", "observed")
