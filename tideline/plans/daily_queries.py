@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.storage import cut
 from tideline.functions.tables import table
 from tideline.operators import daily, detect, dwell, flux, geo, models, sea_state, snapshots
 from tideline.plans.flow_queries import GATED, K, crossings, fixes, k, rounded
@@ -504,6 +505,6 @@ SPREAD_FEATURES = ["lag_1", "lag_3", "lag_5", "chg_1", "chg_3", "chg_5", "z_7",
 def direction_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the spread rose where the calibrated model said so; models can't be fitted in SQL."""
     rows = day_series(spark, sf_dir).select("d", "k", F.col("n").cast("double").alias("c"), F.col("x").alias("spread"))
-    features = daily.spread_dataset(rows, ["k"], "d", "c", "spread").cache()
+    features = cut(daily.spread_dataset(rows, ["k"], "d", "c", "spread"))
     scored = models.out_of_fold(features, SPREAD_FEATURES)
     return rounded(models.reliability(models.calibrated(models.calibrator(scored), scored)), "predicted", "observed")

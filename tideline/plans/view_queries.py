@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.storage import new_path
 from tideline.functions.tables import table
 from tideline.operators import flux, views
 from tideline.plans.flow_queries import GATED, crossings, moves, rounded
 from tideline.plans.registry import query
 from tideline.plans.series_queries import COMPONENTS, components
+from tideline.sources import versions
 
 
 @query(
@@ -194,3 +196,24 @@ def vessel_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("polygon_id", F.to_date("ts").alias("ds")).agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("mmsi").alias("vessels"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
+
+
+@query(
+    "range_replaced",
+    """
+    WITH r AS (
+        SELECT ts, event_type, value, false AS again FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-10 12:00:00') OR ts IS NULL
+        UNION ALL SELECT ts, event_type, value + 1000, true FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-10 12:00:00'
+    )
+    SELECT CAST(ts AS DATE) AS d, event_type, again, count(*) AS n, round(sum(value), 4) AS total FROM r GROUP BY ALL
+    """,
+)
+def range_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events published as a table, half a day of them replaced, and the new version read back."""
+    rows = table(spark, sf_dir, "events").select("ts", "event_type", "value", F.lit(False).alias("again"))
+    path, half = new_path(spark, "events"), ("2024-01-10 00:00:00", "2024-01-10 12:00:00")
+    versions.publish(rows.repartitionByRange("ts"), path, "ts")
+    inside = (F.col("ts") >= F.lit(half[0]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(half[1]).cast("timestamp_ntz"))
+    versions.replace_range(rows.where(inside).withColumns({"value": F.col("value") + 1000, "again": F.lit(True)}), path, *half)
+    found = versions.read_version(spark, path)
+    return found.groupBy(F.to_date("ts").alias("d"), "event_type", "again").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
