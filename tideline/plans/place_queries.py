@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.tables import table
 from tideline.functions.columns import bearing, haversine, slug
-from tideline.operators import clusters, geo, registry
+from tideline.operators import clusters, geo, ocean, registry
 from tideline.plans.flow_queries import K, k, moves, rounded
 from tideline.plans.registry import query
 from tideline.sources import ais, ports
@@ -471,3 +471,46 @@ MOORED = """
 )
 def anchorage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.density_clusters(moored(spark, sf_dir), least=8)
+
+
+#: Regions with their course: one across the date line by its edges, one that only its margin takes across, one by the pole, one in the open.
+SEAS = [("fiji", -25.0, 170.0, -10.0, -175.0, 40.0), ("chukchi", 65.0, 165.0, 72.0, 179.5, 90.0), ("north", 86.0, -20.0, 89.5, 20.0, 0.0), ("gulf", 20.0, 45.0, 32.0, 60.0, 300.0)]
+SEA_FEATURES = [
+    ocean.Feature("wave", "scalar", ("missing", "hs"), ("mean", "p90", "p95")), ocean.Feature("current", "vector", ("u", "v"), ("mean", "p90")), ocean.Feature("against", "opposing", ("u", "v"), ("mean",)),
+]
+SEA_VALUES = ", ".join(f"('{n}', {', '.join(f'{v}::DOUBLE' for v in values)})" for n, *values in SEAS)
+OCEAN = f"""
+    g AS (SELECT date_trunc('quarter', l_shipdate) AS ts, (l_orderkey * 37 % 1800) / 10.0::DOUBLE - 90 AS lat, (l_partkey * 53 % 3600) / 10.0::DOUBLE AS lon360, l_quantity AS hs, l_discount - 0.05 AS u, l_tax - 0.04 AS v FROM lineitem),
+    w AS (SELECT *, CASE WHEN lon360 >= 180 THEN lon360 - 360 ELSE lon360 END AS lon FROM g),
+    b AS (SELECT name, s - 100 / 111.0::DOUBLE AS s, least(90, n + 100 / 111.0::DOUBLE) AS n, w - 100 / 111.0::DOUBLE / greatest(cos(radians((s + n) / 2)), 0.1) AS w,
+                 CASE WHEN e < w THEN e + 360 ELSE e END + 100 / 111.0::DOUBLE / greatest(cos(radians((s + n) / 2)), 0.1) AS e, bearing FROM (VALUES {SEA_VALUES}) t(name, s, w, n, e, bearing)),
+    h AS (SELECT b.name, w.ts, hs, sqrt(u * u + v * v) AS speed, -(u * cos(radians(bearing)) + v * sin(radians(bearing))) AS against
+          FROM w JOIN b ON lat BETWEEN s AND n AND (lon BETWEEN b.w AND b.e OR lon + 360 BETWEEN b.w AND b.e OR lon - 360 BETWEEN b.w AND b.e))
+"""
+SEA_STATS = """round(avg(hs), 6) AS wave_mean, round(quantile_cont(hs, 0.9), 6) AS wave_p90, round(quantile_cont(hs, 0.95), 6) AS wave_p95,
+    round(avg(speed), 6) AS current_mean, round(quantile_cont(speed, 0.9), 6) AS current_p90, round(avg(against), 6) + 0.0::DOUBLE AS against_mean"""
+
+
+def ocean_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as cells of a grid counted 0 to 360, and the regions."""
+    grid = table(spark, sf_dir, "lineitem").select(
+        F.date_trunc("quarter", "l_shipdate").alias("ts"), ((F.col("l_orderkey") * 37 % 1800) / 10.0 - 90).alias("lat"), ((F.col("l_partkey") * 53 % 3600) / 10.0).alias("lon"),
+        F.lit(None).cast("double").alias("missing"), F.col("l_quantity").alias("hs"), (F.col("l_discount") - 0.05).alias("u"), (F.col("l_tax") - 0.04).alias("v"),
+    )
+    return grid, spark.createDataFrame(SEAS, "name string, south double, west double, north double, east double, bearing_deg double")
+
+
+@query("ocean_features", f"WITH {OCEAN} SELECT name, ts, {SEA_STATS} FROM h GROUP BY name, ts")
+def ocean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid, seas = ocean_grid(spark, sf_dir)
+    out = ocean.region_features(grid, seas, SEA_FEATURES, km=100.0)
+    out = rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), *[c for c in out.columns if c not in ("name", "ts")])
+    # no negative zero
+    return out.withColumn("against_mean", F.col("against_mean") + 0.0)
+
+
+@query("region_metrics", f"WITH {OCEAN} SELECT name, {SEA_STATS}, count(*) AS cells, count(DISTINCT ts) AS times, max(ts) AS newest FROM h GROUP BY name")
+def region_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid, seas = ocean_grid(spark, sf_dir)
+    out = ocean.region_metrics(grid, seas, SEA_FEATURES, km=100.0)
+    return rounded(out.withColumn("newest", F.col("newest").cast("timestamp_ntz")), *[c for c in out.columns if c.rpartition("_")[2] in ("mean", "p90", "p95")])
