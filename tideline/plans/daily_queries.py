@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.storage import cut
 from tideline.functions.tables import table
-from tideline.operators import daily, detect, dwell, flux, geo, models, sea_state, snapshots
+from tideline.operators import contracts, daily, detect, dwell, flux, geo, models, sea_state, snapshots
 from tideline.plans.flow_queries import GATED, K, crossings, fixes, k, rounded
 from tideline.plans.place_queries import POINTS, points
 from tideline.plans.registry import query
@@ -508,3 +508,70 @@ def direction_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = cut(daily.spread_dataset(rows, ["k"], "d", "c", "spread"))
     scored = models.out_of_fold(features, SPREAD_FEATURES)
     return rounded(models.reliability(models.calibrated(models.calibrator(scored), scored)), "predicted", "observed")
+
+
+#: What a published signal must look like.
+SIGNALS_SCHEMA = {
+    "type": "object",
+    "required": ["asof", "index", "change"],
+    "properties": {
+        "asof": {"type": "string", "format": "date-time"},
+        "index": {"type": "number"},
+        "change": {"type": ["number", "null"]},
+        "direction": {
+            "type": ["object", "null"], "required": ["prob_up", "top_decile"], "additionalProperties": False,
+            "properties": {"prob_up": {"type": "number", "minimum": 0.0, "maximum": 1.0}, "top_decile": {"type": "boolean"}},
+        },
+        "nowcast": {"type": "object", "patternProperties": {"^[0-9]{4}-[0-9]{2}-[0-9]{2}$": {"type": "number"}}, "additionalProperties": False, "minProperties": 1},
+        "annotations": {"type": "array", "items": {"type": "string"}},
+    },
+    "additionalProperties": False,
+}
+
+
+@query(
+    "signal_violations",
+    f"""
+    WITH {DAILY}
+    SELECT k, d, array_to_string(list_sort(list_filter([
+        CASE WHEN n % 5 = 0 THEN '$: change missing' END, CASE WHEN n % 7 = 0 THEN '$: extra not allowed' END, CASE WHEN n % 3 = 0 THEN '$.direction.prob_up: beyond maximum' END,
+        CASE WHEN n % 4 = 0 THEN '$.direction: top_decile missing' END, CASE WHEN n % 11 = 0 THEN '$.index: not number' END,
+        CASE WHEN n % 6 = 0 THEN '$.nowcast: too few members' END, CASE WHEN n % 6 = 1 THEN '$.nowcast: soon not allowed' END, CASE WHEN n % 10 = 1 THEN '$.annotations[]: not string' END
+    ], lambda x: x IS NOT NULL)), '; ') AS violations FROM day
+    """,
+)
+def signal_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals made of daily series, each broken by what its count says."""
+    n = F.col("n")
+    direction = F.concat(
+        F.lit('{"prob_up": '), F.when(n % 3 == 0, "1.5").otherwise("0.5"), F.when(n % 4 == 0, "").otherwise(', "top_decile": true'), F.lit("}")
+    )
+    nowcast = F.when(n % 6 == 0, "{}").when(n % 6 == 1, '{"2024-01-01": 1, "soon": 2}').otherwise('{"2024-01-01": 1.5}')
+    text = F.concat(
+        F.lit('{"asof": "'), F.col("d").cast("string"), F.lit('", "index": '), F.when(n % 11 == 0, '"high"').otherwise(n.cast("string")), F.when(n % 5 == 0, "").otherwise(', "change": null'),
+        F.when(n % 7 == 0, ', "extra": 1').otherwise(""), F.lit(', "direction": '), direction, F.lit(', "nowcast": '), nowcast, F.lit(', "annotations": ["a"'), F.when(n % 10 == 1, ", 2, 3").otherwise(""), F.lit("]}"),
+    )
+    found = contracts.with_violations(day_series(spark, sf_dir).select("k", "d", text.alias("signal")), SIGNALS_SCHEMA, "signal")
+    return found.select("k", "d", F.array_join("violations", "; ").alias("violations"))
+
+
+@query(
+    "matrix_violations",
+    f"""
+    WITH {DAILY}, m AS (SELECT d, sum(n) AS n, sum(x) AS x FROM day GROUP BY d), s AS (SELECT *, row_number() OVER (ORDER BY d) AS i FROM m),
+    r AS (SELECT i, CASE WHEN i % 50 = 0 THEN d - INTERVAL 3 DAY ELSE d END AS d, CASE WHEN n % 9 = 0 THEN NULL ELSE n - 20.0::DOUBLE END AS a, CASE WHEN n % 9 = 1 THEN NULL ELSE 1.0 END AS b FROM s),
+    o AS (SELECT *, max(d) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+    SELECT CAST(d AS DATE) AS d, 'a' AS column, 'missing' AS problem FROM o WHERE a IS NULL
+    UNION ALL SELECT CAST(d AS DATE), 'a', 'outside its bounds' FROM o WHERE a NOT BETWEEN -8 AND 8
+    UNION ALL SELECT CAST(d AS DATE), 'd', 'not after the dates before' FROM o WHERE d <= before
+    """,
+)
+def matrix_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell of a matrix of days that breaks the contract; every fiftieth date is set back."""
+    from pyspark.sql import Window
+
+    days = day_series(spark, sf_dir).groupBy("d").agg(F.sum("n").alias("n")).withColumn("i", F.row_number().over(Window.orderBy("d")))
+    rows = days.select(
+        "i", F.when(F.col("i") % 50 == 0, F.date_sub("d", 3)).otherwise(F.col("d")).alias("d"), F.when(F.col("n") % 9 != 0, F.col("n") - 20.0).alias("a"), F.when(F.col("n") % 9 != 1, 1.0).alias("b")
+    )
+    return contracts.matrix_report(rows, "d", "i", ["a"], ["b"])
