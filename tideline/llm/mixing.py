@@ -49,10 +49,10 @@ def fit_rates(
     p: str = "p",
     iterations: int = 64,
     close: float = 1e-6,
-) -> tuple[DataFrame, list[np.ndarray]]:
-    """The member table's keys with ``rate``, and the domains' totals at each iteration.
+) -> tuple[Column, list[np.ndarray]]:
+    """The rate of a row of ``members`` as a column of its array ``p``, and the domains' totals at each iteration.
 
-    ``members`` is a stored table with columns ``row`` (unique), ``tokens`` and the array ``p``. The fit ends at its
+    ``members`` is a stored table with columns ``tokens`` and ``p``. The fit ends at its
     targets, or where a weight shows that no rates reach them: the last totals tell (``reached``).
     """
     k = len(targets)
@@ -102,25 +102,24 @@ def fit_rates(
         if np.abs(x).max() > LARGEST_WEIGHT:
             history.append(now)
             break
-    return members.select("row", rated(x)[1].alias("rate")), history
+    return rated(x)[1], history
 
 
 def memberships(docs: DataFrame, labels: DataFrame, label: Column, domains: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The columns of ``docs`` as ``c0, c1, ...`` with ``row``, ``tokens`` and ``p``, stored."""
+    """The columns of ``docs`` as ``c0, c1, ...`` with ``tokens`` and ``p``, stored."""
     model = classifier.fit(docs, labels, label, domains, id_col=id_col, text_col=text_col)
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    seen = classifier.with_posteriors(numbered, model, f"c{docs.columns.index(text_col)}", "tokens", "p")
-    return stored(seen.withColumn("row", F.monotonically_increasing_id()), "memberships")
+    return stored(classifier.with_posteriors(numbered, model, f"c{docs.columns.index(text_col)}", "tokens", "p"), "memberships")
 
 
 def rates(
     members: DataFrame, weights: dict[str, float], least: float = 0.0, most: float = math.inf
-) -> tuple[DataFrame, list[np.ndarray], np.ndarray]:
-    """Rates of stored ``memberships``; with ``least`` 1 the total grows until the domains have their shares.
+) -> tuple[Column, list[np.ndarray], np.ndarray]:
+    """The rate, as a column, of stored ``memberships``; with ``least`` 1 the total grows until the domains have their shares.
 
     Warns with the shares attained where no rates tried meet the targets.
     """
-    slim = members.select("row", F.col("tokens").cast("double").alias("tokens"), "p")
+    slim = members.select(F.col("tokens").cast("double").alias("tokens"), "p")
     share = np.array(list(weights.values())) / sum(weights.values())
     found = slim.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(len(share))]).first()
     now = np.array([x or 0.0 for x in found])
@@ -145,10 +144,8 @@ def document_rates(
     domains = list(weights)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = memberships(rows, labels, label, domains, "doc_id", "text")
-    fitted, _, _ = rates(members, weights)
-    return members.join(fitted, "row").select(
-        F.col("c0").alias("doc_id"), "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate"
-    )
+    rate, _, _ = rates(members, weights)
+    return members.select(F.col("c0").alias("doc_id"), "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"))
 
 
 def mixed(
@@ -166,9 +163,9 @@ def mixed(
     """
     at = docs.columns.index
     members = memberships(docs, labels, label, list(weights), id_col, text_col)
-    fitted, _, _ = rates(members, weights, least=1.0, most=most)
-    joined = members.join(fitted, "row")
+    rate, _, _ = rates(members, weights, least=1.0, most=most)
+    rated = members.withColumn("rate", rate)
     chance = F.pmod(F.xxhash64(f"c{at(id_col)}", f"c{at(text_col)}"), F.lit(1 << 24)) / float(1 << 24)
     copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
-    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    repeated = rated.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return repeated.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
