@@ -544,7 +544,8 @@ def one_of_each(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = stored(similar_groups(rows, width, distance, seeds, similarity), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("text_hash").alias("z"))
-    firsts = named.groupBy("component").agg(F.min(place).alias("first"))
+    # written, so that the join has plain exchanges and Spark can split the rows of a very large group
+    firsts = stored(named.groupBy("component").agg(F.min(place).alias("first")), "firsts")
     gone = named.join(firsts, "component").where(~place.eqNullSafe(F.col("first"))).select(
         F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")
     )
