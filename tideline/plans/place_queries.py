@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.tables import table
 from tideline.functions.columns import bearing, haversine, slug
-from tideline.operators import clusters, geo, ocean, registry
+from tideline.operators import clusters, geo, ocean, registry, shapes
 from tideline.plans.flow_queries import K, k, moves, rounded
 from tideline.plans.registry import query
 from tideline.sources import ais, ports
@@ -514,3 +514,13 @@ def region_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid, seas = ocean_grid(spark, sf_dir)
     out = ocean.region_metrics(grid, seas, SEA_FEATURES, km=100.0)
     return rounded(out.withColumn("newest", F.col("newest").cast("timestamp_ntz")), *[c for c in out.columns if c.rpartition("_")[2] in ("mean", "p90", "p95")])
+
+
+@query("anchorage_outlines")
+def anchorage_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline of each anchorage that doesn't lie across the date line: corners, area and bounds; hulls have no counterpart in the SQL at hand."""
+    places = moored(spark, sf_dir)
+    held = clusters.density_clusters(places, least=8).join(places, "point_id")
+    rings = shapes.outlines(held.withColumn("anchorage", F.col("cluster_id").cast("string")), "anchorage")
+    bounds = [F.round(f(c), 6).alias(n) for n, f, c in (("south", F.array_min, "ys"), ("west", F.array_min, "xs"), ("north", F.array_max, "ys"), ("east", F.array_max, "xs"))]
+    return rings.where(F.array_max("xs") - F.array_min("xs") < 180).select("anchorage", F.size("xs").alias("corners"), F.round("area_m2", 1).alias("area_m2"), *bounds)
