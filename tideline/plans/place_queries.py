@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.tables import table
 from tideline.functions.columns import bearing, haversine, slug
-from tideline.operators import clusters, geo, ocean, registry, shapes
+from tideline.operators import clusters, gates, geo, ocean, registry, shapes
 from tideline.plans.flow_queries import K, k, moves, rounded
 from tideline.plans.registry import query
 from tideline.sources import ais, ports
@@ -524,3 +524,15 @@ def anchorage_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rings = shapes.outlines(held.withColumn("anchorage", F.col("cluster_id").cast("string")), "anchorage")
     bounds = [F.round(f(c), 6).alias(n) for n, f, c in (("south", F.array_min, "ys"), ("west", F.array_min, "xs"), ("north", F.array_max, "ys"), ("east", F.array_max, "xs"))]
     return rings.where(F.array_max("xs") - F.array_min("xs") < 180).select("anchorage", F.size("xs").alias("corners"), F.round("area_m2", 1).alias("area_m2"), *bounds)
+
+
+@query("approach_gates")
+def approach_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates at 0 to 20 miles across an axis for each nation, whose vertices its customers are; geodesics have no counterpart in the SQL at hand."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    axes = table(spark, sf_dir, "customer").select(
+        nation.cast("string").alias("axis_id"), key.alias("seq"), (nation * 13 - 150 + key * 0.0004).alias("lon"), (nation * 5 - 60 + key * 0.0003).alias("lat")
+    )
+    entries = axes.groupBy("axis_id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"))
+    found = gates.approach_gates(axes, entries, [0, 2, 5, 10, 20], {10: 1.5, 20: 2.0})
+    return rounded(found, "lon", "lat", "azimuth", "left_lon", "left_lat", "right_lon", "right_lat")
