@@ -136,12 +136,14 @@ def event_flux_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "crossing_fixes",
     f"""
-    WITH {GATED}, f AS (SELECT user_id AS mmsi, ts, max(value) AS sog FROM events WHERE value > 30 GROUP BY ALL)
+    WITH {GATED}, f AS (SELECT CASE WHEN value > 30 THEN user_id ELSE -1 - user_id END AS mmsi, ts, max(value) AS sog FROM events GROUP BY ALL)
     SELECT g.mmsi, g.ts, gate_id, direction, sog FROM g LEFT JOIN f USING (mmsi, ts)
     """,
 )
 def crossing_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "events").where("value > 30").groupBy(F.col("user_id").alias("mmsi"), "ts").agg(F.max("value").alias("sog"))
+    """Slow fixes count as those of vessels that cross nothing, so that some crossings have no fix."""
+    vessel = F.when(F.col("value") > 30, F.col("user_id")).otherwise(-1 - F.col("user_id"))
+    seen = table(spark, sf_dir, "events").groupBy(vessel.alias("mmsi"), "ts").agg(F.max("value").alias("sog"))
     return daily.crossings_with_fixes(crossings(spark, sf_dir).drop("value"), seen).select("mmsi", "ts", "gate_id", "direction", "sog")
 
 

@@ -180,10 +180,10 @@ def golden_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.golden(rows.select("mmsi", "ts", "event"), chosen).orderBy(F.desc("ts"), "mmsi").limit(200)
 
 
-@query("unknown_anti", "SELECT c_custkey AS mmsi, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+@query("unknown_anti", "SELECT c_custkey AS mmsi, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_totalprice > 400000 THEN o_custkey ELSE -1 - o_custkey END FROM orders)")
 def unknown_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     vessels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mmsi"), F.col("c_name").alias("name"))
-    known = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("mmsi"))
+    known = table(spark, sf_dir, "orders").select(F.when(F.col("o_totalprice") > 400000, F.col("o_custkey")).otherwise(-1 - F.col("o_custkey")).alias("mmsi"))
     return registry.unknown(vessels, known)
 
 
@@ -202,13 +202,16 @@ def static_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "keyed_upsert",
     """
-    WITH d AS (SELECT o_custkey AS k, o_totalprice AS v FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 1)
+    WITH o AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -1 - o_custkey END AS k FROM orders),
+    d AS (SELECT k, o_totalprice AS v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) AS n FROM o) WHERE n = 1)
     SELECT k, v FROM d UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM d)
     """,
 )
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    delta = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderkey")
+    # keys of other states are new to the table
+    key = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(-1 - F.col("o_custkey"))
+    delta = table(spark, sf_dir, "orders").select(key.alias("k"), F.col("o_totalprice").alias("v"), "o_orderkey")
     newest = registry.latest_row(delta, ["k"], ["o_orderkey"]).drop("o_orderkey")
     return registry.upsert(base, newest, ["k"])
 
@@ -269,12 +272,14 @@ def confidence_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     "registry_backfill",
     """
     SELECT o_orderkey, o_custkey AS mmsi, CASE WHEN c_custkey IS NOT NULL THEN c_nationkey + 70 BETWEEN 80 AND 89 END AS is_tanker
-    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey
+    FROM orders LEFT JOIN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -1 - c_custkey END AS c_custkey, c_nationkey FROM customer) ON c_custkey = o_custkey
     """,
 )
 def registry_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("mmsi"), F.lit(False).alias("is_tanker"))
-    held = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("mmsi"), (F.col("c_nationkey") + 70).alias("ship_type_code"))
+    # vessels that no fix belongs to stand for some of those that the registry lacks
+    vessel = F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-1 - F.col("c_custkey"))
+    held = table(spark, sf_dir, "customer").select(vessel.alias("mmsi"), (F.col("c_nationkey") + 70).alias("ship_type_code"))
     return registry.backfill(rows, held)
 
 
@@ -422,17 +427,18 @@ def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "price_pivot",
     """
-    SELECT CAST(o_orderdate AS DATE) AS ds, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS brent, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS wti
-    FROM orders WHERE o_orderkey % 5 > 1 AND o_orderstatus IN ('F', 'O') GROUP BY 1
+    SELECT CAST(o_orderdate AS DATE) AS ds, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS brent, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS wti,
+           round(sum(CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN o_totalprice END), 2) AS dubai
+    FROM orders WHERE o_orderkey % 5 > 1 GROUP BY 1
     """,
 )
 def price_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    raw = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O")).select(
-        F.to_date("o_orderdate").cast("string").alias("ds"), F.when(F.col("o_orderstatus") == "F", "brent").otherwise("wti").alias("series"),
+    raw = table(spark, sf_dir, "orders").select(
+        F.to_date("o_orderdate").cast("string").alias("ds"), F.when(F.col("o_orderstatus") == "F", "brent").when(F.col("o_orderstatus") == "O", "wti").otherwise("dubai").alias("series"),
         F.when(key % 5 == 0, ".").when(key % 5 == 1, "").otherwise(F.col("o_totalprice").cast("string")).alias("value"), F.lit("mock").alias("source"),
     )
-    return rounded(ports.pivot_series(ports.price_series(raw), ["brent", "wti"]), "brent", "wti", digits=2)
+    return rounded(ports.pivot_series(ports.price_series(raw), ["brent", "wti", "dubai"]), "brent", "wti", "dubai", digits=2)
 
 
 def moored(spark: SparkSession, sf_dir: str) -> DataFrame:
