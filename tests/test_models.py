@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import models
+from tideline.operators import daily, models
 
 
 @pytest.mark.parametrize("n", [1, 3, 6, 12, 13, 20, 40, 77, 120, 190, 500, 5000])
@@ -63,3 +63,8 @@ def test_out_of_fold_scores_are_of_later_days(spark):
     assert per == {0: (30, "2024-03-31", "2024-04-29"), 1: (30, "2024-04-30", "2024-05-29")}
     assert models.scores(found)["auc"] > 0.9
     assert models.out_of_fold(rows.limit(2), ["a", "b"]).count() == 0
+
+
+def test_components_that_tell_nothing_are_left_out(spark):
+    rows = spark.range(40).select(F.sin("id").alias("a"), F.lit(1.0).alias("b"), F.when(F.col("id") < 29, F.col("id")).cast("double").alias("c"), F.when(F.col("id") < 31, F.col("id") * 1.0).otherwise(float("nan")).alias("e"))
+    assert daily.telling_components(rows, ["a", "b", "c", "e"]) == ["a", "e"] and daily.telling_components(rows.limit(0), ["a"]) == []

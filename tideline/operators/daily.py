@@ -161,12 +161,19 @@ def spread_dataset(rows: DataFrame, keys: list[str], d: str, x: str, spread: str
         before = F.lag(spread, n).over(order)
         out[f"spread_ret_{n}"] = F.try_divide(F.col(spread) - before, before)
     angle = F.dayofyear(d) * F.lit(2 * 3.141592653589793 / 365.25)
-    calendar = {"weekday": F.weekday(d), "month": F.month(d), "week": F.weekofyear(d), "doy_sin": F.sin(angle), "doy_cos": F.cos(angle)}
+    weekday = F.weekday(d)
+    calendar = {"weekday": weekday, "is_mon": (weekday == 0).cast("int"), "is_fri": (weekday == 4).cast("int"), "month": F.month(d), "week": F.weekofyear(d), "doy_sin": F.sin(angle), "doy_cos": F.cos(angle)}
     rise = F.lead(spread).over(order) - F.col(spread)
     target = F.coalesce((rise > threshold).cast("int"), F.lit(0))
     return rows.withColumns({c: F.coalesce(e, F.lit(0.0)) for c, e in out.items()} | calendar | {"target": target})
 
 
+def telling_components(rows: DataFrame, names: list[str], least: int = 30) -> list[str]:
+    """Those of the named columns with at least ``least`` values that aren't all the same, in one pass."""
+    found = rows.agg(*[F.struct(F.count(nan_to_null(c)).alias("n"), F.stddev_samp(nan_to_null(c)).alias("s")).alias(f"_{i}") for i, c in enumerate(names)]).first()
+    return [c for c, v in zip(names, found) if v.n >= least and v.s]
+
+
 def sea_state_component(samples: DataFrame, keys: list[str], ts: str, hs: str, u: str, v: str, course_rad: float) -> DataFrame:
     """Daily mean wave height as a seasonal z score, with the mean current against a fixed course."""
     from tideline.functions.columns import along

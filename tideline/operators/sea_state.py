@@ -34,17 +34,19 @@ def impact_daily(samples: DataFrame, last_days: int = 7, history_days: int = 730
     """Daily impact scores of each corridor's newest days, each scaled by the percentiles of the days before it.
 
     A measure is scaled between the 5th and 95th percentile of its corridor's trailing history, the weighted sum goes
-    through a logistic, and the day is summed up: mean, 90th percentile, share at least ``high``, count. History is
-    joined for the ``last_days`` days only.
+    through a logistic, and the day is summed up: mean, 90th percentiles of the score and of the measures, share at
+    least ``high``, count. History is counted by day and value first, and joined for the ``last_days`` days only.
     """
     kept = samples.where(finite("hc") & finite("hw") & finite("we"))
     days = kept.select("corridor_id", "ds").distinct()
     order = Window.partitionBy("corridor_id").orderBy(F.desc("ds"))
     targets = days.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= last_days).select("corridor_id", F.col("ds").alias("day"))
-    past = targets.join(kept, "corridor_id").where((F.col("ds") <= F.col("day")) & (F.col("ds") > F.date_sub("day", history_days)))
-    bounds = past.groupBy("corridor_id", "day").agg(
-        *[F.percentile(m, F.array(F.lit(0.05), F.lit(0.95))).alias(f"{m}_b") for m in MEASURES]
-    )
+    bounds = None
+    for m in MEASURES:
+        counts = kept.groupBy("corridor_id", "ds", m).agg(F.count(F.lit(1)).alias("_c"))
+        past = targets.join(counts, "corridor_id").where((F.col("ds") <= F.col("day")) & (F.col("ds") > F.date_sub("day", history_days)))
+        found = past.groupBy("corridor_id", "day").agg(F.percentile(m, F.array(F.lit(0.05), F.lit(0.95)), F.col("_c")).alias(f"{m}_b"))
+        bounds = found if bounds is None else bounds.join(found, ["corridor_id", "day"])
     scored = kept.join(bounds, (kept["corridor_id"] == bounds["corridor_id"]) & (kept["ds"] == bounds["day"])).drop(bounds["corridor_id"])
     total = F.lit(0.0)
     for m, w in zip(MEASURES, WEIGHTS):
@@ -54,6 +56,7 @@ def impact_daily(samples: DataFrame, last_days: int = 7, history_days: int = 730
     return scored.groupBy("ds", "corridor_id").agg(
         F.avg("sis").alias("sis_mean"),
         F.percentile("sis", F.lit(0.9)).alias("sis_p90"),
+        *[F.percentile(m, F.lit(0.9)).alias(f"{m}_p90") for m in MEASURES],
         F.avg((F.col("sis") >= high).cast("double")).alias("pct_sis_high"),
         F.count(F.lit(1)).alias("n_samples"),
     )

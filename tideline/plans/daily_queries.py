@@ -476,13 +476,13 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN count(n) OVER v >= 3 AND stddev_samp(n) OVER v <> 0 THEN (n - avg(n) OVER v) / stddev_samp(n) OVER v END AS z7
         FROM day WINDOW w AS (PARTITION BY k ORDER BY d), v AS (PARTITION BY k ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
     SELECT d, k, coalesce(CAST(l1 AS DOUBLE), 0) AS lag_1, coalesce(c - l5, 0) AS chg_5, round(coalesce(z7, 0), 5) AS z_7, round(coalesce((x - s1) / s1, 0), 6) AS spread_ret_1,
-           round(coalesce((x - s5) / s5, 0), 6) AS spread_ret_5, CAST(isodow(d) - 1 AS INT) AS weekday, CAST(week(d) AS INT) AS week, round(sin(dayofyear(d) * 2 * pi() / 365.25), 6) AS doy_sin,
+           round(coalesce((x - s5) / s5, 0), 6) AS spread_ret_5, CAST(isodow(d) - 1 AS INT) AS weekday, CAST(isodow(d) = 1 AS INT) AS is_mon, CAST(isodow(d) = 5 AS INT) AS is_fri, CAST(week(d) AS INT) AS week, round(sin(dayofyear(d) * 2 * pi() / 365.25), 6) AS doy_sin,
            CASE WHEN nx - x > 0.0005 THEN 1 ELSE 0 END AS target FROM f
     """,
 )
 def spread_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = day_series(spark, sf_dir).select("d", "k", F.col("n").cast("double").alias("c"), F.col("x").alias("spread"))
-    out = daily.spread_dataset(rows, ["k"], "d", "c", "spread").select("d", "k", "lag_1", "chg_5", "z_7", "spread_ret_1", "spread_ret_5", "weekday", "week", "doy_sin", "target")
+    out = daily.spread_dataset(rows, ["k"], "d", "c", "spread").select("d", "k", "lag_1", "chg_5", "z_7", "spread_ret_1", "spread_ret_5", "weekday", "is_mon", "is_fri", "week", "doy_sin", "target")
     return rounded(rounded(out, "z_7", digits=5), "spread_ret_1", "spread_ret_5", "doy_sin")
 
 

@@ -440,17 +440,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                           FROM (SELECT DISTINCT corridor_id, ds FROM smp)) WHERE n <= 7),
     b AS (SELECT t.corridor_id, day, quantile_cont(hc, [0.05, 0.95]) AS a, quantile_cont(hw, [0.05, 0.95]) AS b, quantile_cont(we, [0.05, 0.95]) AS c
           FROM t JOIN smp ON smp.corridor_id = t.corridor_id AND ds <= day AND ds > day - 730 GROUP BY ALL),
-    s AS (SELECT smp.ds, smp.corridor_id, 1 / (1 + exp(-(
+    s AS (SELECT smp.ds, smp.corridor_id, smp.hc, smp.hw, smp.we, 1 / (1 + exp(-(
               0.5 * coalesce(CASE WHEN a[2] > a[1] THEN least(greatest((hc - a[1]) / (a[2] - a[1]), 0), 1) END, 0)
             + 0.35 * coalesce(CASE WHEN b[2] > b[1] THEN least(greatest((hw - b[1]) / (b[2] - b[1]), 0), 1) END, 0)
             + 0.15 * coalesce(CASE WHEN c[2] > c[1] THEN least(greatest((we - c[1]) / (c[2] - c[1]), 0), 1) END, 0)))) AS sis
           FROM smp JOIN b ON b.corridor_id = smp.corridor_id AND b.day = smp.ds)
     SELECT ds, corridor_id, round(avg(sis), 6) AS sis_mean, round(quantile_cont(sis, 0.9), 6) AS sis_p90,
-           round(avg(CAST(sis >= 0.7 AS INT)), 6) AS pct_sis_high, count(*) AS n_samples FROM s GROUP BY ALL
+           round(quantile_cont(hc, 0.9), 6) AS hc_p90, round(quantile_cont(hw, 0.9), 6) AS hw_p90, round(quantile_cont(we, 0.9), 6) AS we_p90, round(avg(CAST(sis >= 0.7 AS INT)), 6) AS pct_sis_high, count(*) AS n_samples FROM s GROUP BY ALL
     """,
 )
 def sis_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sea_state.impact_daily(samples(spark, sf_dir)), "sis_mean", "sis_p90", "pct_sis_high")
+    return rounded(sea_state.impact_daily(samples(spark, sf_dir)), "sis_mean", "sis_p90", "hc_p90", "hw_p90", "we_p90", "pct_sis_high")
 
 
 @query(
