@@ -100,3 +100,33 @@ def day_opposing(rows: DataFrame) -> DataFrame:
     newest = at_latest(rows, "ts").select("ts", "hs", F.to_date("ts").alias("d")).dropDuplicates(["ts"])
     means = rows.groupBy(F.to_date("ts").alias("d")).agg(F.avg("opposing").alias("opposing_mean"))
     return means.join(F.broadcast(newest), "d").select("ts", "hs", "opposing_mean")
+
+
+def series_of_days(rows: DataFrame, keys: list[str], d: str, days: int) -> DataFrame:
+    """Rows of the last ``days`` before each series' own newest day, that day included, with ``latest`` on its rows."""
+    by = Window.partitionBy(*keys)
+    kept = rows.withColumn("_m", F.max(d).over(by)).where(F.col(d) > F.date_sub("_m", days))
+    return kept.withColumn("latest", F.col(d) == F.col("_m")).drop("_m")
+
+
+def last_rows(rows: DataFrame, keys: list[str], d: str, n: int) -> DataFrame:
+    """The last ``n`` rows of each series."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(d))
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
+def busiest_places(visits: DataFrame, as_of: Column, days: int = 7, most: int = 10) -> DataFrame:
+    """The places with most visits (polygon_id, kind, mmsi, ts_in, dwell_min) of the last ``days``: visits, hours, vessels."""
+    recent = visits.where((F.col("ts_in") >= as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col("ts_in") <= as_of))
+    sums = recent.groupBy("polygon_id", "kind").agg(
+        F.count(F.lit(1)).alias("visits"), F.round(F.sum("dwell_min") / 60, 1).alias("dwell_hours"), F.countDistinct("mmsi").alias("vessels")
+    )
+    return sums.orderBy(F.desc("visits"), "polygon_id", "kind").limit(most)
+
+
+def recent_visits(visits: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """Visits, vessels and minutes of the last ``hours``, in one row."""
+    recent = (F.col("ts_in") >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts_in") <= as_of)
+    return visits.agg(
+        F.count_if(recent).alias("visits"), F.countDistinct(F.when(recent, F.col("mmsi"))).alias("vessels"), F.coalesce(F.sum(F.when(recent, F.col("dwell_min"))), F.lit(0)).alias("dwell_min")
+    )

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tideline.functions.storage import new_path
 from tideline.functions.tables import table
-from tideline.operators import flux, views
+from tideline.operators import flux, indices, registry, views
 from tideline.plans.flow_queries import GATED, crossings, moves, rounded
 from tideline.plans.registry import query
 from tideline.plans.series_queries import COMPONENTS, components
-from tideline.sources import versions
+from tideline.sources import readers, versions
 
 
 @query(
@@ -217,3 +217,81 @@ def range_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions.replace_range(rows.where(inside).withColumns({"value": F.col("value") + 1000, "again": F.lit(True)}), path, *half)
     found = versions.read_version(spark, path)
     return found.groupBy(F.to_date("ts").alias("d"), "event_type", "again").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+SEA_DAILY = """
+    day AS (SELECT l_returnflag || '->' || l_linestatus AS corridor_id, CAST(l_shipdate AS DATE) AS ds, round(avg(l_discount), 6) AS score_mean, round(quantile_cont(l_quantity, 0.9), 6) AS wave_p90, count(*) AS n_samples
+            FROM lineitem GROUP BY ALL)
+"""
+
+
+@query("corridor_series", f"WITH {SEA_DAILY}, m AS (SELECT *, max(ds) OVER (PARTITION BY corridor_id) AS newest FROM day) SELECT corridor_id, ds, score_mean, wave_p90, n_samples, ds = newest AS latest FROM m WHERE ds >= newest - 6")
+def corridor_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last week of each corridor's daily scores, counted back from its own newest day."""
+    name = F.concat("l_returnflag", F.lit("->"), "l_linestatus").alias("corridor_id")
+    days = table(spark, sf_dir, "lineitem").groupBy(name, F.to_date("l_shipdate").alias("ds")).agg(
+        F.avg("l_discount").alias("score_mean"), F.percentile("l_quantity", F.lit(0.9)).alias("wave_p90"), F.count(F.lit(1)).alias("n_samples")
+    )
+    return views.series_of_days(rounded(days, "score_mean", "wave_p90"), ["corridor_id"], "ds", 7)
+
+
+@query(
+    "index_export",
+    f"""
+    WITH {COMPONENTS}, b AS (SELECT d, basin, round(100 * exp(avg(z_value)), 4) AS value, count(z_value) AS present FROM comp GROUP BY ALL)
+    SELECT basin, strftime(d, '%Y-%m-%d') AS date, value, CAST(present AS INT) AS present FROM b QUALIFY row_number() OVER (PARTITION BY basin ORDER BY d DESC) <= 90
+    """,
+)
+def index_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 90 days of each basin's index, exported as CSV and read back."""
+    level = rounded(indices.basin_index(components(spark, sf_dir)), "level", digits=4)
+    rows = views.last_rows(level, ["basin"], "d", 90).select("basin", F.col("d").cast("string").alias("date"), F.col("level").alias("value"), F.col("present").cast("int").alias("present"))
+    path = f"{new_path(spark, 'index')}.csv"
+    readers.export_csv(rows, path, ["basin", "date"])
+    return readers.read_table(spark, path, "basin string, date string, value double, present int")
+
+
+VISITS = "v AS (SELECT event_type AS polygon_id, CASE WHEN user_id % 3 = 0 THEN 'sts' ELSE 'terminal' END AS kind, user_id AS mmsi, ts AS ts_in, CAST(floor(value) AS BIGINT) AS dwell_min FROM events)"
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("polygon_id"), F.when(F.col("user_id") % 3 == 0, "sts").otherwise("terminal").alias("kind"), F.col("user_id").alias("mmsi"), F.col("ts").alias("ts_in"), F.floor("value").alias("dwell_min")
+    )
+
+
+@query(
+    "busiest_places",
+    f"""
+    WITH {VISITS} SELECT polygon_id, kind, count(*) AS visits, round(sum(dwell_min) / 60, 1) AS dwell_hours, count(DISTINCT mmsi) AS vessels FROM v
+    WHERE ts_in BETWEEN TIMESTAMP '2024-01-18 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00' GROUP BY ALL ORDER BY visits DESC, polygon_id, kind LIMIT 10
+    """,
+)
+def busiest_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.busiest_places(visits(spark, sf_dir), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+
+
+@query(
+    "recent_visits",
+    f"""
+    WITH {VISITS} SELECT count(*) AS visits, count(DISTINCT mmsi) AS vessels, CAST(coalesce(sum(dwell_min), 0) AS BIGINT) AS dwell_min FROM v
+    WHERE ts_in BETWEEN TIMESTAMP '2024-01-24 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00'
+    """,
+)
+def recent_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.recent_visits(visits(spark, sf_dir), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+
+
+@query(
+    "canonical_fixes",
+    """
+    SELECT user_id % 100 AS mmsi, date_trunc('hour', ts) AS msg_time, value AS sog, event_id AS received FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id % 100, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) = 1
+    """,
+)
+def canonical_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the raw messages with one vessel and time the one received last."""
+    raw = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 100).alias("mmsi"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("msg_time"), F.col("value").alias("sog"), F.col("event_id").alias("received"), "ts"
+    )
+    return registry.latest_row(raw, ["mmsi", "msg_time"], ["ts", "received"]).drop("ts")
