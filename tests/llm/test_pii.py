@@ -95,6 +95,12 @@ def test_base_columns_beside_sql(spark):
         ("+1 (716) five five five-8176", ("phone", "+1 (716) five five five-8176", "+1 (716) 555-8176")),
         ("is Four Eight zero seven six one four seven one zero three four three two three two.", ("card", "Four Eight zero seven six one four seven one zero three four three two three two", "4807614710343232")),
         ("４８０７ 6147 1034 3232", ("card", "４８０７ 6147 1034 3232", "4807 6147 1034 3232")),
+        ("so mpakprda.85 at mail2.example.com and", ("email", "mpakprda.85 at mail2.example.com", "mpakprda.85@mail2.example.com")),
+        ("john dot doe at mail.com", ("email", "john dot doe at mail.com", "john.doe@mail.com")),
+        ("anna7 (ät) post.de", ("email", "anna7 (ät) post.de", "anna7@post.de")),
+        ("fnmi dot two four at mail4 dot example dot com", ("email", "fnmi dot two four at mail4 dot example dot com", "fnmi.24@mail4.example.com")),
+        ("plus one (seven one six) five five five-eight one seven six.", ("phone", "plus one (seven one six) five five five-eight one seven six", "+1 (716) 5558176")),
+        ("+one (716) 555-oh one seven six.", ("phone", "+one (716) 555-oh one seven six", "+1 (716) 555-0176")),
         ("48O7614710343232", ("card", "48O7614710343232", "4807614710343232")),
         ("vier acht null sieben sechs eins vier sieben eins null drei vier drei zwei drei zwei", ("card", "vier acht null sieben sechs eins vier sieben eins null drei vier drei zwei drei zwei", "4807614710343232")),
     ],
@@ -104,7 +110,7 @@ def test_disguises(text, want):
     assert [x[:3] for x in pii.found_in(text) if not x[3]] == slow_base(text)
 
 
-@pytest.mark.parametrize("text", ["look at example.com dot", "meet me at the dot", "one of two things at one point", "@bob and @al.ice", "a . b", "1 2 3 four", "İ at dot", "", "un dos tres", "J'ai un point"])
+@pytest.mark.parametrize("text", ["look at example.com dot", "the end. at foo.bar", "we looked at example.com", "meet me at the dot", "one of two things at one point", "@bob and @al.ice", "a . b", "1 2 3 four", "İ at dot", "", "un dos tres", "J'ai un point"])
 def test_clean_texts_get_nothing(text):
     assert added_in(text) == []
 

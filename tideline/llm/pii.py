@@ -37,28 +37,31 @@ DIGITS = re.compile("[0-9]")
 #: Letters of other scripts that look like one of ASCII; compatibility forms (full width, bold and so on) follow from Unicode.
 LOOK_ALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТХУаеѕіјорсхуһԁԛԝѵɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυ٠۰०০٫․。．‐‑‒–—−﹣",
-        "ABESIJKMHOPCTXYaesijopcxyhdqwvgABEZHIKMNOPTYXavopu0000....-------",
+        "ЗзбАВЕЅІЈКМНОРСТХУаеѕіјорсхуһԁԛԝѵɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυ٠۰०০٫․。．‐‑‒–—−﹣",
+        "336ABESIJKMHOPCTXYaesijopcxyhdqwvgABEZHIKMNOPTYXavopu0000....-------",
     )
 )
 INVISIBLE = dict.fromkeys("­​‌‍‎‏⁠﻿️", "")
-#: Digits as words, in the four languages; the first two of a row stand for 0 or have two forms.
+#: Digits as words, in the four languages.
 SPELLED = {
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zero": "0", "oh": "0", "nought": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-DIGIT_WORDS, AT_WORDS, DOT_WORDS = ({w.encode() for w in words} for words in (SPELLED, ("at", "arroba", "arobase"), ("dot", "punkt", "punto", "point")))
-AT, DOT, OPEN, SHUT, GAP = "(?:at|arroba|arobase)", "(?:dot|punkt|punto|point)", r"[\[({<]", r"[\])}>]", "(?: {1,3}|[_-])"
+DIGIT_WORDS, AT_WORDS, DOT_WORDS = ({w.encode() for w in words} for words in (SPELLED, ("at", "ät", "arroba", "arobase"), ("dot", "punkt", "punto", "point")))
+AT, DOT, OPEN, SHUT, GAP = "(?:at|ät|arroba|arobase)", "(?:dot|punkt|punto|point)", r"[\[({<]", r"[\])}>]", "(?: {1,3}|[_-])"
 #: Spelled digits: two in a row or more, or beside a digit or a spelled dot. All patterns read lower-cased text.
-RUN = re.compile(rf"\b{WORD}(?:(?:[ ,-]|, ){WORD})+\b|(?<=[0-9]){WORD}\b|(?<=[0-9][ -]){WORD}\b|(?<= dot ){WORD}\b|\b{WORD}(?=[ -]?[0-9])|\b{WORD}(?= dot )")
+RUN = re.compile(rf"\b{WORD}(?:(?:[ ,-]|, ){WORD})+\b|(?<=[0-9]){WORD}\b|(?<=[0-9][ -]){WORD}\b|(?<= dot ){WORD}\b|(?<=plus ){WORD}\b|(?<=\+){WORD}\b|\b{WORD}(?=[ -]?[0-9])|\b{WORD}(?= dot )")
 RUN_WORD = re.compile(WORD)
 PLUS = re.compile(rf"\bplus (?=[0-9]|{WORD}\b)")
-#: An at needs brackets, or a disguised dot after the name that follows it.
+#: An at needs brackets, or a disguised dot after the name that follows it, or else (where that dot is a plain one) what
+#: looks like an account before it: parts joined by signs, or letters and then digits.
 OPEN_AT = re.compile(rf"{OPEN} ?(?:{AT}|@) ?{SHUT}")
 BARE_AT = re.compile(rf"{GAP}{AT}{GAP}(?=[a-z0-9-]{{1,63}}(?:\.[a-z0-9-]{{1,63}}){{0,9}}(?:{GAP}{DOT}{GAP}| {{0,3}}{OPEN} ?(?:{DOT}|\.) ?{SHUT}))")
+PLAIN_AT = re.compile(rf"{GAP}{AT}{GAP}(?=[a-z0-9-]{{1,63}}\.[a-z0-9-])")
+ACCOUNT = re.compile(rf"(?<![a-z0-9])[a-z0-9]+(?:[._%+-]+[a-z0-9]+)+\Z|(?<![a-z0-9])[a-z]+[0-9]+\Z|{GAP}{DOT}{GAP}[a-z0-9]+\Z")
 OPEN_DOT = re.compile(rf"{OPEN} ?(?:{DOT}|\.) ?{SHUT}")
 BARE_DOT = re.compile(rf"{GAP}{DOT}{GAP}")
 ENTITY = {"@": re.compile("&#0*64;|&#x40;|&commat;|%40"), ".": re.compile("&#0*46;|&#x2e;|&period;|%2e")}
@@ -200,6 +203,8 @@ def written_out(text: str) -> Iterator[tuple[int, int, str]]:
             at = low.find(f" {sign} ", at + 2)
     if words & AT_WORDS and (opened or words & DOT_WORDS):
         found += [(*m.span(), "@") for m in BARE_AT.finditer(low)]
+    if words & AT_WORDS:
+        found += [(*m.span(), "@") for m in PLAIN_AT.finditer(low) if ACCOUNT.search(low[max(0, m.start() - 64) : m.start()])]
     if words & DOT_WORDS:
         found += [(*m.span(), ".") for m in BARE_DOT.finditer(low)]
     for pattern, put in ((ROUND, "0"), (STROKE, "1")):
