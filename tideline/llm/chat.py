@@ -7,8 +7,8 @@ is doubled), which ``unescape`` takes back. The loss mask is the prefix sum of +
 behind its end. A conversation is stored in rows of a bounded number of ids, so it may have any number of turns.
 
 Cases: a null text or role is an empty one; turns come in the order of turn (null first), role, then ids; rows that
-repeat are turns of their own; rows with a null conversation id form one conversation; an empty table gives no rows;
-extra columns are ignored.
+repeat are turns of their own; rows with a null conversation id form one conversation; a turn of any length is encoded
+whole and stored in as many rows as it takes; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ groups differ (the strength of a prior comes from the variance between groups, b
 combines its evidence with its path's posterior, from which its own share is taken out.
 
 Cases: a null text is an empty one; null hosts and paths are groups of their own; a host with one document scores
-it by evidence and prior; repeated rows count as often as they occur; without any usable label all evidence is 1/2;
-an empty table gives no rows; extra columns are ignored.
+it by evidence and prior; repeated rows count as often as they occur and score alike; a score at the bar is kept;
+texts of any length are read whole; without any usable label all evidence is 1/2; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations

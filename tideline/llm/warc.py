@@ -5,7 +5,8 @@ records are put together again by a join on the digest, which recomputes and che
 
 Cases: a null payload is an empty one; a null url has no ``WARC-Target-URI`` line, line breaks in one are
 percent-encoded; a null id gives an empty id in the record's URN and is read back as null; rows that repeat the
-largest id of a group are all responses, being the same record; an empty table gives empty archives.
+largest id of a group are all responses, being the same record; payloads of any length are stored whole, each in one
+row (a row holds at most 2 GB); an empty table gives empty archives.
 Other columns of the input, whatever their names, are ignored.
 """
 
