@@ -97,19 +97,29 @@ def knn_cells(
     """Of each point's ``k`` nearest cells by degrees, the one with the least ``km + 10 hours``.
 
     The cut to ``k`` comes before the gates on distance and time. ``width`` (degrees) must be at least the distance
-    gate. Where a point's own square of half a bucket's side holds ``k`` cells, the ``k`` nearest are within the
-    neighbouring buckets; each point takes the narrowest of ``levels`` buckets, halved from ``width``, for which that
-    holds, else the widest. Distances within 1e-9 degrees tie, and the earlier time goes first.
+    gate. Distances within 1e-9 degrees tie, and the earlier time goes first.
+
+    The ``k`` nearest depend on a point's place alone, and of the cells of one place only the first ``k`` by time and
+    value can be among them: so places are joined, not rows. Where a place's own square of half a bucket's side holds
+    ``k`` cells, the ``k`` nearest are within the neighbouring buckets; each place takes the narrowest of ``levels``
+    buckets, halved from ``width``, for which that holds, else the widest.
     """
     side = F.lit(float(width)) / F.pow(F.lit(2.0), F.col("_l"))
     square = lambda c, size: F.floor(F.col(c) / size)
+    # -0.0 is the place 0.0
+    place = lambda df: df.withColumns({"lat": F.col("lat") + F.lit(0.0), "lon": F.col("lon") + F.lit(0.0)})
+    same = Window.partitionBy("lat", "lon").orderBy("ts", "value")
+    cells = place(cells.select("lat", "lon", "ts", "value")).withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r")
+    points = place(points)
+    places = points.select("lat", "lon").distinct()
+
     ladder = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_l")
     keyed = cells.select("lat", "lon", ladder).groupBy("_l", square("lat", side / 2).alias("_i"), square("lon", side / 2).alias("_j"))
     full = keyed.count().where(F.col("count") >= k).drop("count")
-    tried = points.select("point_id", "lat", "lon", ladder).select("point_id", "_l", square("lat", side / 2).alias("_i"), square("lon", side / 2).alias("_j"))
-    own = tried.join(full, ["_l", "_i", "_j"], "left_semi").groupBy("point_id").agg(F.max("_l").alias("_l"))
+    tried = places.select("lat", "lon", ladder).select("*", square("lat", side / 2).alias("_i"), square("lon", side / 2).alias("_j"))
+    own = tried.join(full, ["_l", "_i", "_j"], "left_semi").groupBy("lat", "lon").agg(F.max("_l").alias("_l"))
     near = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = points.join(own, "point_id", "left").withColumn("_l", F.coalesce("_l", F.lit(0))).withColumn("_n", F.explode(near))
+    spread = places.join(own, ["lat", "lon"], "left").withColumn("_l", F.coalesce("_l", F.lit(0))).withColumn("_n", F.explode(near))
     spread = spread.withColumn("_i", square("lat", side) + F.col("_n.di")).withColumn("_j", square("lon", side) + F.col("_n.dj"))
     held = cells.select("*", ladder).select(
         "_l", square("lat", side).alias("_i"), square("lon", side).alias("_j"),
@@ -117,12 +127,15 @@ def knn_cells(
     )
     joined = spread.join(held, ["_l", "_i", "_j"])
     degrees = F.hypot(F.col("lat") - F.col("cell_lat"), F.col("lon") - F.col("cell_lon"))
-    joined = joined.select(
-        "point_id", degrees.alias("_d"), F.abs(epoch_seconds("ts") - epoch_seconds("cell_ts")).alias("_s"), "cell_ts", "cell_lat", "cell_lon", "value"
-    )
-    order = Window.partitionBy("point_id").orderBy(F.round("_d", 9), "cell_ts", "cell_lat", "cell_lon", "value")
-    first = joined.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    scored = first.select("*", (F.col("_d") * KM_PER_DEGREE).alias("km"), (F.col("_s") / 3600.0).alias("hours"))
+    joined = joined.select("lat", "lon", degrees.alias("_d"), "cell_ts", "cell_lat", "cell_lon", "value")
+    firsts = lambda df, *by: df.withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("_d", 9), "cell_ts", "cell_lat", "cell_lon", "value"))
+    ).where(F.col("_r") <= k)
+    nearest = firsts(joined, "lat", "lon").drop("_r")
+    # once more, for ids that come with several rows
+    first = firsts(points.select("point_id", "lat", "lon", "ts").join(nearest, ["lat", "lon"]), "point_id")
+    seconds = F.abs(epoch_seconds("ts") - epoch_seconds("cell_ts"))
+    scored = first.select("*", (F.col("_d") * KM_PER_DEGREE).alias("km"), (seconds / 3600.0).alias("hours"))
     scored = scored.where((F.col("km") <= most_km) & (F.col("hours") <= most_hours))
     best = F.min_by(F.struct("value", "km", "hours"), F.struct(F.round(F.col("km") + 10 * F.col("hours"), 6), F.col("_r")))
     return scored.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.value", "b.km", "b.hours")
