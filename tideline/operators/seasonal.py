@@ -199,7 +199,15 @@ def component_bands(daily: DataFrame, baseline: DataFrame, keys: list[str], d: s
 
 
 def fill_dates(daily: DataFrame, keys: list[str], d: str = "d") -> DataFrame:
-    """A row for every day between each series' first and last."""
-    spans = daily.groupBy(*keys).agg(F.min(d).alias("_a"), F.max(d).alias("_b"))
-    days = spans.select(*keys, F.explode(F.sequence("_a", "_b")).alias(d))
-    return days.join(daily, [*keys, d], "left")
+    """A row for every day between each series' first and last; made days have nulls in the other columns.
+
+    Each row goes with the days up to the series' next one, so only the given rows are shuffled. A day given by several
+    rows keeps them all, rows without a day give none, and a null key is a series of its own.
+    """
+    rest = [c for c in daily.columns if c not in (*keys, d)]
+    following = F.lead(d).over(Window.partitionBy(*keys).orderBy(d))
+    # of rows of one day only the last goes on
+    upto = F.greatest(F.col(d), F.date_sub("_next", 1))
+    days = daily.where(F.col(d).isNotNull()).withColumn("_next", following).withColumn("_d", F.explode(F.sequence(F.col(d), upto)))
+    given = F.col("_d") == F.col(d)
+    return days.select(*keys, F.col("_d").alias(d), *[F.when(given, F.col(c)).alias(c) for c in rest])
