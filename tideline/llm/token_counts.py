@@ -26,12 +26,35 @@ from tideline.llm.shared import Kept, new_path, small_batches
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Longer words are passed over again each time; bytes of words, and number of pairs of pieces, that a worker keeps.
+#: Longer words are passed over again each time; bytes of words, and number of pairs of pieces and of steps from one
+#: ending to the next, that a worker keeps.
 KEPT_LENGTH, KEPT_BYTES, KEPT_PAIRS = 48, 128 << 20, 300_000
 
 
+class Ending(dict):
+    """What a text ends in, as far as pieces begin like it; maps the next character to the ending with it.
+
+    ``tokens`` are those that end there, longest first and the last character at any rate: length, token, number of
+    tokens it is written as, and whether it stays apart from those met before it.
+    """
+
+    __slots__ = ("tail", "tokens", "counter")
+
+    def __init__(self, counter: PrefixCounter, tail: str, char: str):
+        super().__init__()
+        self.counter, self.tail = counter, tail
+        found = [tail[i:] for i in range(len(tail) - 1) if tail[i:] in counter.rank]
+        # a character without a piece is written as its bytes
+        found += [char] if char else []
+        self.tokens = [(len(t), t, 1 if t in counter.rank else len(t.encode()), counter.apart.setdefault(t, {})) for t in found]
+
+    def __missing__(self, char: str) -> Ending:
+        found = self[char] = self.counter.ending(self.tail + char)
+        return found
+
+
 class PrefixCounter(Kept):
-    """Maps a word with one space before it to the change of the token count at each code point, as signed bytes."""
+    """Maps a word with one space before it, or behind a line end as ``\\n`` and the word, to the change of the token count at each code point, as signed bytes."""
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -48,12 +71,25 @@ class PrefixCounter(Kept):
             raise ValueError("a piece holds a space behind another character: words can't be counted apart")
         if any("\n" in piece for piece in self.rank):
             raise ValueError("a piece holds a line end: lines can't be counted apart")
-        # by the last two characters of a piece: the lengths of such pieces, and 1 for the last character alone
-        found: dict[str, set[int]] = {}
-        for piece in self.rank:
-            found.setdefault(piece[-2:], {1}).add(len(piece))
-        self.lengths = {tail: tuple(sorted(n, reverse=True)) for tail, n in found.items()}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.beginnings = {piece[:n] for piece in self.rank for n in range(1, len(piece) + 1)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the endings and pairs met so far."""
+        self.kept, self.endings, self.apart = 0, {}, {}
+        self.start = Ending(self, "", "")
+
+    def ending(self, text: str) -> Ending:
+        self.kept += 1
+        if self.kept >= KEPT_PAIRS:
+            self.forget()
+        tail = text
+        while tail and tail not in self.beginnings:
+            tail = tail[1:]
+        known = tail or text[-1]
+        if known not in self.endings:
+            self.endings[known] = Ending(self, tail, text[-1])
+        return self.endings[known]
 
     def merged(self, text: str) -> list[str]:
         """The pieces of ``text``: of all neighbours that form a piece the best ranked, leftmost pair is joined, again and again."""
@@ -70,33 +106,24 @@ class PrefixCounter(Kept):
 
     def stays(self, last: str, token: str) -> bool:
         """Whether the two stay apart when encoded together (and, without ``last``, whether the token is one piece)."""
-        if len(self.apart) >= KEPT_PAIRS:
-            self.apart.clear()
-        known = self.apart[last, token] = self.merged(last + token) == ([last, token] if last else [token])
-        return known
+        self.kept += 1
+        return self.merged(last + token) == ([last, token] if last else [token])
 
     def counts(self, word: str) -> list[int]:
         """Token counts of the prefixes of 0, 1, 2, ... code points."""
-        rank, apart, lengths = self.rank, self.apart, self.lengths
-        last, count = [""], [0]
-        for end in range(1, len(word) + 1):
-            for length in lengths.get(word[max(0, end - 2) : end], (1,)):
-                start = end - length
-                if start < 0:
-                    continue
-                token = word[start:end]
-                if length > 1 and token not in rank:
-                    continue
-                before = last[start]
-                if (known := apart.get((before, token))) is None:
-                    known = self.stays(before, token)
+        ending, last, count = self.start, [""], [0]
+        for char in word:
+            ending = ending[char]
+            for length, token, written, apart in ending.tokens:
+                before = last[-length]
+                if (known := apart.get(before)) is None:
+                    known = apart[before] = self.stays(before, token)
                 if known:
                     last.append(token)
-                    # a character without a piece is written as its bytes
-                    count.append(count[start] + (1 if token in rank else len(token.encode())))
+                    count.append(count[-length] + written)
                     break
             else:
-                raise AssertionError(f"no last token for {word[:end]!r}")
+                raise AssertionError(f"no last token for {word[: len(last)]!r}")
         return count
 
     def word_steps(self, word: str) -> bytes:
@@ -104,7 +131,7 @@ class PrefixCounter(Kept):
         return bytes([(b - a) & 255 for a, b in zip(count, count[1:])])
 
     def make(self, word: str) -> bytes:
-        return self.word_steps(SPACE + word)
+        return self.word_steps(word[1:] if word[:1] == "\n" else SPACE + word)
 
     def keep(self, word: str, steps: bytes) -> None:
         if len(word) <= KEPT_LENGTH:
@@ -122,7 +149,7 @@ class PrefixCounter(Kept):
                 lines.append(b"".join(map(self.word_steps, WORD.findall(line.replace(" ", SPACE)))))
             else:
                 first, *words = line.split(" ")
-                lines.append((self.word_steps(first) if first else b"") + b"".join(map(self.__getitem__, words)))
+                lines.append((self["\n" + first] if first else b"") + b"".join(map(self.__getitem__, words)))
         steps = np.frombuffer(b"\x01".join(lines), dtype=np.int8)  # a line end is one byte, one token
         # the space put before the text belongs to its first code point
         joined = steps[1:].copy()
