@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.shared import small_batches, stored
-from tideline.llm.toxicity import WORD, Voters, telling_traits
+from tideline.llm.toxicity import STEM, WORD, telling_traits
 
 #: Kinds of bytes whose shares of a text are measured.
 KINDS = (
@@ -48,12 +48,24 @@ class Model:
     weights: np.ndarray | None = None
 
 
-class Measures(Voters):
-    """Measures texts; as a dict, maps a word to the classes it speaks for."""
+class Measures:
+    """Measures texts; ``words`` and ``stems`` map telling words and beginnings to their classes."""
 
     def __init__(self, model: Model):
-        super().__init__(model.entries)
         self.model = model
+        self.words = {w: c for w, c in model.entries.items() if not w.startswith("^")}
+        self.stems = {w[1:]: c for w, c in model.entries.items() if len(w) == STEM + 1 and w.startswith("^")}
+
+    def hits(self, distinct: set[str]) -> np.ndarray:
+        """How many distinct words speak for each class; ``distinct`` are the runs without white space of a text."""
+        counts = np.zeros(len(self.model.classes))
+        # no word, and no lower case of one, depends on what stands beyond white space
+        found, stems = set(WORD.findall(" ".join(distinct).lower())), self.stems
+        for word in found & self.words.keys():
+            counts[self.words[word]] += 1
+        for stem in [s for w in found if (s := w[:STEM]) in stems]:
+            counts[stems[stem]] += 1
+        return counts
 
     def __call__(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words (runs without white space) and the measures."""
@@ -62,11 +74,7 @@ class Measures(Voters):
         n, size = len(words), max(1, len(raw))
         shares = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) @ KIND_OF / size
         distinct = set(words)
-        hits = np.zeros(len(self.model.classes))
-        if self.model.entries:
-            for found in map(self.__getitem__, set(WORD.findall(text.lower()))):
-                for c in found:
-                    hits[c] += 1
+        hits = self.hits(distinct) if self.model.entries else np.zeros(len(self.model.classes))
         style = [np.log1p(n), len(raw) / max(1, n), len(distinct) / max(1, n), sum(map(eq, words, words[1:])) / max(1, n)]
         return n, np.concatenate([style, np.sqrt(shares), np.log1p(hits), hits > 0])
 
